@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ()
+from millrace.plans import condition
+
+FAMILIES = (condition,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
