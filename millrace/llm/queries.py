@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import canonical, nearest, split, tokens
+from millrace.llm import canonical, languages, nearest, split, tokens
 from millrace.session import table
 
 
@@ -28,6 +28,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_readings(records, readings).select("record_id", "reading_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.wrong_labels(table(spark, sf_dir, "voice_query"))
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.label_segments(table(spark, sf_dir, "voice_query"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.resolve(table(spark, sf_dir, "tag_resolution"), table(spark, sf_dir, "equipment"))
 
@@ -37,7 +45,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_page_pieces, p3_found, p6_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_page_pieces, p3_found, p5_found, p5_segments, p6_found, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
