@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import canonical, languages, nearest, split, tokens
+from millrace.llm import canonical, languages, nearest, spam, split, tokens
 from millrace.session import table
 
 
@@ -44,8 +44,12 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_documents(table(spark, sf_dir, "documents")).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_page_pieces, p3_found, p5_found, p5_segments, p6_found, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_page_pieces, p3_found, p5_found, p5_segments, p6_found, p7_ids, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
