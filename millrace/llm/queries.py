@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import canonical, languages, nearest, spam, split, tokens
+from millrace.llm import canonical, languages, nearest, scans, spam, split, tokens
 from millrace.session import table
 
 
@@ -22,6 +22,14 @@ def p1_page_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_outcomes(table(spark, sf_dir, "parse_outcome"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.defects(table(spark, sf_dir, "parse_outcome"), table(spark, sf_dir, "equipment"))
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(table(spark, sf_dir, "parse_outcome"), table(spark, sf_dir, "equipment"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = nearest.plant_records(table(spark, sf_dir, "failure"), table(spark, sf_dir, "maintenance"))
     readings = table(spark, sf_dir, "reading").selectExpr("reading_id", "equipment_tag AS entity", "measured_at AS at")
@@ -49,7 +57,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_page_pieces, p3_found, p5_found, p5_segments, p6_found, p7_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_page_pieces, p2_found, p2_paragraphs, p3_found, p5_found, p5_segments, p6_found, p7_ids, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
