@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import canonical, languages, nearest, scans, spam, split, tokens
+from millrace.llm import canonical, languages, nearest, packing, scans, spam, split, tokens
 from millrace.session import table
 
 
@@ -52,12 +52,20 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.usage(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_documents(table(spark, sf_dir, "documents")).select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_page_pieces, p2_found, p2_paragraphs, p3_found, p5_found, p5_segments, p6_found, p7_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_page_pieces, p2_found, p2_paragraphs, p3_found, p5_found, p5_segments, p6_found, p7_ids, p8_containers, p8_usage, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
