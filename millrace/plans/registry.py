@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import condition
+from millrace.plans import condition, retrieval, text
 
-FAMILIES = (condition,)
+FAMILIES = (retrieval, text, condition)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
