@@ -9,7 +9,7 @@ from millrace.functions.clock import machine
 from millrace.operators import evidence, trend
 from millrace.session import table
 
-AS_OF = F.lit("2024-06-30").cast("date")
+AS_OF = "2024-06-30"
 RULES = [
     ("repeat_and_limit", ["repeat_finding", "threshold_approach"], "repeat_finding >= 0.5 AND threshold_approach >= 0.45"),
     ("fleet_and_repeat", ["fleet_pattern", "repeat_finding"], "fleet_pattern >= 0.5"),
@@ -32,7 +32,7 @@ def latest_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeat_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trend.repeat_findings(trend.records_of(table(spark, sf_dir, "maintenance")), AS_OF)
+    return trend.repeat_findings(trend.records_of(table(spark, sf_dir, "maintenance")), F.lit(AS_OF).cast("date"))
 
 
 def interval_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def missing_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fleet_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trend.fleet_incidence(table(spark, sf_dir, "failure"), table(spark, sf_dir, "equipment"), AS_OF)
+    return trend.fleet_incidence(table(spark, sf_dir, "failure"), table(spark, sf_dir, "equipment"), F.lit(AS_OF).cast("date"))
 
 
 def preceding_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ def gap_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(machine(F.col("equipment_tag")).alias("tag"), F.col("document_type").alias("evidence_type"), F.col("document_date").alias("dated")).where("tag IS NOT NULL")
     rows = [("R1", "pump", "inspection_report", 45), ("R2", "vessel", "inspection_report", 60), ("R3", "valve", "work_order", 30), ("R4", "tank", "sop", 90)]
     need = spark.createDataFrame(rows, "requirement string, equipment_type string, evidence_type string, days int")
-    return evidence.assessed(e, need, d, AS_OF)
+    return evidence.assessed(e, need, d, F.lit(AS_OF).cast("date"))
 
 
 def compliance_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
