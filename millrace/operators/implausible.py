@@ -28,7 +28,7 @@ from millrace.functions.clock import machine, micros
 ROWS_A_CHUNK = 20_000
 MARGIN = 0.05  # of a chunk's time range, on each side
 LEVEL, SPREAD, LEAST = 25, 51, 12
-SIGMAS, TAILS, BRIEF = 7.5, 2.7, 6
+SIGMAS, TAILS, BRIEF = 4.5, 2.8, 6  # of the local spread, of the 97 % quantile of the residuals; readings
 STUCK, STILL, REPEATS = 8, 0.003, 0.2
 
 #: Fixed physical limits of the parameters in their usual unit.
