@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.clock import machine
+from millrace.session import spread
 
 LANGUAGES = ("en", "hi", "mr", "ta", "kn")
 BUCKETS = 1 << 15
@@ -254,6 +255,7 @@ def label_segments(queries: DataFrame) -> DataFrame:
     queries: query_id, transcript, language, equipment_tag.
     """
     rows = queries.select("query_id", F.col("transcript").alias("text"), declared_code(F.col("language")).alias("declared"), machine(F.col("equipment_tag")).alias("tag"))
+    rows = spread(rows)
     table = learn(rows)
     rows = rows.join(machine_priors(rows), "tag", "left")
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.tokens import token_counts
-from millrace.session import checkpointed
+from millrace.session import checkpointed, spread
 
 CAPACITY = 2048
 ITEMS_A_GROUP = 20_000
@@ -112,7 +112,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
     """
     source = F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), source.alias("source")).where(F.length("text") > 0)
-    rows = token_counts(rows, "text", "tokens", vocab)
+    rows = token_counts(spread(rows), "text", "tokens", vocab)
     cluster = F.unhex(F.md5(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))))
     rows = rows.select("id", "source", cluster.alias("cluster"), "tokens").where("tokens > 0")
     pieces = F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / F.lit(capacity)).cast("int"))
@@ -125,6 +125,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
     groups = max(1, -(-left // ITEMS_A_GROUP))
     while True:
         grouped = items.withColumn("group", F.pmod(F.xxhash64("id", "piece_no", F.lit(turn)), F.lit(groups)))
+        # A number of partitions of its own, as packing costs far more than the bytes of a group suggest.
+        grouped = grouped.repartition(groups, "group")
         packed = checkpointed(grouped.groupBy("group").applyInArrow(_pack(capacity), f"{_ITEM}, local long, fill long"))
         packed = packed.withColumn("container", F.concat(F.lit(f"{turn}-"), F.col("local").cast("string")))
         slack = packed.where(F.col("fill") < int(SLACK * capacity)).select("id", "piece_no", "start", "n_tokens", "source", "cluster")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.skew import hot_keys, join_to_unique
-from millrace.session import checkpointed
+from millrace.session import checkpointed, spread
 
 #: Confusions as (right, wrong), fixed values; the second list is for tags, of digits taken for letters.
 CONFUSIONS = [
@@ -229,7 +229,7 @@ def lines_of(outcomes: DataFrame) -> DataFrame:
                 rows += [(outcome, key, at[key], off[key], key in repeated) for key in at.keys() | off.keys()]
             yield pd.DataFrame(rows, columns=["outcome_id", "key", "at", "off", "repeated"])
 
-    pages = scanned(outcomes)
+    pages = spread(scanned(outcomes))
     keys = pages.mapInPandas(edge_rows, "outcome_id long, key string, at int, off int, repeated boolean")
     totals = keys.groupBy("key").agg(F.sum("at").alias("at"), F.sum("off").alias("off"), F.sum(F.col("repeated").cast("int")).alias("outcomes"), F.count("*").alias("n"))
     least = F.when(F.col("key").rlike("^<|>$"), OUTCOMES + 1).otherwise(OUTCOMES)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import checkpointed
+from millrace.session import checkpointed, spread
 
 FEATURES = ("links", "separators", "repetition", "entropy", "function", "trade", "structure")
 #: Spam-directed signs of the features.
@@ -100,6 +100,12 @@ def _covered(words: list[str], size: int = 3) -> float:
     return most * size / len(words) if most > 3 else 0.0
 
 
+def _opening(phrase: str) -> str:
+    """The first two words of a phrase of two to six words."""
+    words = _WORD.findall(phrase.lower())
+    return " ".join(words[:2]) if 2 <= len(words) <= 6 else ""
+
+
 def _trade(words: list[str], text: str) -> float:
     return (sum(w in TRADE for w in words) + 2 * len(_PRICE.findall(text))) / max(1, len(words))
 
@@ -109,6 +115,7 @@ def spam_characters(text: str) -> tuple[int, int]:
     size = lambda s: len(s) - sum(map(s.count, " \t\r\n"))
     spam = total = 0
     tagged = len(_marks(text)) >= LEAST_MARKS
+    openings = Counter(_opening(p) for line in re.split(r"[\r\n]+", text) for p in _SEPARATORS.split(line))
     for line in re.split(r"[\r\n]+", text):
         total += size(line)
         foreign = [m.group() for m in _LINK.finditer(line) if not _PAPER.match(m.group().rstrip(".,;"))]
@@ -130,14 +137,16 @@ def spam_characters(text: str) -> tuple[int, int]:
             plant = bool(_TAG.search(unit)) or bool(_PLANT.search(line) and not foreign)
             sentence = len(words) >= 3 and unit.rstrip()[-1:] in ".।?!" if _INDIC.search(unit) else len(words) >= 4 and stops >= 0.17
             if sentence:
-                bad = _covered(words) >= 0.3 or trade >= 0.3
+                bad = _covered(words) >= 0.3 or _covered(words, 2) >= 0.4 or trade >= 0.3
             elif foreign or marks:
                 bad = True  # the words between links or tags
             elif plant and trade < 0.3:
                 bad = False
             else:
                 phrases = [p.strip().lower() for p in _SEPARATORS.split(unit) if p.strip()]
-                bad = trade >= 0.12 or (len(phrases) >= 8 and len(set(phrases)) <= 0.6 * len(phrases)) or _covered(words, 2) >= 0.3
+                # Phrases over and over, whole or with another place after them.
+                listed = sum(openings[_opening(p)] >= 4 for p in phrases if _opening(p))
+                bad = trade >= 0.12 or (len(phrases) >= 8 and len(set(phrases)) <= 0.6 * len(phrases)) or 2 * listed > len(phrases) or _covered(words, 2) >= 0.3
             if bad:
                 spam += size(unit)
     return spam, total
@@ -180,7 +189,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "language", *FEATURES, "share"])
 
     schema = "doc_id long, language string, " + ", ".join(f"{f} double" for f in FEATURES) + ", share double"
-    return docs.select("doc_id", "text").where(F.length(F.trim("text")) > 0).mapInPandas(run, schema)
+    return spread(docs.select("doc_id", "text").where(F.length(F.trim("text")) > 0)).mapInPandas(run, schema)
 
 
 def robust_figures(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
