@@ -31,4 +31,5 @@ def corroboration(base: Column, documents: Column) -> Column:
 
 def recency(age_days: Column, half_life: float, undated: float = 0.5) -> Column:
     """Half after one half-life; future dates count as today; undated rows get ``undated``."""
-    return F.coalesce(F.pow(F.lit(2.0), -F.greatest(age_days, F.lit(0.0)) / half_life), F.lit(undated))
+    decayed = F.pow(F.lit(2.0), -F.greatest(age_days, F.lit(0.0)) / half_life)
+    return F.when(age_days.isNotNull(), decayed).otherwise(F.lit(undated))

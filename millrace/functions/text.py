@@ -62,7 +62,8 @@ def is_heading(line: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences of a text; abbreviations, initials and numbers before a dot end none."""
-    marked = F.regexp_replace(text, r"((?:^|[^0-9A-Za-z])(?!(?:No|Nos|Fig|Ref|approx|vs|etc|e\.g|i\.e|Dr|Mr|Mrs|Ms|Rev)[.])[^.!?;\s]*[^0-9.\s(][.!?;][\"')\]]?)\s+(?=[\"'(\[A-Z0-9])", "$1\u0001")
+    no_end = r"(?<![0-9])(?<!\b[A-Za-z])(?<!\b(?:No|Nos|Fig|Ref|approx|vs|etc|Dr|Mr|Mrs|Ms|Rev|e\.g|i\.e))"
+    marked = F.regexp_replace(text, rf"((?:{no_end}[.]|[!?;])[\"')\]]?)\s+(?=[\"'(\[A-Z0-9])", "$1\u0001")
     return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: F.length(s) > 0)
 
 
@@ -82,4 +83,4 @@ def around(text: Column, pattern: str, reach: int = 80) -> Column:
     """The first match of a pattern with up to ``reach`` characters on both sides; null without a match."""
     at = F.regexp_instr(text, F.lit(pattern))
     begin = F.greatest(at - reach, F.lit(1))
-    return F.when(at > 0, F.substring(text, begin, F.lit(2 * reach) + at - begin))
+    return F.when(at > 0, F.substring(text, begin, at - begin + F.length(F.regexp_substr(text, F.lit(pattern))) + reach))

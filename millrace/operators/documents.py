@@ -44,20 +44,14 @@ def measurements(docs: DataFrame) -> DataFrame:
 
 def packed_chunks(tokens: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
     """[begin, end) ranges of sentences: as many as fit, then back by up to ``overlap`` tokens."""
-    out, begin, n = [], 0, len(tokens)
-    while begin < n:
-        end, total = begin, 0
-        while end < n and (end == begin or total + tokens[end] <= size):
-            total += tokens[end]
-            end += 1
+    if not tokens:
+        return []
+    total = np.concatenate([[0], np.cumsum(tokens)])
+    out, begin, last = [], 0, len(tokens)
+    while not out or out[-1][1] < last:
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] + size, "right")) - 1)
         out.append((begin, end))
-        if end == n:
-            break
-        back, carried = end, 0
-        while back - 1 > begin and carried + tokens[back - 1] <= overlap:
-            back -= 1
-            carried += tokens[back]
-        begin = max(back, begin + 1)
+        begin = max(begin + 1, int(np.searchsorted(total, total[end] - overlap, "left")))
     return out
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import analytics, condition, graph, machines, retrieval, text
+from millrace.plans import analytics, condition, extraction, graph, machines, retrieval, text
 
-FAMILIES = (analytics, retrieval, text, graph, machines, condition)
+FAMILIES = (analytics, retrieval, text, extraction, graph, machines, condition)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -152,7 +152,7 @@ SQL = {
         near AS (SELECT query_id, id, 1.0::DOUBLE AS graph_score FROM scored WHERE own = label AND abs(id - query_id) <= 40)
         SELECT query_id, id, coalesce(vector_score, 0) AS vector_score, coalesce(graph_score, 0) AS graph_score FROM hits FULL OUTER JOIN near USING (query_id, id)""",
     "recency_half_life": """
-        SELECT doc_id, round(coalesce(pow(2.0::DOUBLE, -greatest(date_diff('day', document_date, (SELECT max(document_date) FROM documents)), 0) / 180.0::DOUBLE), 0.5), 6) AS recency FROM documents""",
+        SELECT doc_id, round(CASE WHEN document_date IS NULL THEN 0.5::DOUBLE ELSE pow(2.0::DOUBLE, -greatest(date_diff('day', document_date, (SELECT max(document_date) FROM documents)), 0) / 180.0::DOUBLE) END, 6) AS recency FROM documents""",
     "lexical_tfidf_topk": """
         WITH tokens AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) > 0) AS terms FROM documents WHERE text IS NOT NULL),
         n AS (SELECT count(*) AS n FROM tokens),

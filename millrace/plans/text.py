@@ -179,7 +179,7 @@ SQL = {
         SELECT DISTINCT doc_id, trim(regexp_replace(lower(f), '[^a-z0-9]+', '_', 'g'), '_') AS field
         FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^([A-Za-z][A-Za-z ]{1,30}):[ \\t]*[^ \\t\\r\\n]', 1)) AS f FROM documents WHERE text IS NOT NULL)""",
     "snippets": """
-        SELECT doc_id, substring(text, greatest(p - 40, 1), 80 + p - greatest(p - 40, 1)) AS snippet
+        SELECT doc_id, substring(text, greatest(p - 40, 1), p - greatest(p - 40, 1) + 4 + 40) AS snippet
         FROM (SELECT doc_id, text, strpos(text, 'leak') AS p FROM documents WHERE text IS NOT NULL) WHERE p > 0""",
     "paged_documents": "SELECT doc_id FROM documents ORDER BY ingested_at DESC NULLS LAST, doc_id LIMIT 50 OFFSET 50",
     "measurements": """
