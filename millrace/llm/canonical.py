@@ -143,15 +143,17 @@ def resolve_distinct(raws: DataFrame, registry: DataFrame) -> DataFrame:
         F.regexp_extract("text", r"^(" + "|".join(KINDS) + r")S?\s*(?:#|NO\.?|NUMBER)?\s*\d+[A-Z]?$", 1).alias("kind"),
         F.regexp_extract("text", r"(\d+[A-Z]?)$", 1).alias("number"),
     ).where("kind <> ''").join(refs.select("tag", "kind", "number"), ["kind", "number"])
-    near = pigeonhole(values.select("raw", F.explode(F.array_distinct(F.array("whole", "core"))).alias("value")).where("value rlike '[0-9]'"), "value", refs.select("tag", "ref_tag"), "ref_tag", EDITS)
+
+    def numbered(tiers: list[DataFrame], first: int) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t.select("raw", "tag", F.lit(k).alias("tier"), F.col("edits")) for k, t in enumerate(tiers, first)])
+
+    equalities = numbered([t.withColumn("edits", F.lit(0)) for t in (exact, inside, fold, named, number)], 1)
+    # Only what no equality has found goes through the pigeonhole joins.
+    rest = values.join(equalities.select("raw").distinct(), "raw", "left_anti")
+    near = pigeonhole(rest.select("raw", F.explode(F.array_distinct(F.array("whole", "core"))).alias("value")).where("value rlike '[0-9]'"), "value", refs.select("tag", "ref_tag"), "ref_tag", EDITS)
     near = near.where((F.col("edits") == 1) | swapped(F.col("value"), F.col("ref_tag")))
-    close = pigeonhole(values.where("base <> ''").select("raw", F.col("base").alias("value"), F.col("letter").alias("own_letter")), "value", names, "ref_name", EDITS)
-    close = close.where("own_letter = letter")
-    tiers = [exact, inside, fold, named, number, near, close]
-    found = reduce(
-        DataFrame.unionByName,
-        [t.select("raw", "tag", F.lit(k).alias("tier"), (F.col("edits") if k == 7 else F.lit(0)).alias("edits")) for k, t in enumerate(tiers, 1)],
-    )
+    close = pigeonhole(rest.where("base <> ''").select("raw", F.col("base").alias("value"), F.col("letter").alias("own_letter")), "value", names, "ref_name", EDITS)
+    found = equalities.unionByName(numbered([near, close.where("own_letter = letter")], 6))
     # Tags of the best tier; the fewest edits within it.
     best = found.groupBy("raw", "tier", "edits").agg(F.min("tag").alias("tag"), F.max("tag").alias("other"))
     best = best.groupBy("raw").agg(F.min(F.struct("tier", "edits", "tag", "other")).alias("b"))

@@ -51,6 +51,8 @@ _NUMBER = re.compile(
 _MARK = re.compile(r"(?P<left>\S*[^\W\d_]\S*?)(?P<mark>[-‐‑¬­])\s*$")
 _HEAD = re.compile(r"^\s*(?P<right>[^\W\d_][^\s]*)")
 _TAG = re.compile(r"^[^\W_]{1,4}-[^\W_]{2,6}$")
+#: A word with a character that stands in no word: for words too rare to have a known right form.
+ODD_WORD = "[a-z][+¢ƒ]|[+¢ƒ][a-z]|^[a-z]{2,}[01569][a-z]{2,}$"
 _STRIP = ".,;:()[]{}\"'’“”!?«»„…*<>"
 
 
@@ -300,7 +302,8 @@ def defects(outcomes: DataFrame, registry: DataFrame | None = None) -> DataFrame
     kept = cuts.where("NOT is_word")
     parts = kept.select(*at, F.explode(F.split("left", "-")).alias("word")).unionByName(kept.select(*after, F.explode(F.split("right", "-")).alias("word")))
     hot = hot_keys(found["vocabulary"], "word", "rows", outcomes.count() * 100)
-    misread = join_to_unique(words.unionByName(parts), right.select("word"), "word", hot, F.xxhash64(*at), "inner").select(*at).unionByName(split)
+    wrong_words = right.select("word").unionByName(found["vocabulary"].where(F.col("word").rlike(ODD_WORD)).select("word")).distinct()
+    misread = join_to_unique(words.unionByName(parts), wrong_words, "word", hot, F.xxhash64(*at), "inner").select(*at).unionByName(split)
     furniture = lines.where("furniture").select(*at, F.lit("furniture").alias("defect"))
     return furniture.unionByName(hyphens).unionByName(misread.withColumn("defect", F.lit("misread"))).distinct()
 
