@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.skew import hot_keys, join_to_unique
+from millrace.session import checkpointed
 
 UNMATCHED = "UNMATCHED"
 EDITS = 2
@@ -129,6 +130,8 @@ def resolve_distinct(raws: DataFrame, registry: DataFrame) -> DataFrame:
         name_base(F.col("text")).alias("base"),
         unit_letter(F.col("text")).alias("letter"),
     )
+    # Written once: every tier reads them, and the plan of each stays small.
+    values = checkpointed(values)
     loose = F.regexp_extract_all(F.col("text"), F.lit(r"(?<![A-Z0-9])([A-Z]{1,4}[^A-Z0-9]?\d{2,5}[A-Z]?)(?![A-Z0-9])"), F.lit(1))
 
     def equal(keys: Column) -> DataFrame:
@@ -147,7 +150,7 @@ def resolve_distinct(raws: DataFrame, registry: DataFrame) -> DataFrame:
     def numbered(tiers: list[DataFrame], first: int) -> DataFrame:
         return reduce(DataFrame.unionByName, [t.select("raw", "tag", F.lit(k).alias("tier"), F.col("edits")) for k, t in enumerate(tiers, first)])
 
-    equalities = numbered([t.withColumn("edits", F.lit(0)) for t in (exact, inside, fold, named, number)], 1)
+    equalities = checkpointed(numbered([t.withColumn("edits", F.lit(0)) for t in (exact, inside, fold, named, number)], 1))
     # Only what no equality has found goes through the pigeonhole joins.
     rest = values.join(equalities.select("raw").distinct(), "raw", "left_anti")
     near = pigeonhole(rest.select("raw", F.explode(F.array_distinct(F.array("whole", "core"))).alias("value")).where("value rlike '[0-9]'"), "value", refs.select("tag", "ref_tag"), "ref_tag", EDITS)
@@ -166,6 +169,7 @@ def resolve(rows: DataFrame, registry: DataFrame) -> DataFrame:
     tags = registry.select(F.col("tag").alias("raw")).where("raw IS NOT NULL").distinct()
     counts = rows.groupBy("raw").agg(F.count("*").alias("n")).join(tags, "raw", "left_anti")
     total = rows.count()
-    resolved = resolve_distinct(counts.select("raw"), registry)
+    counts = checkpointed(counts)
+    resolved = checkpointed(resolve_distinct(counts.select("raw"), registry))
     unmatched = counts.select("raw").join(resolved, "raw", "left_anti").select("raw", F.lit(UNMATCHED).alias("tag"), F.lit(0).alias("tier"))
     return join_to_unique(rows, resolved.unionByName(unmatched), "raw", hot_keys(counts, "raw", "n", total), F.xxhash64("resolution_id"), "inner").select("resolution_id", "tag")
