@@ -22,13 +22,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.rows import map_rows
 from millrace.operators.skew import hot_keys, join_to_unique
 from millrace.session import checkpointed, spread
 
@@ -217,22 +216,20 @@ def corrections(vocabulary: DataFrame, registry: DataFrame | None) -> DataFrame:
 
 def scanned(outcomes: DataFrame) -> DataFrame:
     any_block = F.exists("blocks", lambda b: b["ocr_confidence"].isNotNull())
-    return outcomes.where(F.col("ocr_confidence").isNotNull() | F.coalesce(any_block, F.lit(False))).select("outcome_id", "blocks").where("blocks IS NOT NULL")
+    # Only what the layout needs goes to Python.
+    lean = F.transform("blocks", lambda b: F.struct(b["page"].alias("page"), b["block_index"].alias("block_index"), b["text"].alias("text")))
+    return outcomes.where((F.col("ocr_confidence").isNotNull() | F.coalesce(any_block, F.lit(False))) & F.col("blocks").isNotNull()).select("outcome_id", lean.alias("blocks"))
 
 
 def lines_of(outcomes: DataFrame) -> DataFrame:
     """The lines of scanned outcomes, furniture marked, with words and cuts; see body_rows."""
 
-    def edge_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for outcome, blocks in frame.itertuples(index=False):
-                at, off, repeated = edges(layout(blocks))
-                rows += [(outcome, key, at[key], off[key], key in repeated) for key in at.keys() | off.keys()]
-            yield pd.DataFrame(rows, columns=["outcome_id", "key", "at", "off", "repeated"])
+    def edge_rows(outcome: int, blocks: list) -> list[tuple]:
+        at, off, repeated = edges(layout(blocks))
+        return [(outcome, key, at[key], off[key], key in repeated) for key in at.keys() | off.keys()]
 
     pages = spread(scanned(outcomes))
-    keys = pages.mapInPandas(edge_rows, "outcome_id long, key string, at int, off int, repeated boolean")
+    keys = map_rows(pages, edge_rows, "outcome_id long, key string, at int, off int, repeated boolean")
     totals = keys.groupBy("key").agg(F.sum("at").alias("at"), F.sum("off").alias("off"), F.sum(F.col("repeated").cast("int")).alias("outcomes"), F.count("*").alias("n"))
     least = F.when(F.col("key").rlike("^<|>$"), OUTCOMES + 1).otherwise(OUTCOMES)
     good = totals.where((F.col("outcomes") >= least) & (F.col("at") >= EDGE_SHARE * (F.col("at") + F.col("off")))).select("key", F.lit(True).alias("good"))
@@ -240,20 +237,14 @@ def lines_of(outcomes: DataFrame) -> DataFrame:
     own = join_to_unique(keys.where("at > 0").select("outcome_id", "key"), good, "key", hot_keys(totals, "key", "n", total), F.xxhash64("outcome_id"), "inner")
     own = own.groupBy("outcome_id").agg(F.collect_set("key").alias("known"))
 
-    def line_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["outcome_id", "block_index", "line_no", "furniture", "words", "left", "right", "mark", "next_block", "next_line"]
-        for frame in frames:
-            rows = []
-            for outcome, blocks, known in frame.itertuples(index=False):
-                lines = layout(blocks)
-                local = local_furniture(lines, *edges(lines))
-                mark_furniture(lines, local | set(known if known is not None else ()))
-                rows += [(outcome, *r) for r in body_rows(lines)]
-            out = pd.DataFrame(rows, columns=columns)
-            yield out.astype({"next_block": "Int32", "next_line": "Int32"})
+    def line_rows(outcome: int, blocks: list, known: list | None) -> list[tuple]:
+        lines = layout(blocks)
+        local = local_furniture(lines, *edges(lines))
+        mark_furniture(lines, local | set(known or ()))
+        return [(outcome, *r) for r in body_rows(lines)]
 
     schema = "outcome_id long, block_index int, line_no int, furniture boolean, words array<string>, left string, right string, mark string, next_block int, next_line int"
-    return pages.join(own, "outcome_id", "left").select("outcome_id", "blocks", "known").mapInPandas(line_rows, schema)
+    return map_rows(pages.join(own, "outcome_id", "left").select("outcome_id", "blocks", "known"), line_rows, schema)
 
 
 def evidence(outcomes: DataFrame, registry: DataFrame | None) -> dict[str, DataFrame]:
@@ -331,32 +322,27 @@ def repaired(outcomes: DataFrame, registry: DataFrame | None = None) -> DataFram
     removed = found["lines"].where("furniture").groupBy("outcome_id").agg(F.collect_list(F.struct("block_index", "line_no")).alias("removed"))
     pages = scanned(outcomes).join(fixes, "outcome_id", "left").join(joins, "outcome_id", "left").join(removed, "outcome_id", "left")
 
-    def rebuild(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = lambda x: {(p["block_index"], p["line_no"]) for p in x} if x is not None else set()
-        for frame in frames:
-            rows = []
-            for outcome, blocks, fixes, joins, removed in frame.itertuples(index=False):
-                right = {f["word"]: f["right"] for f in fixes} if fixes is not None else {}
-                joins, removed = places(joins), places(removed)
-                paragraphs, glue, last = [], "", None
-                for x in layout(blocks):
-                    at = (x["block"], x["number"])
-                    if at in removed:
-                        continue
-                    # Blank lines part paragraphs within a block; a page turn does not.
-                    gap = last is not None and last["block"] == x["block"] and x["number"] > last["number"] + 1
-                    if not paragraphs or gap:
-                        paragraphs.append([x["page"], ""])
-                        glue = ""
-                    text = x["text"].strip()
-                    paragraphs[-1][1] += glue + text
-                    glue = " "
-                    if _MARK.search(text):
-                        glue = ""
-                        if at in joins:
-                            paragraphs[-1][1] = paragraphs[-1][1][:-1]
-                    last = x
-                rows += [(outcome, k, page, _corrected(text, right)) for k, (page, text) in enumerate(paragraphs, 1)]
-            yield pd.DataFrame(rows, columns=["outcome_id", "paragraph_no", "page", "text"])
-
-    return pages.select("outcome_id", "blocks", "fixes", "joins", "removed").mapInPandas(rebuild, "outcome_id long, paragraph_no int, page int, text string")
+    def rebuild(outcome: int, blocks: list, fixes: list | None, joins: list | None, removed: list | None) -> list[tuple]:
+        places = lambda x: {(p["block_index"], p["line_no"]) for p in x or ()}
+        right, joins, removed = {f["word"]: f["right"] for f in fixes or ()}, places(joins), places(removed)
+        paragraphs, glue, last = [], "", None
+        for x in layout(blocks):
+            at = (x["block"], x["number"])
+            if at in removed:
+                continue
+            # Blank lines part paragraphs within a block; a page turn does not.
+            gap = last is not None and last["block"] == x["block"] and x["number"] > last["number"] + 1
+            if not paragraphs or gap:
+                paragraphs.append([x["page"], ""])
+                glue = ""
+            text = x["text"].strip()
+            paragraphs[-1][1] += glue + text
+            glue = " "
+            if _MARK.search(text):
+                glue = ""
+                if at in joins:
+                    paragraphs[-1][1] = paragraphs[-1][1][:-1]
+            last = x
+        return [(outcome, k, page, _corrected(text, right)) for k, (page, text) in enumerate(paragraphs, 1)]
+
+    return map_rows(pages.select("outcome_id", "blocks", "fixes", "joins", "removed"), rebuild, "outcome_id long, paragraph_no int, page int, text string")

@@ -17,12 +17,12 @@ from __future__ import annotations
 import bisect
 import re
 import unicodedata
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.rows import map_rows
+
 LIMIT, OVERLAP = 1800, 150
 PAGE_LIMIT, PAGE_OVERLAP = 30, 1
 #: Boundaries from the strongest; a cut is made at the end of a match.
@@ -101,13 +101,9 @@ _PAGE_OUT = "outcome_id long, block_index int, piece_no int, pieces int, start i
 def split_blocks(outcomes: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Pieces of every block; start and end are characters of the block's text."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for outcome, index, text in frame.itertuples(index=False):
-                cut = split_text(text, limit, overlap) if text is not None else [(0, 0)]
-                rows += [(outcome, index, k, len(cut), a, b, text[a:b] if text is not None else None) for k, (a, b) in enumerate(cut, 1)]
-            yield pd.DataFrame(rows, columns=["outcome_id", "block_index", "piece_no", "pieces", "start", "end", "text"])
+    def cut(outcome: int, index: int, text: str) -> list[tuple]:
+        pieces = split_text(text, limit, overlap)
+        return [(outcome, index, k, len(pieces), a, b, text[a:b]) for k, (a, b) in enumerate(pieces, 1)]
 
     blocks = outcomes.select("outcome_id", F.posexplode("blocks").alias("at", "b"))
     blocks = blocks.select("outcome_id", F.coalesce("b.block_index", "at").alias("block_index"), F.col("b.text").alias("text"))
@@ -116,26 +112,22 @@ def split_blocks(outcomes: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
     whole = blocks.where(small).select(
         "outcome_id", "block_index", F.lit(1).alias("piece_no"), F.lit(1).alias("pieces"), F.lit(0).alias("start"), F.coalesce(F.length("text"), F.lit(0)).alias("end"), "text"
     )
-    return whole.unionByName(blocks.where(~small).mapInPandas(run, _BLOCK_OUT))
+    return whole.unionByName(map_rows(blocks.where(~small), cut, _BLOCK_OUT))
 
 
 def split_outcomes(outcomes: DataFrame, limit: int = PAGE_LIMIT, overlap: int = PAGE_OVERLAP) -> DataFrame:
     """Pieces of every outcome with pages, as page ranges; block_index is -1."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for outcome, pages, openings in frame.itertuples(index=False):
-                cut = split_pages(int(pages), {int(p) for p in openings} if openings is not None else set(), limit, overlap)
-                rows += [(outcome, -1, k, len(cut), a, b) for k, (a, b) in enumerate(cut, 1)]
-            yield pd.DataFrame(rows, columns=["outcome_id", "block_index", "piece_no", "pieces", "start", "end"])
+    def cut(outcome: int, pages: int, openings: list | None) -> list[tuple]:
+        pieces = split_pages(pages, set(openings or ()), limit, overlap)
+        return [(outcome, -1, k, len(pieces), a, b) for k, (a, b) in enumerate(pieces, 1)]
 
     highest = F.coalesce(F.array_max(F.transform("blocks", lambda b: b["page"])), F.lit(0))
     headings = F.array_distinct(F.transform(F.filter("blocks", lambda b: (b["kind"] == "heading") & b["page"].isNotNull()), lambda b: b["page"]))
     pages = outcomes.select("outcome_id", F.greatest(F.coalesce("page_count", F.lit(0)), highest).alias("pages"), headings.alias("openings")).where("pages > 0")
     small = F.col("pages") <= limit
     whole = pages.where(small).select("outcome_id", F.lit(-1).alias("block_index"), F.lit(1).alias("piece_no"), F.lit(1).alias("pieces"), F.lit(1).alias("start"), F.col("pages").alias("end"))
-    return whole.unionByName(pages.where(~small).mapInPandas(run, _PAGE_OUT))
+    return whole.unionByName(map_rows(pages.where(~small), cut, _PAGE_OUT))
 
 
 def oversized(outcomes: DataFrame) -> DataFrame:
