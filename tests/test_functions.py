@@ -117,3 +117,30 @@ def test_rules_on_a_clean_machine(spark):
     rules = [("both", ["a", "b"], "a > 0.5 AND b > 0.1"), ("strong_b", ["b"], "b > 0.8")]
     assert sorted((r.tag, r.rule) for r in evidence.fired(signals, rules).collect()) == [("P-1", "both"), ("P-2", "strong_b")]
     assert evidence.fired(signals.limit(0), rules).count() == 0
+
+
+def test_components_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    edges = [(f"n{a:03}", f"n{b:03}") for a, b in ((rng.randrange(120), rng.randrange(120)) for _ in range(90))] + [(f"p{k:03}", f"p{k + 1:03}") for k in range(40)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.key: r.component for r in graph.components(spark.createDataFrame(edges, "source string, target string")).collect()}
+    assert got == {x: find(x) for x in {k for e in edges for k in e}}
+    assert graph.components(spark.createDataFrame([], "source string, target string")).count() == 0
+
+
+def test_ocr_lines(spark):
+    from millrace.plans.reports import ocr_lines
+
+    words = [(1, 50.0, 10.0, 10.0, "world"), (1, 0.0, 12.0, 10.0, "hello"), (1, 0.0, 40.0, 10.0, "next")]
+    df = spark.createDataFrame(words, "page long, x double, y double, height double, word string")
+    assert [r.text for r in ocr_lines(df).orderBy("line").collect()] == ["hello world", "next"]
