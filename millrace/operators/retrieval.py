@@ -52,7 +52,7 @@ def topk(queries: DataFrame, rows: DataFrame, k: int = 24) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def ivf_topk(queries: DataFrame, rows: DataFrame, k: int = 24, lists: int = 16, probes: int = 8, sample: int = 10_000, seed: int = 7) -> DataFrame:
+def ivf_topk(queries: DataFrame, rows: DataFrame, k: int = 24, lists: int = 16, probes: int = 12, sample: int = 10_000, seed: int = 7) -> DataFrame:
     """Approximate :func:`topk`: centres fitted on at most ``sample`` rows, every row indexed."""
     total = max(1, rows.count())
     picked = rows.where(F.col("vector").isNotNull()).orderBy(F.xxhash64("id", F.lit(seed))).limit(sample) if total > sample else rows.where(F.col("vector").isNotNull())

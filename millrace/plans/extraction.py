@@ -250,6 +250,11 @@ SQL = {
         WITH f AS (SELECT upper(trim(equipment_tag)) AS tag, max(downtime_hours) AS worst FROM failure GROUP BY 1), d AS (SELECT upper(trim(equipment_tag)) AS tag, count(*) AS docs FROM documents GROUP BY 1)
         SELECT e.tag, round(0.6::DOUBLE * (CASE criticality WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.6 ELSE 0.3 END)::DOUBLE + 0.25::DOUBLE * least(1.0, coalesce(worst, 0) / 72) + 0.1::DOUBLE * least(1.0::DOUBLE, coalesce(docs, 0) / 20.0::DOUBLE) + 0.05::DOUBLE * CASE WHEN docs > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 6) AS priority
         FROM equipment e LEFT JOIN f ON f.tag = e.tag LEFT JOIN d ON d.tag = e.tag""",
+    "quantised_topk": """
+        WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
+        q AS (SELECT vec_id, label, list_transform(e, lambda x: round_even(x / n * 127, 0)) AS b FROM n),
+        p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(greatest(list_cosine_similarity(a.b, b.b), 0), 6) AS score FROM q a JOIN q b USING (label) WHERE a.vec_id % 20 = 0),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p WHERE score > 0) SELECT query_id, id, score, rank FROM k WHERE rank <= 5""",
     "path_narratives": """
         SELECT s_suppkey, r_name || ' —PART_OF→ ' || n_name || ' —HAS→ ' || s_name AS path FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON n_nationkey = s_nationkey WHERE r_name IN ('ASIA', 'EUROPE')""",
     "failure_chains": """

@@ -136,6 +136,13 @@ QUERIES = {
 }
 SQL = {
     "vector_topk_exact": f"WITH {_TOP} SELECT query_id, id, rank, round(s, 6) AS score FROM ranked WHERE rank <= 24",
+    "vector_unit_norm": """
+        WITH v AS (SELECT vec_id AS id, list_concat(CAST(embedding AS DOUBLE[]), list_resize(CAST([] AS DOUBLE[]), 96, 0.0::DOUBLE)) AS e FROM embeddings), s AS (SELECT id, list_sum(list_transform(e[1:32], lambda x: x * x)) AS n, len(e[1:96]) AS d FROM v)
+        SELECT id, round(CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 6) AS squared_norm, d AS dims FROM s""",
+    "vector_quantise": """
+        WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
+        q AS (SELECT id, list_transform(e, lambda x: CAST(round_even(x / n * 127, 0) AS BIGINT)) AS q FROM n)
+        SELECT id, CAST(list_sum(q) AS BIGINT) AS byte_sum, list_max(q) AS byte_max FROM q""",
     "vector_filtered_topk": f"""
         WITH {_TOP}, own_label AS (SELECT query_id, id, label, round(s, 6) AS score FROM scored WHERE own = label),
         k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM own_label)
