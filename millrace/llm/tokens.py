@@ -105,11 +105,11 @@ def agreed(chunk: str) -> tuple[int, int]:
 
 def _middles(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary_batch
+        encode = encoding(path).encode_ordinary  # its batch form costs a thread's hand-over per text
         for batch in batches:
             chunks = batch.column(1).to_pylist()
             ends = [agreed(c) for c in chunks]
-            ids = encode([c[a:b] if a >= 0 else "" for c, (a, b) in zip(chunks, ends)], num_threads=1)
+            ids = [encode(c[a:b]) if a >= 0 else [] for c, (a, b) in zip(chunks, ends)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([a for a, _ in ends], pa.int32()), pa.array([b for _, b in ends], pa.int32()), pa.array(ids, pa.list_(pa.int32()))],
                 ["chunk_key", "first", "last", "middle"],
@@ -120,7 +120,7 @@ def _middles(path: str):
 
 def _joined(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary_batch
+        encode = encoding(path).encode_ordinary
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -139,7 +139,7 @@ def _joined(path: str):
                     begin = start[c] + last[c]
                 windows.append(text[begin:])
                 plan.append(own)
-            again, k, out = encode(windows, num_threads=1), 0, []
+            again, k, out = [encode(w) for w in windows], 0, []
             for own in plan:
                 pieces = []
                 for c in own:
@@ -188,7 +188,7 @@ def token_counts(docs: DataFrame, text_col: str = "text", out_col: str = "n_toke
 
     @F.pandas_udf("int")
     def count(texts):
-        ids = encoding(path).encode_ordinary_batch(texts.fillna("").tolist(), num_threads=1)
-        return texts.__class__([len(x) for x in ids], dtype="int32")
+        encode = encoding(path).encode_ordinary
+        return texts.__class__([len(encode(x)) if x else 0 for x in texts], dtype="int32")
 
     return docs.withColumn(out_col, count(F.col(text_col)))
