@@ -68,6 +68,9 @@ _GLUED = re.compile(
     re.I,
 )
 LEAST_MARKS = 5
+#: One of these stands in every text with a link, or with a price.
+_LINK_SIGNS = ("://", "www.", "[url", "<a", "](", ".com", ".net", ".org", ".test", ".example", ".invalid", ".info", ".biz", ".shop", "[.]")
+_PRICE_SIGNS = re.compile(r"[$€₹£%]|EUR|USD|INR|Rs|only \d|[ABQX]\d{3}", re.I)
 _PRICE = re.compile(r"(?:\b\d+[.,]?\d*\s?(?:EUR|USD|INR|Rs)\b|[$€₹£]\s?\d+|-\d{1,2}\s?%|\bonly \d+\b|\b[ABQX]\d{3,5}\b)", re.I)
 _TAG = re.compile(r"\b[A-Z]{1,4}-\d{2,5}[A-Z]?\b", re.I)
 _PLANT = re.compile(r"\bpcs\b|\bdrawing \d|^\s*[-*]?\s*\d+ x \w|^\s*(?:\d+[.)]|[-*]|\[[ x]?\])\s+\w", re.I)
@@ -77,15 +80,20 @@ _SENTENCES = re.compile(r"(?<=[.!?।])\s+")
 _SEPARATORS = re.compile(r"[,|•/>·»;#]|\s[-–]\s")
 
 
-def language(words: list[str], text: str) -> str:
+#: Characters from the Indic blocks upwards: letters and vowel signs.
+_INDIC_ON = re.compile("[ऀ-\U0010ffff]")
+_SCRIPTS = {"deva": re.compile("[ऀ-ॿ]"), "ta": re.compile("[஀-௿]"), "kn": re.compile("[ಀ-೿]")}
+
+
+def language(counts: Counter, text: str) -> str:
     """The language whose statistics apply: a script, or that of most function words."""
     if _INDIC.search(text):
-        for name, low, high in (("deva", 0x900, 0x97F), ("ta", 0xB80, 0xBFF), ("kn", 0xC80, 0xCFF)):
-            if sum(low <= ord(c) <= high for c in text) * 2 > sum(c.isalpha() or ord(c) > 0x8FF for c in text):
+        rest, high = _INDIC_ON.subn("", text)
+        letters = high + sum(map(str.isalpha, rest))
+        for name, script in _SCRIPTS.items():
+            if len(script.findall(text)) * 2 > letters:
                 return name
-    count = Counter(w for w in words if w in _STOPS)
-    best = max(FUNCTION, key=lambda lang: (sum(count[w] for w in FUNCTION[lang]), lang == "en"))
-    return best
+    return max(FUNCTION, key=lambda lang: (sum(counts[w] for w in FUNCTION[lang]), lang == "en"))
 
 
 def _marks(text: str) -> list[str]:
@@ -94,8 +102,8 @@ def _marks(text: str) -> list[str]:
 
 def _covered(words: list[str], size: int = 3) -> float:
     """The share of words within the most frequent phrase of that many words."""
-    if len(words) < 4 * size:
-        return 0.0
+    if len(words) < 4 * size or len(words) - len(set(words)) < 4:
+        return 0.0  # four times the same phrase leaves at least four words repeated
     most = Counter(zip(*(words[k:] for k in range(size)))).most_common(1)[0][1]
     return most * size / len(words) if most > 3 else 0.0
 
@@ -106,8 +114,13 @@ def _opening(phrase: str) -> str:
     return " ".join(words[:2]) if 2 <= len(words) <= 6 else ""
 
 
-def _trade(words: list[str], text: str) -> float:
-    return (sum(w in TRADE for w in words) + 2 * len(_PRICE.findall(text))) / max(1, len(words))
+def _trade(words: list[str], text: str, priced: bool) -> float:
+    return (sum(map(TRADE.__contains__, words)) + 2 * (len(_PRICE.findall(text)) if priced else 0)) / max(1, len(words))
+
+
+def _linked(text: str) -> bool:
+    low = text.lower()
+    return any(sign in low for sign in _LINK_SIGNS)
 
 
 def spam_characters(text: str) -> tuple[int, int]:
@@ -115,10 +128,11 @@ def spam_characters(text: str) -> tuple[int, int]:
     size = lambda s: len(s) - sum(map(s.count, " \t\r\n"))
     spam = total = 0
     tagged = len(_marks(text)) >= LEAST_MARKS
-    openings = Counter(_opening(p) for line in re.split(r"[\r\n]+", text) for p in _SEPARATORS.split(line))
+    linked, priced = _linked(text), bool(_PRICE_SIGNS.search(text))
+    openings: Counter | None = None
     for line in re.split(r"[\r\n]+", text):
         total += size(line)
-        foreign = [m.group() for m in _LINK.finditer(line) if not _PAPER.match(m.group().rstrip(".,;"))]
+        foreign = linked and [m.group() for m in _LINK.finditer(line) if not _PAPER.match(m.group().rstrip(".,;"))]
         rest = line
         if foreign:
             rest = _LINK.sub(" ", line)
@@ -127,25 +141,26 @@ def spam_characters(text: str) -> tuple[int, int]:
         spam += size(line) - size(left)
         rest = left
         for unit in _SENTENCES.split(rest):
-            words = [w.lower() for w in _WORD.findall(unit)]
+            words = _WORD.findall(unit.lower())
             if not words:
                 if foreign or marks:
                     spam += size(unit)
                 continue
-            stops = sum(w in _STOPS for w in words) / len(words)
-            trade = _trade(words, unit)
-            plant = bool(_TAG.search(unit)) or bool(_PLANT.search(line) and not foreign)
+            stops = sum(map(_STOPS.__contains__, words)) / len(words)
+            trade = _trade(words, unit, priced)
             sentence = len(words) >= 3 and unit.rstrip()[-1:] in ".।?!" if _INDIC.search(unit) else len(words) >= 4 and stops >= 0.17
             if sentence:
                 bad = _covered(words) >= 0.3 or _covered(words, 2) >= 0.4 or trade >= 0.3
             elif foreign or marks:
                 bad = True  # the words between links or tags
-            elif plant and trade < 0.3:
-                bad = False
+            elif trade < 0.3 and (_TAG.search(unit) or _PLANT.search(line)):
+                bad = False  # an entry of a list of the plant's own
             else:
                 phrases = [p.strip().lower() for p in _SEPARATORS.split(unit) if p.strip()]
                 # Phrases over and over, whole or with another place after them.
-                listed = sum(openings[_opening(p)] >= 4 for p in phrases if _opening(p))
+                if openings is None:
+                    openings = Counter(_opening(p) for x in re.split(r"[\r\n]+", text) for p in _SEPARATORS.split(x))
+                listed = sum(openings[o] >= 4 for o in map(_opening, phrases) if o)
                 bad = trade >= 0.12 or (len(phrases) >= 8 and len(set(phrases)) <= 0.6 * len(phrases)) or 2 * listed > len(phrases) or _covered(words, 2) >= 0.3
             if bad:
                 spam += size(unit)
@@ -154,8 +169,8 @@ def spam_characters(text: str) -> tuple[int, int]:
 
 def features(text: str) -> tuple[str, list[float], float] | None:
     """(language, features, share of spam characters) of a text, None without words."""
-    links = [m.group() for m in _LINK.finditer(text)]
-    words = [w.lower() for w in _WORD.findall(_LINK.sub(" ", text))]
+    links = [m.group() for m in _LINK.finditer(text)] if _linked(text) else []
+    words = _WORD.findall((_LINK.sub(" ", text) if links else text).lower())
     if not words and not links:
         return None
     n = max(1, len(words))
@@ -169,11 +184,11 @@ def features(text: str) -> tuple[str, list[float], float] | None:
         len(_SEPARATORS.findall(text)) / n,
         1 - len(set(pairs)) / len(pairs) if len(pairs) > 8 else 0.0,
         entropy,
-        sum(w in _STOPS for w in words) / n,
-        _trade(words, text),
+        sum(map(_STOPS.__contains__, words)) / n,
+        _trade(words, text, bool(_PRICE_SIGNS.search(text))),
         (len(_TAG.findall(text)) + sum(bool(_PLANT.search(x)) for x in lines)) / (n + len(lines)),
     ]
-    return language(words, text), values, spam / max(1, total)
+    return language(counts, text), values, spam / max(1, total)
 
 
 def measured(docs: DataFrame) -> DataFrame:
