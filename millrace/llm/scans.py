@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from itertools import combinations_with_replacement
+from itertools import combinations_with_replacement, islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +50,10 @@ _NUMBER = re.compile(
 _MARK = re.compile(r"(?P<left>\S*[^\W\d_]\S*?)(?P<mark>[-‐‑¬­])\s*$")
 _HEAD = re.compile(r"^\s*(?P<right>[^\W\d_][^\s]*)")
 _TAG = re.compile(r"^[^\W_]{1,4}-[^\W_]{2,6}$")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_SPLIT = re.compile(r"[-‐‑/]")
+_PARTS = re.compile(r"[\s|/—–\d#]+")
+_WORDY = re.compile(r"(?:[^\W\d_].*?){3}")
 #: A word with a character that stands in no word: for words too rare to have a known right form.
 ODD_WORD = "[a-z][+¢ƒ]|[+¢ƒ][a-z]|^[a-z]{2,}[01569][a-z]{2,}$"
 _STRIP = ".,;:()[]{}\"'’“”!?«»„…*<>"
@@ -58,7 +62,7 @@ _STRIP = ".,;:()[]{}\"'’“”!?«»„…*<>"
 def edge_key(line: str) -> str:
     """The letters of a line with confusable ones made alike; equal for a header and its misreadings."""
     text = _ONE.sub(lambda m: _ONES[m.group()], line.lower()).translate(_LOOSE)
-    return "".join(c for c in text if c.isalpha())
+    return "".join(_LETTERS.findall(text))
 
 
 def is_page_number(line: str) -> bool:
@@ -87,9 +91,13 @@ def edge_keys(line: str) -> list[str]:
     key = edge_key(line)
     if len(key) < 5:
         return []
-    words = [w for w in re.split(r"[\s|/—–]+", re.sub(r"[\d#]+", " ", line)) if sum(c.isalpha() for c in w) > 2]
-    first, last = edge_key(" ".join(words[:2])), edge_key(" ".join(words[-2:]))
-    return [key] + ([f"<{first}"] if len(first) > 5 and len(words) > 2 else []) + ([f"{last}>"] if len(last) > 5 and len(words) > 2 else [])
+    words = _PARTS.split(line)
+    front = list(islice(filter(_WORDY.search, words), 3))
+    if len(front) < 3:
+        return [key]
+    back = list(islice(filter(_WORDY.search, reversed(words)), 2))
+    first, last = edge_key(" ".join(front[:2])), edge_key(" ".join(back[::-1]))
+    return [key] + ([f"<{first}"] if len(first) > 5 else []) + ([f"{last}>"] if len(last) > 5 else [])
 
 
 def edges(lines: list[dict]) -> tuple[Counter, Counter, set[str]]:
@@ -133,13 +141,12 @@ def words_of(text: str) -> list[str]:
     out = []
     for token in text.split():
         word = token.strip(_STRIP).lower()
-        if not any(c.isalpha() for c in word):
+        if not _LETTERS.search(word):
             continue
         out.append(word)
-        if not _TAG.match(word):
-            parts = [p.strip(_STRIP) for p in re.split(r"[-‐‑/]", word)]
-            if len(parts) > 1:
-                out += [p for p in parts if sum(c.isalpha() for c in p) > 1]
+        if _SPLIT.search(word) and not _TAG.match(word):
+            parts = [p.strip(_STRIP) for p in _SPLIT.split(word)]
+            out += [p for p in parts if sum(map(str.isalpha, p)) > 1]
     return out
 
 
