@@ -11,16 +11,16 @@ MOST_HOT = 2000
 ROWS_A_SALT = 20_000
 
 
-def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """(key, salts) of the keys with more than max(ROWS_A_SALT, total / MOST_HOT) rows.
+def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """(key, salts) of the keys with more than ROWS_A_SALT rows, the MOST_HOT largest of them.
 
-    counts has one row per key. Keys above total / MOST_HOT are fewer than MOST_HOT,
-    whatever the data, which bounds the broadcast in :func:`join_to_unique`.
+    counts has one row per key. The number of hot keys is bounded whatever the data, which
+    bounds the broadcast in :func:`join_to_unique`. A key that the bound leaves out has no
+    more rows than each of MOST_HOT others, so under a MOST_HOT-th of all rows; it is joined
+    like any other key.
     """
-    least = max(ROWS_A_SALT, total // MOST_HOT)
-    return counts.where(F.col(n) > least).select(
-        F.col(key), F.ceil(F.col(n) / F.lit(least)).cast("int").alias("_salts")
-    )
+    large = counts.where(F.col(n) > ROWS_A_SALT).orderBy(F.desc(n), key).limit(MOST_HOT)
+    return large.select(F.col(key), F.ceil(F.col(n) / F.lit(ROWS_A_SALT)).cast("int").alias("_salts"))
 
 
 def join_to_unique(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, spread: Column, how: str = "left") -> DataFrame:
