@@ -168,8 +168,7 @@ def resolve(rows: DataFrame, registry: DataFrame) -> DataFrame:
     rows = rows.select("resolution_id", "raw").where(F.col("raw").isNotNull() & ~F.col("raw").rlike(r"(?U)^\s*$"))
     tags = registry.select(F.col("tag").alias("raw")).where("raw IS NOT NULL").distinct()
     counts = rows.groupBy("raw").agg(F.count("*").alias("n")).join(tags, "raw", "left_anti")
-    total = rows.count()
     counts = checkpointed(counts)
     resolved = checkpointed(resolve_distinct(counts.select("raw"), registry))
     unmatched = counts.select("raw").join(resolved, "raw", "left_anti").select("raw", F.lit(UNMATCHED).alias("tag"), F.lit(0).alias("tier"))
-    return join_to_unique(rows, resolved.unionByName(unmatched), "raw", hot_keys(counts, "raw", "n", total), F.xxhash64("resolution_id"), "inner").select("resolution_id", "tag")
+    return join_to_unique(rows, resolved.unionByName(unmatched), "raw", hot_keys(counts, "raw", "n"), F.xxhash64("resolution_id"), "inner").select("resolution_id", "tag")

@@ -153,79 +153,6 @@ def machine_priors(rows: DataFrame) -> DataFrame:
     return per.where("tag IS NOT NULL").select("tag", usual.alias("usual"))
 
 
-def learned_table(counts: np.ndarray) -> np.ndarray:
-    """Clipped log-likelihoods per (bucket, language), 0 for the likeliest language of a word."""
-    total = counts.sum(0, keepdims=True)
-    rate = (counts + 0.5 * total / max(1.0, total.sum())) / np.maximum(total, 1.0)
-    log = np.log(np.maximum(rate, 1e-12))
-    best = np.maximum(log - log.max(1, keepdims=True), -CLIP)
-    return np.where(counts.sum(1, keepdims=True) > 0, best, 0).astype(np.float32)
-
-
-def emission(script: str, word: str, table: np.ndarray) -> list[float]:
-    """The log-likelihood of a word in each language."""
-    row = table[bucket(script, word)]
-    own = _SPOKEN[script]
-    return [float(row[k]) if lang in own else -BORROWED if script == "latin" else -FOREIGN for k, lang in enumerate(LANGUAGES)]
-
-
-def best_path(words: list[tuple[str, str, bool]], table: np.ndarray, prior: list[float]) -> list[int]:
-    """The language (as an index) of each word."""
-    n = len(LANGUAGES)
-    score, back = list(prior), []
-    for i, (script, word, stop) in enumerate(words):
-        e = emission(script, word, table)
-        if i:
-            top = max(range(n), key=score.__getitem__)
-            change = score[top] - (SWITCH_AT_STOP if stop else SWITCH)
-            back.append([k if score[k] >= change else top for k in range(n)])
-            score = [max(score[k], change) + e[k] for k in range(n)]
-        else:
-            score = [score[k] + e[k] for k in range(n)]
-    at = max(range(n), key=score.__getitem__)
-    path = [at]
-    for step in reversed(back):
-        at = step[at]
-        path.append(at)
-    return path[::-1]
-
-
-def segments(text: str | None, table: np.ndarray, prior: list[float]) -> list[tuple[str, float, int]]:
-    """(language, confidence, words) of each segment, in order."""
-    words = words_of(text) if text else []
-    if not words:
-        return []
-    path, out, a = best_path(words, table, prior), [], 0
-    for b in range(1, len(path) + 1):
-        if b == len(path) or path[b] != path[a]:
-            log = [prior[k] + sum(emission(s, w, table)[k] for s, w, _ in words[a:b]) for k in range(len(LANGUAGES))]
-            best = max(log)
-            out.append((LANGUAGES[path[a]], math.exp(log[path[a]] - best) / sum(math.exp(x - best) for x in log), b - a))
-            a = b
-    return out
-
-
-def declared_code(label: Column) -> Column:
-    """The part of a declared language before - or _, in lower case."""
-    return F.lower(F.trim(F.regexp_extract(label, "^([^-_]*)", 1)))
-
-
-def _priors(declared: str | None, usual: list[float] | None) -> list[float]:
-    usual = usual if usual is not None and len(usual) == len(LANGUAGES) else [1 / len(LANGUAGES)] * len(LANGUAGES)
-    return [USUAL * math.log(max(u, 1e-6)) + (DECLARED if lang == declared else 0.0) for lang, u in zip(LANGUAGES, usual)]
-
-
-def machine_priors(rows: DataFrame) -> DataFrame:
-    """(tag, usual): P(language | machine), smoothed towards P(language). rows: tag, declared."""
-    known = rows.where(F.col("declared").isin(*LANGUAGES))
-    per = known.groupBy("tag").agg(*[F.count(F.when(F.col("declared") == lang, 1)).alias(lang) for lang in LANGUAGES])
-    # One row of the whole corpus: the parent level of the hierarchy.
-    whole = known.agg(*[((F.count(F.when(F.col("declared") == lang, 1)) + 1) / (F.count("*") + len(LANGUAGES))).alias(f"p_{lang}") for lang in LANGUAGES])
-    n = sum((F.col(lang) for lang in LANGUAGES), F.lit(0))
-    usual = F.array(*[(F.col(lang) + SMOOTHING * F.col(f"p_{lang}")) / (n + SMOOTHING) for lang in LANGUAGES])
-    return per.join(F.broadcast(whole)).where("tag IS NOT NULL").select("tag", usual.alias("usual"))
-
-
 def learn(rows: DataFrame) -> np.ndarray:
     """The word table of a corpus. rows: text, declared."""
     seeds = seed_table()

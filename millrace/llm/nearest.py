@@ -69,7 +69,7 @@ def nearest_readings(records: DataFrame, readings: DataFrame) -> DataFrame:
     readings = readings.withColumn("range", F.floor(F.col("at") / span))
     total = readings.count()
     counts = readings.groupBy("entity", "range").agg(F.count("*").alias("n")).withColumn("place", F.struct("entity", "range"))
-    hot = F.broadcast(hot_keys(counts, "place", "n", total).select("place.*", "_salts"))
+    hot = F.broadcast(hot_keys(counts, "place", "n").select("place.*", "_salts"))
     groups = F.lit(max(1, total // ROWS_A_GROUP))
 
     def grouped(df: DataFrame, salt) -> DataFrame:

@@ -240,8 +240,7 @@ def lines_of(outcomes: DataFrame) -> DataFrame:
     totals = keys.groupBy("key").agg(F.sum("at").alias("at"), F.sum("off").alias("off"), F.sum(F.col("repeated").cast("int")).alias("outcomes"), F.count("*").alias("n"))
     least = F.when(F.col("key").rlike("^<|>$"), OUTCOMES + 1).otherwise(OUTCOMES)
     good = totals.where((F.col("outcomes") >= least) & (F.col("at") >= EDGE_SHARE * (F.col("at") + F.col("off")))).select("key", F.lit(True).alias("good"))
-    total = pages.count()
-    own = join_to_unique(keys.where("at > 0").select("outcome_id", "key"), good, "key", hot_keys(totals, "key", "n", total), F.xxhash64("outcome_id"), "inner")
+    own = join_to_unique(keys.where("at > 0").select("outcome_id", "key"), good, "key", hot_keys(totals, "key", "n"), F.xxhash64("outcome_id"), "inner")
     own = own.groupBy("outcome_id").agg(F.collect_set("key").alias("known"))
 
     def line_rows(outcome: int, blocks: list, known: list | None) -> list[tuple]:
@@ -299,7 +298,7 @@ def defects(outcomes: DataFrame, registry: DataFrame | None = None) -> DataFrame
     split = wrong.where(~in_right).select(*at).unionByName(wrong.where(in_right).select(*after))
     kept = cuts.where("NOT is_word")
     parts = kept.select(*at, F.explode(F.split("left", "-")).alias("word")).unionByName(kept.select(*after, F.explode(F.split("right", "-")).alias("word")))
-    hot = hot_keys(found["vocabulary"], "word", "rows", outcomes.count() * 100)
+    hot = hot_keys(found["vocabulary"], "word", "rows")
     wrong_words = right.select("word").unionByName(found["vocabulary"].where(F.col("word").rlike(ODD_WORD)).select("word")).distinct()
     misread = join_to_unique(words.unionByName(parts), wrong_words, "word", hot, F.xxhash64(*at), "inner").select(*at).unionByName(split)
     furniture = lines.where("furniture").select(*at, F.lit("furniture").alias("defect"))
@@ -321,7 +320,7 @@ def repaired(outcomes: DataFrame, registry: DataFrame | None = None) -> DataFram
     """(outcome_id, paragraph_no, page, text): scanned outcomes as continuous paragraphs."""
     found = evidence(outcomes, registry)
     words, right, cuts = found["words"], found["right"], found["cuts"]
-    hot = hot_keys(found["vocabulary"], "word", "rows", outcomes.count() * 100)
+    hot = hot_keys(found["vocabulary"], "word", "rows")
     fixes = join_to_unique(words, right.select("word", "right"), "word", hot, F.xxhash64("outcome_id", "block_index", "line_no"), "inner")
     fixes = fixes.select("outcome_id", "word", "right").unionByName(cuts.where("is_word AND whole IS NOT NULL").select("outcome_id", F.col("joined").alias("word"), F.col("whole").alias("right")))
     fixes = fixes.distinct().groupBy("outcome_id").agg(F.collect_list(F.struct("word", "right")).alias("fixes"))

@@ -162,7 +162,6 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     path = vocab or vocabulary()
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    total = docs.count()
     keyed = docs.withColumn("text_key", F.when(F.length("_text") > 0, F.unhex(F.md5("_text"))))
     texts = keyed.where("text_key IS NOT NULL").groupBy("text_key").agg(F.first("_text").alias("_text"), F.count("*").alias("_n"))
     found = texts.select("text_key", "_text").mapInArrow(_chunks, "text_key binary, start int, chunk string")
@@ -170,7 +169,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = found.groupBy("chunk_key").agg(F.first("chunk").alias("chunk"), F.count("*").alias("_n"))
     middles = distinct.select("chunk_key", "chunk").mapInArrow(_middles(path), "chunk_key binary, first int, last int, middle array<int>")
     parts = join_to_unique(
-        found.select("text_key", "start", "chunk_key"), middles, "chunk_key", hot_keys(distinct, "chunk_key", "_n", total), F.xxhash64("text_key", "start"), "inner"
+        found.select("text_key", "start", "chunk_key"), middles, "chunk_key", hot_keys(distinct, "chunk_key", "_n"), F.xxhash64("text_key", "start"), "inner"
     )
     grouped = parts.groupBy("text_key").agg(F.collect_list(F.struct("start", "first", "last", "middle")).alias("parts"))
     whole = (
@@ -178,7 +177,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("text_key", "_text", "parts")
         .mapInArrow(_joined(path), "text_key binary, ids array<int>")
     )
-    ids = join_to_unique(keyed.select("_id", "text_key"), whole, "text_key", hot_keys(texts, "text_key", "_n", total), F.xxhash64("_id"))
+    ids = join_to_unique(keyed.select("_id", "text_key"), whole, "text_key", hot_keys(texts, "text_key", "_n"), F.xxhash64("_id"))
     return ids.select(F.col("_id").alias(id_col), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
