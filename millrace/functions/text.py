@@ -68,13 +68,13 @@ def sentences(text: Column) -> Column:
 
 
 def kind_of_document(text: Column) -> Column:
-    """The first kind one of whose keywords stands in the first 4,000 characters, else unknown."""
-    head = F.lower(F.substring(text, 1, 4000))
+    """The first kind one of whose keywords stands anywhere in the text, else unknown."""
+    low = F.lower(text)
     out = F.when(F.lit(False), F.lit(""))
     for kind, words in DOCUMENT_KINDS:
         hit = F.lit(False)
         for word in words:
-            hit = hit | head.contains(word)
+            hit = hit | low.contains(word)
         out = out.when(hit, kind)
     return out.otherwise("unknown")
 

@@ -144,3 +144,9 @@ def test_ocr_lines(spark):
     words = [(1, 50.0, 10.0, 10.0, "world"), (1, 0.0, 12.0, 10.0, "hello"), (1, 0.0, 40.0, 10.0, "next")]
     df = spark.createDataFrame(words, "page long, x double, y double, height double, word string")
     assert [r.text for r in ocr_lines(df).orderBy("line").collect()] == ["hello world", "next"]
+
+
+def test_kind_of_a_document_whose_keyword_comes_late(spark):
+    assert value(spark, text.kind_of_document(F.lit("x" * 4500 + " an Incident"))) == "incident_report"
+    assert value(spark, text.kind_of_document(F.lit("Work order " + "x" * 4500 + " near miss"))) == "incident_report"
+    assert value(spark, text.kind_of_document(F.lit("x" * 4500))) == "unknown"
