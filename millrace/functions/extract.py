@@ -44,10 +44,10 @@ def interval_days(text: Column) -> Column:
     return F.when(days.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(3650), days)))
 
 
-def steps(text: Column, most: int = 20, least: int = 12) -> Column:
-    """Numbered steps of a procedure longer than ``least`` characters, the first ``most`` of them."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*[0-9]{1,2}[.)][ \t]+([^\r\n]+)"), F.lit(1)), F.trim)
-    return F.slice(F.filter(found, lambda s: F.length(s) > least), 1, most)
+def steps(text: Column, least: int = 12) -> Column:
+    """All numbered steps of a procedure longer than ``least`` characters, whatever their number."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*[0-9]+[.)][ \t]+([^\r\n]+)"), F.lit(1)), lambda s: F.trim(s))
+    return F.filter(found, lambda s: F.length(s) > least)
 
 
 def masked(text: Column) -> Column:

@@ -150,3 +150,10 @@ def test_kind_of_a_document_whose_keyword_comes_late(spark):
     assert value(spark, text.kind_of_document(F.lit("x" * 4500 + " an Incident"))) == "incident_report"
     assert value(spark, text.kind_of_document(F.lit("Work order " + "x" * 4500 + " near miss"))) == "incident_report"
     assert value(spark, text.kind_of_document(F.lit("x" * 4500))) == "unknown"
+
+
+def test_steps_beyond_the_twentieth_and_the_hundredth(spark):
+    got = value(spark, extract.steps(F.lit("\n".join(f"{k}. Open the drain valve {k}." for k in range(1, 121)))))
+    assert got == [f"Open the drain valve {k}." for k in range(1, 121)]
+    assert value(spark, extract.steps(F.lit("1. Open drain valve 10\n2. Open drain valve 11  "))) == ["Open drain valve 10", "Open drain valve 11"]
+    assert value(spark, extract.steps(F.lit("1. Too short\n2) Open the drain valve."))) == ["Open the drain valve."]
