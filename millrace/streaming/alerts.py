@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,33 +34,46 @@ def latest_stage(progress: DataFrame) -> DataFrame:
     return progress.groupBy("job").agg(F.max_by("stage", "ts").alias("stage"), F.max("ts").alias("ts"))
 
 
-def kept_alerts(alerts: DataFrame, window_seconds: int = 3600) -> DataFrame:
+def kept_alerts(alerts: DataFrame, window_seconds: int = 3600, late: str = "2 hours") -> DataFrame:
     """Alerts not within the window after the last kept one of their key.
 
-    The state of a key is one timestamp; it expires once the window has passed. Within a
-    batch alerts are taken in time order; one older than the last kept alert is suppressed.
+    Within a batch alerts are taken in time order. An alert may come up to ``late`` after the
+    newest alert of any key in earlier batches; Spark leaves out what is older, whatever its
+    key, before it is seen here (from the second batch after that newest alert on). What has been given out cannot be taken back: a late alert
+    is suppressed also within the window before one already kept, where the batch form would
+    keep the late one instead; without late alerts of the same key both forms agree.
+    The state of a key is the times of the kept alerts that can still matter, at least a window
+    apart; it expires once the watermark has passed the window of the last one.
     """
+    window = window_seconds * 1_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         frame = pd.concat(list(frames), ignore_index=True).sort_values(["at", "id"])
-        last = state.get[0] if state.exists else None
+        kept: list[int] = json.loads(state.get[0]) if state.exists else []
         chosen = []
         for at in frame["at"]:
             micros = int(at.value // 1000)
-            fresh = last is None or micros - last >= window_seconds * 1_000_000
+            k = bisect_left(kept, micros)
+            fresh = (k == 0 or micros - kept[k - 1] >= window) and (k == len(kept) or kept[k] - micros >= window)
             chosen.append(fresh)
-            last = micros if fresh else last
-        state.update((last,))
-        end = last // 1000 + window_seconds * 1000
-        if end > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(end)
+            if fresh:
+                kept.insert(k, micros)
+        watermark = state.getCurrentWatermarkMs()
+        kept = [t for t in kept if t + window > watermark * 1000]
+        if kept:
+            state.update((json.dumps(kept),))
+            end = (kept[-1] + window) // 1000
+            if end > watermark:
+                state.setTimeoutTimestamp(end)
+        elif state.exists:
+            state.remove()
         yield frame.loc[chosen, ["key", "at", "id"]]
 
-    rows = alerts.select("key", "at", "id").withWatermark("at", "0 seconds")
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, at timestamp, id long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = alerts.select("key", "at", "id").withWatermark("at", late)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, at timestamp, id long", "kept string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def gap_ledger(gaps: DataFrame, days: int = 90, most: int = 64) -> DataFrame:

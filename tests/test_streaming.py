@@ -46,6 +46,26 @@ def test_alerts_count_from_the_last_kept(spark, stream):
     assert sorted(r.id for r in batch.collect()) == [1, 3, 9]
 
 
+def test_late_alerts_of_other_keys_are_kept(spark, stream):
+    minutes = [("A", 605, 1), ("A", 720, 2), ("B", 604, 3), ("C", 719, 4), ("A", 900, 5), ("A", 900, 8), ("D", 779, 6), ("D", 781, 7)]
+    batches = [[{"key": k, "at": at(60 * m), "id": n}] for k, m, n in minutes]
+    got = run(alerts.kept_alerts(stream(batches, "key string, at timestamp, id long")), "late_keys", "append")
+    assert sorted(r[2] for r in got) == [1, 2, 3, 4, 5, 7]  # 6 is older than the watermark, two hours before 5
+
+
+def test_late_alerts_of_the_same_key(spark, stream):
+    minutes = [("A", 600, 1), ("A", 780, 2), ("A", 690, 3), ("A", 630, 4), ("A", 740, 5), ("A", 839, 6), ("A", 840, 7)]
+    batches = [[{"key": k, "at": at(60 * m), "id": n}] for k, m, n in minutes]
+    got = run(alerts.kept_alerts(stream(batches, "key string, at timestamp, id long"), late="4 hours"), "late_same", "append")
+    assert sorted(r[2] for r in got) == [1, 2, 3, 7]
+
+
+def test_lateness_of_alerts_is_a_parameter(spark, stream):
+    batches = [[{"key": "A", "at": at(7200), "id": 1}], [{"key": "A", "at": at(7201), "id": 4}], [{"key": "B", "at": at(7100), "id": 2}], [{"key": "B", "at": at(7190), "id": 3}]]
+    got = run(alerts.kept_alerts(stream(batches, "key string, at timestamp, id long"), late="1 minute"), "lateness", "append")
+    assert sorted(r[2] for r in got) == [1, 3]
+
+
 def test_late_rows_inside_and_outside_the_watermark(spark, stream):
     batches = [[{"ts": at(0), "event_type": "x"}, {"ts": at(20000), "event_type": "x"}], [{"ts": at(15000), "event_type": "x"}], [{"ts": at(100), "event_type": "x"}], [{"ts": at(90000), "event_type": "x"}]]
     got = run(alerts.tumbling_counts(stream(batches, "ts timestamp, event_type string")), "windows", "append")
