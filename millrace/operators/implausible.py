@@ -3,8 +3,11 @@
 A robust autoregression of each source: a running median is the level (so trends, daily
 swings and lasting level shifts are followed), a first-order autoregression of the bounded
 residuals gives innovations, and additive outliers are tested against the source's local
-spread and against its own tail, until no more are found. An outlier run longer than
-BRIEF readings is a level shift and is left alone. Before that, values outside physical
+spread and against its own tail, until the flags no longer change; if they come round in a
+cycle, what every round of it flags is taken. A tail further out than FAR local spreads is
+one of spikes, which would hide each other: it counts as NORMAL spreads there. Spikes of
+more than 3 % of a source that lie nearer than that are its own tail. An outlier run longer
+than BRIEF readings is a level shift and is left alone. Before that, values outside physical
 limits and stuck runs are set apart, so that they neither move the level nor the spread.
 
 Sources with more than ROWS_A_CHUNK readings are cut into time ranges with margins on both
@@ -29,6 +32,7 @@ ROWS_A_CHUNK = 20_000
 MARGIN = 0.05  # of a chunk's time range, on each side
 LEVEL, SPREAD, LEAST = 25, 51, 12
 SIGMAS, TAILS, BRIEF = 4.5, 2.8, 6  # of the local spread, of the 97 % quantile of the residuals; readings
+FAR, NORMAL = 8.0, 2.17  # local spreads: above the 97 % quantile of any sound source (up to 6.8 at check_l); that of a normal one
 STUCK, STILL, REPEATS = 8, 0.003, 0.2
 
 #: Fixed physical limits of the parameters in their usual unit.
@@ -117,11 +121,15 @@ def excursions(value: np.ndarray) -> np.ndarray:
     flagged = np.zeros(n, bool)
     if n < LEAST:
         return flagged
-    for _ in range(4):
+    rounds: list[np.ndarray] = []
+    seen: dict[bytes, int] = {}
+    while (state := flagged.tobytes()) not in seen:
+        seen[state] = len(rounds)
+        rounds.append(flagged)
         kept = np.flatnonzero(~flagged)
         clean = value[kept]
         if len(clean) < LEAST:
-            break
+            return flagged
         level = _rolling_median(clean, LEVEL)
         size = np.abs(clean - level)
         whole = 1.4826 * np.median(size)
@@ -134,6 +142,9 @@ def excursions(value: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(kept, np.arange(n)), len(kept) - 1)
         residual = value - level[at]
         spread = np.maximum(local, 0.5 * whole)[at]
+        broad = np.maximum(local, whole)
+        if not coarse and np.quantile(size / broad, 0.97) > FAR:
+            tail = np.minimum(tail, NORMAL * broad)[at]
         limit = np.maximum(SIGMAS * spread, TAILS * tail)
         if coarse:
             limit = np.maximum(limit, 4 * step)
@@ -146,10 +157,8 @@ def excursions(value: np.ndarray) -> np.ndarray:
         starts, lengths = _runs(found[1:] == found[:-1])
         shift = (lengths > BRIEF) & found[starts]  # a lasting change of level, or a way of running
         found &= ~np.repeat(shift, lengths)
-        if (found == flagged).all():
-            break
         flagged = found
-    return flagged
+    return np.logical_and.reduce(rounds[seen[state] :])
 
 
 def _judged(group: pa.Table) -> pa.Table:

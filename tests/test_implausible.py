@@ -49,6 +49,21 @@ def test_restless_and_coarse_sources_are_judged_by_their_own_tails():
     assert np.flatnonzero(excursions(coarse)).tolist() == [300]
 
 
+@pytest.mark.parametrize(("n", "spikes"), [(22, 1), (50, 2), (262, 9), (400, 40)])
+def test_many_spikes_do_not_hide_each_other(n, spikes):
+    v = series(n)
+    at = np.linspace(5, n - 6, spikes).astype(int)
+    v[at] += 20
+    assert np.flatnonzero(excursions(v)).tolist() == at.tolist()
+
+
+def test_rounds_go_on_until_nothing_changes():
+    rng = np.random.default_rng(1777)
+    n = int(rng.integers(60, 300))
+    v = rng.standard_normal(n) * np.where(rng.random(n) < 0.05, 10 ** rng.uniform(0.5, 1.5, n), 1)
+    assert excursions(v).sum() == 8  # four of them are uncovered after the fourth round only
+
+
 def test_stuck_runs_need_eight_and_may_jitter():
     v = series(200)
     v[50:58] = v[50]
