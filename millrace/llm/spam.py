@@ -38,13 +38,18 @@ CLIP, RIDGE, LEAST_DOCS = 3.0, 0.1, 50
 DISTANCE_2 = 14.07
 MOSTLY = 0.5
 
-# Function words of the Latin-script languages.
+# Function words of the eight languages; Tamil and Kannada have few that stand alone.
 FUNCTION = {
     "en": "the of and is was were has have had been be are in on at to from with for by that this not no it its near since after before during until while please there again yet all did does an a as or but must should although because".split(),
     "de": "der die das den dem des und ist war wurde wurden nicht auf im am zu mit von bei für es sich als wird nach dass aber ein eine zum bis durch ohne wieder".split(),
     "fr": "le la les de des du un une est été a au aux et en dans par pour sur ne que qui il elle mais n'a avant après sans plus lors d'une l'équipe".split(),
     "es": "el los las del una es fue se no con por para al lo su y en de la que un sin más pero ha antes después".split(),
+    "hi": "है हैं था थी थे हो का की के को से में पर और भी नहीं क्या क्यों यह वह मुझे हमने आप रहा रही रहे गया गई किया करना चाहिए लेकिन कोई ने बाद तक कब कर दिया हुआ हुई कि जो तो ही इस उस एक या अगर जब".split(),
+    "mr": "आहे आहेत होता होती होते हो चा ची चे च्या ला ना मध्ये वर आणि पण नाही काय का की हा ही हे तो ती ते मला आम्ही तुम्ही केले केली केला पाहिजे काही कोणी नंतर पर्यंत कधी केव्हा झाली झाला झाले येत अजून जो जर तर मग किंवा होत असून".split(),
+    "ta": "இல் ஒரு இந்த அந்த இது அது என்று என என்ன எப்போது எனக்கு நாங்கள் நான் நீங்கள் அவர் மற்றும் அல்லது ஆனால் இல்லை வேண்டும் வேண்டுமா மேல் கீழ் பிறகு பிறகும் முன் வரை உள்ள உள்ளது இருக்கிறது இருந்து மிகவும் போது கடைசியாக எந்த எந்தக் கொண்டு".split(),
+    "kn": "ನಿಂದ ಒಂದು ಈ ಆ ಇದು ಅದು ಎಂದು ಎಂಬ ಏನು ಯಾವ ಯಾವಾಗ ಯಾವುದೇ ನನಗೆ ನಾವು ನಾನು ನೀವು ಅವರು ಮತ್ತು ಅಥವಾ ಆದರೆ ಇಲ್ಲ ಬೇಕು ಮೇಲೆ ಕೆಳಗೆ ನಂತರ ನಂತರವೂ ಮೊದಲು ವರೆಗೆ ಇದೆ ಇತ್ತು ತುಂಬಾ ಆಗಿ ಆಯಿತು ಕೊನೆಯ ಗೆ ಅಲ್ಲಿ".split(),
 }
+_LATIN, _DEVANAGARI = ("en", "de", "fr", "es"), ("hi", "mr")
 # Words of offers and menus.
 TRADE = set(
     "price prices sale supplier suppliers repair shop kit rental buy best cheap discount fast wholesale free quote certified top original hot deal deals online offer offers catalogue cart home newsletter login contact service rebuild spares now today mart"
@@ -85,6 +90,11 @@ _INDIC_ON = re.compile("[ऀ-\U0010ffff]")
 _SCRIPTS = {"deva": re.compile("[ऀ-ॿ]"), "ta": re.compile("[஀-௿]"), "kn": re.compile("[ಀ-೿]")}
 
 
+def _most(languages: tuple[str, ...], counts: Counter) -> str:
+    """The language of most function words, the first one if they are equal."""
+    return max(languages, key=lambda lang: (sum(counts[w] for w in FUNCTION[lang]), lang == languages[0]))
+
+
 def language(counts: Counter, text: str) -> str:
     """The language whose statistics apply: a script, or that of most function words."""
     if _INDIC.search(text):
@@ -92,8 +102,8 @@ def language(counts: Counter, text: str) -> str:
         letters = high + sum(map(str.isalpha, rest))
         for name, script in _SCRIPTS.items():
             if len(script.findall(text)) * 2 > letters:
-                return name
-    return max(FUNCTION, key=lambda lang: (sum(counts[w] for w in FUNCTION[lang]), lang == "en"))
+                return _most(_DEVANAGARI, counts) if name == "deva" else name
+    return _most(_LATIN, counts)
 
 
 def _marks(text: str) -> list[str]:
@@ -148,7 +158,7 @@ def spam_characters(text: str) -> tuple[int, int]:
                 continue
             stops = sum(map(_STOPS.__contains__, words)) / len(words)
             trade = _trade(words, unit, priced)
-            sentence = len(words) >= 3 and unit.rstrip()[-1:] in ".।?!" if _INDIC.search(unit) else len(words) >= 4 and stops >= 0.17
+            sentence = len(words) >= 3 and stops > 0 and unit.rstrip()[-1:] in ".।?!" if _INDIC.search(unit) else len(words) >= 4 and stops >= 0.17
             if sentence:
                 bad = _covered(words) >= 0.3 or _covered(words, 2) >= 0.4 or trade >= 0.3
             elif foreign or marks:

@@ -34,3 +34,19 @@ def test_documents(spark):
     got = {r.doc_id for r in spam.spam_documents(df).collect()}
     assert got == {*range(len(SPAM)), len(texts) - 2, len(texts) - 1}
     assert spam.spam_documents(df.limit(0)).count() == 0
+
+
+INDIC = {
+    "hi": ("रात की पाली में पंप से तेल का रिसाव देखा गया है।", "पंप कीमत मोटर सील वाल्व खरीदें पाइप बेयरिंग।"),
+    "mr": ("रात्रीच्या पाळीत पंपाची गळती झाली आहे आणि तपासणी केली नाही.", "पंप किंमत मोटर सील वाल्व खरेदी पाइप बेअरिंग."),
+    "ta": ("எனக்கு அதிர்வு அறிக்கை வேண்டும் ஆனால் இயந்திரம் நிற்கவில்லை.", "வால்வு விலை தாங்கி முத்திரை எண்ணெய் விற்பனை மோட்டார்."),
+    "kn": ("ನಾವು ಇಂದು ಪರಿಶೀಲನೆ ಮಾಡಿದೆವು ಆದರೆ ಯಾವುದೇ ದೋಷ ಸಿಗಲಿಲ್ಲ.", "ಕವಾಟ ಬೆಲೆ ಬೇರಿಂಗ್ ಸೀಲ್ ಎಣ್ಣೆ ಮಾರಾಟ ಮೋಟಾರ್."),
+}
+
+
+def test_function_words_of_indic_languages():
+    for lang, (prose, menu) in INDIC.items():
+        name, values, share = spam.features(prose)
+        assert name == lang and values[spam.FEATURES.index("function")] > 0.15 and share == 0, lang
+        name, values, share = spam.features(menu)
+        assert values[spam.FEATURES.index("function")] == 0 and share == 1, lang
