@@ -106,7 +106,7 @@ def extractive_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supply_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of customers and the nations of their orders' dearest suppliers."""
+    """Connected components of suppliers and of customers with a positive balance, tied by their nation; others are left out, as in the SQL."""
     s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
     edges = s.select(F.concat(F.lit("S"), "s_suppkey").alias("source"), F.concat(F.lit("N"), "s_nationkey").alias("target")).unionByName(
         c.where("c_acctbal > 0").select(F.concat(F.lit("C"), "c_custkey").alias("source"), F.concat(F.lit("N"), "c_nationkey").alias("target"))
