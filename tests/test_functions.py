@@ -157,3 +157,11 @@ def test_steps_beyond_the_twentieth_and_the_hundredth(spark):
     assert got == [f"Open the drain valve {k}." for k in range(1, 121)]
     assert value(spark, extract.steps(F.lit("1. Open drain valve 10\n2. Open drain valve 11  "))) == ["Open drain valve 10", "Open drain valve 11"]
     assert value(spark, extract.steps(F.lit("1. Too short\n2) Open the drain valve."))) == ["Open the drain valve."]
+
+
+def test_three_hops_over_a_graph_with_cycles(spark, sf_dir):
+    from millrace.plans.graph import khop_supply
+
+    got = khop_supply(spark, sf_dir).collect()
+    assert {(r.hops, r.key[0]) for r in got} >= {(1, "P"), (1, "N"), (2, "R"), (2, "S"), (2, "C"), (3, "N")}
+    assert len({(r.seed, r.key) for r in got}) == len(got) and all(r.seed != r.key for r in got)
