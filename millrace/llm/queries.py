@@ -18,6 +18,10 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_blocks(table(spark, sf_dir, "parse_outcome"))
 
 
+def p1_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.rebuilt_blocks(split.split_blocks(table(spark, sf_dir, "parse_outcome")))
+
+
 def p1_page_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_outcomes(table(spark, sf_dir, "parse_outcome"))
 
@@ -65,7 +69,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_page_pieces, p2_found, p2_paragraphs, p3_found, p5_found, p5_segments, p6_found, p7_ids, p8_containers, p8_usage, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p1_page_pieces, p2_found, p2_paragraphs, p3_found, p5_found, p5_segments, p6_found, p7_ids, p8_containers, p8_usage, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -76,6 +80,28 @@ def oracle_sql() -> dict[str, str]:
             UNION
             SELECT outcome_id, CAST(-1 AS INTEGER) FROM parse_outcome
             WHERE greatest(coalesce(page_count, 0), coalesce(list_max(list_transform(blocks, lambda x: x.page)), 0)) > 30""",
+        "p1_rebuilt": """
+            SELECT outcome_id, b.block_index AS block_index, CAST(length(coalesce(b.text, '')) AS INTEGER) AS size, md5(coalesce(b.text, '')) AS text_md5,
+              CAST(0 AS INTEGER) AS too_long, CAST(0 AS INTEGER) AS bad_joins
+            FROM (SELECT outcome_id, unnest(blocks) AS b FROM parse_outcome)""",
+        # The bisection of the pages, span by span; cut is the number of pages before a cut.
+        "p1_page_pieces": """
+            WITH RECURSIVE outcomes AS (
+              SELECT outcome_id, CAST(greatest(coalesce(page_count, 0), coalesce(list_max(list_transform(blocks, lambda x: x.page)), 0)) AS BIGINT) AS pages,
+                list_distinct(list_transform(list_filter(blocks, lambda x: x.kind = 'heading' AND x.page IS NOT NULL), lambda x: CAST(x.page AS BIGINT) - 1)) AS cuts
+              FROM parse_outcome),
+            spans AS (
+              SELECT outcome_id, cuts, CAST(0 AS BIGINT) AS a, pages AS b, pages FROM outcomes WHERE pages > 0
+              UNION ALL
+              SELECT outcome_id, cuts, unnest([a, cut]) AS a, unnest([cut, b]) AS b, pages FROM (
+                SELECT *, coalesce(
+                  list_min(list_transform(list_filter(cuts, lambda p: p >= greatest(a + 1, m - r) AND p <= least(b - 1, m + r)), lambda p: {'d': abs(p - m), 'p': p})).p,
+                  list_min(list_transform(list_filter(cuts, lambda p: p >= a + 1 AND p <= b - 1), lambda p: {'d': abs(p - m), 'p': p})).p, m) AS cut
+                FROM (SELECT *, (a + b) // 2 AS m, (b - a) // 4 AS r FROM spans WHERE b - a > 29 AND pages > 30))),
+            cores AS (SELECT * FROM spans WHERE pages <= 30 OR b - a <= 29)
+            SELECT outcome_id, CAST(-1 AS INTEGER) AS block_index, CAST(row_number() OVER w AS INTEGER) AS piece_no, CAST(count(*) OVER (PARTITION BY outcome_id) AS INTEGER) AS pieces,
+              CAST(CASE WHEN a = 0 THEN 1 ELSE a END AS INTEGER) AS start, CAST(b AS INTEGER) AS "end"
+            FROM cores WINDOW w AS (PARTITION BY outcome_id ORDER BY a)""",
         "p3_found": """
             WITH records AS (
               SELECT event_id AS record_id, upper(trim(equipment_tag)) AS tag, CAST(occurred_on AS TIMESTAMP) AS day, INTERVAL 12 HOUR AS reach FROM failure

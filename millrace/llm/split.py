@@ -36,10 +36,12 @@ def _nearest(places: list[int], low: int, high: int, middle: int) -> int | None:
     return min(near, key=lambda p: (abs(p - middle), p), default=None)
 
 
-def bisected(size: int, most: int, places: list[list[int]], hard) -> list[int]:
+def bisected(size: int, most: int, places: list[list[int]], hard, least: int = 1) -> list[int]:
     """Starts of the cores of a span of the given size, each core at most ``most`` long.
 
-    places: the cuts of each strength, ascending; hard: the cut where there is none.
+    places: the cuts of each strength, ascending; hard: the cut where there is none. Outside
+    the middle half a boundary counts only if it leaves at least ``least`` on both sides:
+    a cut inside a run is better than a piece that its neighbour's overlap repeats.
     """
     starts, todo = [], [(0, size)]
     while todo:
@@ -49,7 +51,7 @@ def bisected(size: int, most: int, places: list[list[int]], hard) -> list[int]:
             continue
         middle, reach = (a + b) // 2, (b - a) // 4
         found = None
-        for low, high in ((max(a + 1, middle - reach), min(b - 1, middle + reach)), (a + 1, b - 1)):
+        for low, high in ((max(a + 1, middle - reach), min(b - 1, middle + reach)), (a + max(1, least), b - max(1, least))):
             for strength in places:
                 found = _nearest(strength, low, high, middle)
                 if found is not None:
@@ -76,13 +78,16 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
             at -= 1
         return at if at > a + 1 or not unicodedata.combining(text[at]) else middle
 
-    starts = bisected(size, limit - overlap, places, hard)
-    pieces, words = [], places[-1]
+    starts = bisected(size, limit - overlap, places, hard, overlap)
+    pieces, words, last = [], places[-1], -1
     for a, b in zip(starts, [*starts[1:], size]):
         if a and overlap:
-            k = bisect.bisect_left(words, a - overlap)
-            a = words[k] if k < len(words) and words[k] < a else a - overlap
+            # No piece starts before the text or at or before its predecessor's start.
+            low = max(last + 1, a - overlap)
+            k = bisect.bisect_left(words, low)
+            a = words[k] if k < len(words) and words[k] < a else low
         pieces.append((a, b))
+        last = a
     return pieces
 
 
@@ -90,8 +95,14 @@ def split_pages(pages: int, openings: set[int], limit: int = PAGE_LIMIT, overlap
     """(first, last) page of the pieces of an outcome; openings are pages that open a part."""
     if pages <= limit:
         return [(1, pages)]
+    if limit <= overlap or overlap < 0:
+        raise ValueError("overlap must be at least 0 and under the limit")
     starts = bisected(pages, limit - overlap, [sorted(p - 1 for p in openings if 1 < p <= pages)], lambda a, b, m: m)
-    return [(a + 1 - (overlap if a else 0), b) for a, b in zip(starts, [*starts[1:], pages])]
+    pieces, last = [], 0
+    for a, b in zip(starts, [*starts[1:], pages]):
+        last = max(last + 1, a + 1 - overlap)
+        pieces.append((last, b))
+    return pieces
 
 
 _BLOCK_OUT = "outcome_id long, block_index int, piece_no int, pieces int, start int, end int, text string"
@@ -130,6 +141,25 @@ def split_outcomes(outcomes: DataFrame, limit: int = PAGE_LIMIT, overlap: int =
     return whole.unionByName(map_rows(pages.where(~small), cut, _PAGE_OUT))
 
 
+def rebuilt_blocks(pieces: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(outcome_id, block_index, size, text_md5, too_long, bad_joins) of pieces put together again.
+
+    pieces: what split_blocks gives. The text is that of the pieces without what each shares
+    with its predecessor; too_long counts pieces over the limit, bad_joins those that leave a
+    gap, share more than the overlap or start at or before their predecessor's start. A block
+    stands in one outcome, whose pieces are one group of the aggregation.
+    """
+    row = F.struct("piece_no", "start", "end", F.col("text").alias("piece"))
+    rows = pieces.groupBy("outcome_id", "block_index").agg(F.array_sort(F.collect_list(row)).alias("p"))
+    before = lambda k: F.element_at(F.col("p"), k)
+    own = F.transform("p", lambda x, k: F.struct(x["piece"].alias("piece"), x["start"].alias("a"), x["end"].alias("b"), F.when(k > 0, before(k)["end"]).alias("last_b"), F.when(k > 0, before(k)["start"]).alias("last_a")))
+    rows = rows.select("outcome_id", "block_index", own.alias("p"))
+    text = F.array_join(F.transform("p", lambda x: F.substring(x["piece"], F.coalesce(x["last_b"] - x["a"], F.lit(0)) + 1, F.length(x["piece"]))), "")
+    bad = F.size(F.filter("p", lambda x: (x["a"] > x["last_b"]) | (x["last_b"] - x["a"] > overlap) | (x["a"] <= x["last_a"])))
+    long = F.size(F.filter("p", lambda x: F.length(x["piece"]) > limit))
+    return rows.select("outcome_id", "block_index", F.length(text).alias("size"), F.md5(text.cast("binary")).alias("text_md5"), long.alias("too_long"), bad.alias("bad_joins"))
+
+
 def oversized(outcomes: DataFrame) -> DataFrame:
     """(outcome_id, block_index) of the blocks and outcomes that came out as several pieces."""
     cut = split_blocks(outcomes).select("outcome_id", "block_index", "piece_no", "pieces").unionByName(
