@@ -5,33 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Never more hot keys than this, so that the table of hot keys may be broadcast.
-MOST_HOT = 2000
+from millrace.session import checkpointed
+
 #: Rows of one key that a single task takes without being split.
 ROWS_A_SALT = 20_000
+#: A table of hot keys is broadcast only if it has been counted and is no larger than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 8 << 20
 
 
 def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
-    """(key, salts) of the keys with more than ROWS_A_SALT rows, the MOST_HOT largest of them.
+    """(key, salts) of every key with more than ROWS_A_SALT rows. counts has one row per key.
 
-    counts has one row per key. The number of hot keys is bounded whatever the data, which
-    bounds the broadcast in :func:`join_to_unique`. A key that the bound leaves out has no
-    more rows than each of MOST_HOT others, so under a MOST_HOT-th of all rows; it is joined
-    like any other key.
+    The table is written once and measured: within the two limits it is marked to be
+    broadcast, beyond them it is joined by a shuffle, whose skewed partitions Spark splits
+    at run time. Every key over ROWS_A_SALT gets its salts, however many there are.
     """
-    large = counts.where(F.col(n) > ROWS_A_SALT).orderBy(F.desc(n), key).limit(MOST_HOT)
-    return large.select(F.col(key), F.ceil(F.col(n) / F.lit(ROWS_A_SALT)).cast("int").alias("_salts"))
+    hot = checkpointed(counts.where(F.col(n) > ROWS_A_SALT).select(F.col(key), F.ceil(F.col(n) / F.lit(ROWS_A_SALT)).cast("int").alias("_salts")))
+    rows, size = hot.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct(key)))), F.lit(0))).first()
+    return F.broadcast(hot) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else hot
 
 
 def join_to_unique(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, spread: Column, how: str = "left") -> DataFrame:
     """``many`` joined to ``one`` (unique by key), the rows of hot keys spread over salts.
 
-    spread is an integer expression over ``many`` that tells its rows apart. The row of a
-    hot key is copied once per salt; rows of other keys take salt 0. Null keys join nothing.
+    hot comes from :func:`hot_keys`. spread is an integer expression over ``many`` that tells
+    its rows apart. The row of a hot key is copied once per salt; rows of other keys take
+    salt 0, those of null keys, which join nothing, a salt of their own each time.
     """
-    hot = F.broadcast(hot)
     left = many.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_salts").isNotNull(), F.pmod(spread, F.col("_salts")).cast("int")).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_salts").isNotNull(), F.pmod(spread, F.col("_salts")).cast("int")).when(F.col(key).isNull(), F.pmod(spread, F.lit(1 << 20)).cast("int")).otherwise(F.lit(0))
     ).drop("_salts")
     right = (
         one.join(hot, key, "left")
