@@ -16,6 +16,22 @@ def test_cuts_cover_the_text(text):
     assert at[0] == 0 and at == sorted(set(at)) and all(b - a <= tokens.LONGEST for a, b in zip(at, [*at[1:], len(text)]))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abc d", max_size=900), max_size=8))
+def test_cuts_of_many_texts_are_those_of_each(texts):
+    assert tokens.cuts_of(texts) == [tokens.cuts(t) for t in texts]
+
+
+def test_shared_passages_across_long_texts(spark):
+    rng = random.Random(3)
+    words = ["alpha", "beta,", "gamma", "  delta", "9x", "é\n", "zeta"]
+    passage = [" ".join(rng.choice(words) for _ in range(600)) for _ in range(4)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(90))) + rng.choice(passage) + rng.choice(passage) for _ in range(40)]
+    encode = tokens.encoding(tokens.vocabulary()).encode_ordinary
+    got = {r.doc_id: r.ids for r in tokens.encode_corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: encode(t) for k, t in enumerate(texts)}
+
+
 def test_cuts_depend_on_content_only():
     rng = random.Random(1)
     body = "".join(rng.choice("abcdefgh ") for _ in range(4000))
@@ -39,7 +55,7 @@ def test_ids_equal_the_encoder(spark):
 
 def test_repeated_rows_keep_their_number(spark, monkeypatch):
     monkeypatch.setattr("millrace.operators.skew.ROWS_A_SALT", 3)
-    monkeypatch.setattr("millrace.operators.skew.MOST_HOT", 1000)
+    monkeypatch.setattr("millrace.operators.skew.BROADCAST_ROWS", 0)
     df = spark.createDataFrame([(k, "the same text again and again " * 30) for k in range(40)] + [(7, "the same text again and again " * 30)], "doc_id long, text string")
     rows = tokens.encode_corpus(df).collect()
     assert len(rows) == 41 and len({tuple(r.ids) for r in rows}) == 1
