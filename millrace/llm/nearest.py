@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions.clock import DAY, HOUR, machine, micros
 from millrace.operators.skew import hot_keys
+from millrace.session import checkpointed
 
 RANGE = 4 * DAY
-ROWS_A_GROUP = 250_000
+ROWS_A_TASK, GROUPS_A_TASK = 125_000, 8  # several small groups even out what a hash gives a task
 _OUT = "record_id string, gap long, at long, reading_id long"
 
 
@@ -67,18 +68,23 @@ def nearest_readings(records: DataFrame, readings: DataFrame) -> DataFrame:
     span = F.lit(RANGE)
     records = records.withColumn("range", F.explode(F.sequence(F.floor((F.col("at") - F.col("within")) / span), F.floor((F.col("at") + F.col("within")) / span))))
     readings = readings.withColumn("range", F.floor(F.col("at") / span))
-    total = readings.count()
-    counts = readings.groupBy("entity", "range").agg(F.count("*").alias("n")).withColumn("place", F.struct("entity", "range"))
-    hot = F.broadcast(hot_keys(counts, "place", "n").select("place.*", "_salts"))
-    groups = F.lit(max(1, total // ROWS_A_GROUP))
+    # One row per range: read for the number of readings and for the hot ranges.
+    counts = checkpointed(readings.groupBy("entity", "range").agg(F.count("*").alias("n")))
+    tasks = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // ROWS_A_TASK)
+    hot = hot_keys(counts.select(F.struct("entity", "range").alias("place"), "n"), "place", "n").select("place.*", "_salts")
 
     def grouped(df: DataFrame, salt) -> DataFrame:
-        return df.join(hot, ["entity", "range"], "left").withColumn("salt", salt).withColumn("group", F.pmod(F.xxhash64("entity", "range", "salt"), groups))
+        placed = df.join(hot, ["entity", "range"], "left").withColumn("salt", salt)
+        return placed.withColumn("group", F.pmod(F.xxhash64("entity", "range", "salt"), F.lit(tasks * GROUPS_A_TASK)))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        """Partitions by the number of rows, so that a task's share stays the same however many there are."""
+        return df.repartition(tasks, "group").groupBy("group")
 
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     left = grouped(records, F.explode(F.sequence(F.lit(0), salts - 1))).select("group", "record_id", "entity", "at", "within")
     right = grouped(readings, F.pmod(F.xxhash64("reading_id"), salts).cast("int")).select("group", "reading_id", "entity", "at")
-    pairs = left.groupBy("group").cogroup(right.groupBy("group")).applyInArrow(nearest_in_group, _OUT)
+    pairs = dealt(left).cogroup(dealt(right)).applyInArrow(nearest_in_group, _OUT)
     best = pairs.groupBy("record_id").agg(F.min(F.struct("gap", "at", "reading_id")).alias("best"))
     return best.select("record_id", "best.reading_id", "best.gap")
 

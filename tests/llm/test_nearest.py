@@ -29,8 +29,7 @@ def test_against_brute_force(spark, monkeypatch):
     assert got == want
     # Hot ranges split over salts, many groups: the same.
     monkeypatch.setattr("millrace.operators.skew.ROWS_A_SALT", 20)
-    monkeypatch.setattr("millrace.operators.skew.MOST_HOT", 10_000)
-    monkeypatch.setattr(nearest, "ROWS_A_GROUP", 100)
+    monkeypatch.setattr(nearest, "ROWS_A_TASK", 100)
     assert {r.record_id: r.reading_id for r in nearest.nearest_readings(left, right).collect()} == want
 
 
