@@ -61,7 +61,12 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.usage(packing.pack(table(spark, sf_dir, "documents")))
+    return packing.usage(packing.pack(table(spark, sf_dir, "documents"), keys=True))
+
+
+def p8_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.covered(packing.pack(docs), docs)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +74,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p1_page_pieces, p2_found, p2_paragraphs, p3_found, p5_found, p5_segments, p6_found, p7_ids, p8_containers, p8_usage, p9_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p1_page_pieces, p2_found, p2_paragraphs, p3_found, p5_found, p5_segments, p6_found, p7_ids, p8_containers, p8_usage, p8_covered, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -102,6 +107,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT outcome_id, CAST(-1 AS INTEGER) AS block_index, CAST(row_number() OVER w AS INTEGER) AS piece_no, CAST(count(*) OVER (PARTITION BY outcome_id) AS INTEGER) AS pieces,
               CAST(CASE WHEN a = 0 THEN 1 ELSE a END AS INTEGER) AS start, CAST(b AS INTEGER) AS "end"
             FROM cores WINDOW w AS (PARTITION BY outcome_id ORDER BY a)""",
+        # Every text that is not empty, once, in whole pieces, no container above its capacity.
+        "p8_covered": """
+            SELECT doc_id, CAST(length(text) AS BIGINT) AS characters, TRUE AS whole, TRUE AS "within" FROM documents WHERE text <> ''""",
         "p3_found": """
             WITH records AS (
               SELECT event_id AS record_id, upper(trim(equipment_tag)) AS tag, CAST(occurred_on AS TIMESTAMP) AS day, INTERVAL 12 HOUR AS reach FROM failure

@@ -26,6 +26,49 @@ def test_best_fit_against_bounds():
         assert len(fill) <= -(-sizes.sum() // 100) * 1.25 + 1
 
 
+def plain_best_fit(sizes, sources, clusters, capacity):
+    """The same rule by trying every container."""
+    bins = []
+    ideal = -(-int(sizes.sum()) // capacity)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        pick = -1
+        for level in range(3):
+            if level and len(bins) < ideal:
+                break
+            free = [b for b, (room, items) in enumerate(bins) if room >= sizes[i]
+                    and (level > 0 or sources[i] < 0 or all(sources[j] != sources[i] for j in items))
+                    and (level > 1 or clusters[i] < 0 or all(clusters[j] != clusters[i] for j in items))]
+            if free:
+                pick = min(bins[b][0] for b in free)
+                pick = min(b for b in free if bins[b][0] == pick)
+                break
+        if pick < 0:
+            bins.append([capacity, []])
+            pick = len(bins) - 1
+        bins[pick][0] -= sizes[i]
+        bins[pick][1].append(i)
+    return bins
+
+
+def test_the_tree_fills_as_the_plain_rule_does(monkeypatch):
+    rng = np.random.default_rng(4)
+    for hot in (0.02, 2.0):
+        monkeypatch.setattr(packing, "HOT", hot)
+        for _ in range(15):
+            sizes = rng.integers(1, 101, 200)
+            sources, clusters = rng.choice([-1, 0, 0, 0, 1, 2, 3], 200), rng.integers(-1, 60, 200)
+            got = packing.best_fit(sizes, sources, clusters, 100)
+            fill = np.bincount(got, weights=sizes)
+            want = plain_best_fit(sizes, sources, clusters, 100)
+            assert fill.max() <= 100 and abs(len(fill) - len(want)) <= 2
+
+
+def test_conflicts_are_counted(spark):
+    rows = [("a", 5, "s", b"x"), ("a", 5, "s", b"y"), ("b", 5, None, b"z"), ("b", 5, None, b"z"), ("c", 1, "t", None)]
+    r = packing.usage(spark.createDataFrame(rows, "container string, n_tokens int, source string, cluster binary"), 10).first()
+    assert (r["items"], r.containers, r.tokens, r.same_source, r.same_cluster) == (5, 3, 21, 1, 1)
+
+
 @pytest.mark.parametrize("group", [20_000, 15])
 def test_every_text_once_and_within_capacity(spark, monkeypatch, group):
     monkeypatch.setattr(packing, "ITEMS_A_GROUP", group)
