@@ -76,17 +76,13 @@ def name_base(text: Column) -> Column:
     return compact(F.regexp_replace(text, r"(?:^|(?<=[^A-Z0-9]))[A-Z](?=$|[^A-Z0-9])", " "))
 
 
-def swapped(a: Column, b: Column) -> Column:
-    """b is a with two neighbouring characters swapped."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1)))
-    return (F.length(a) == F.length(b)) & F.exists(
-        places, lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b
-    )
-
-
 def pigeonhole(values: DataFrame, value: str, refs: DataFrame, ref: str, k: int) -> DataFrame:
     """All pairs of a row of ``values`` and one of ``refs`` whose strings are within k edits.
 
+    A reference string is cut into k + 1 segments; k edits leave one intact. Segment i (from
+    0) of a reference that is d characters longer than the value can stand only at shifts s
+    with |s| <= i and |s - d| <= k - i, if it is the first intact one seen from the left or
+    the last one seen from the right, so a value has 6 probes for one edit and 19 for two.
     The result has the columns of both and ``edits``. A reference of under k + 1 characters
     has empty segments, which match any value of a length near its own.
     """
@@ -94,20 +90,19 @@ def pigeonhole(values: DataFrame, value: str, refs: DataFrame, ref: str, k: int)
     cut = refs.where(F.col(ref).isNotNull()).withColumn("_seg", F.explode(F.sequence(F.lit(0), F.lit(k))))
     begin, end = F.floor(F.col("_seg") * size / F.lit(k + 1)), F.floor((F.col("_seg") + 1) * size / F.lit(k + 1))
     cut = cut.withColumn("_size", size).withColumn("_part", F.substring(F.col(ref), (begin + 1).cast("int"), (end - begin).cast("int")))
-    # The probes of a value: each reference length, segment and shift that k edits allow.
-    shifts = F.array(*[F.lit(s) for s in range(-k, k + 1)])
-    probe = values.where(F.col(value).isNotNull()).withColumn("_size", F.explode(F.transform(shifts, lambda s: s + F.length(value)))).where("_size > 0")
-    probe = probe.withColumn("_seg", F.explode(F.sequence(F.lit(0), F.lit(k)))).withColumn("_shift", F.explode(shifts))
+    # The probes of a value: (longer, segment, shift), the reference being that much longer.
+    places = [(d, i, s) for d in range(-k, k + 1) for i in range(k + 1) for s in range(-i, i + 1) if abs(-s - d) <= k - i]
+    probe = values.where(F.col(value).isNotNull()).withColumn("_p", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in places])))
+    probe = probe.withColumn("_size", F.length(value) + F.col("_p.d")).withColumn("_seg", F.col("_p.i")).where("_size > 0")
     begin, end = F.floor(F.col("_seg") * F.col("_size") / F.lit(k + 1)), F.floor((F.col("_seg") + 1) * F.col("_size") / F.lit(k + 1))
-    at = (begin + 1 + F.col("_shift")).cast("int")
-    probe = probe.withColumn("_at", at).where((F.col("_at") >= 1) & (F.col("_at") <= F.length(value) + 1))
-    probe = probe.withColumn("_part", F.substring(F.col(value), F.col("_at"), (end - begin).cast("int"))).where(F.length("_part") == end - begin).drop("_shift", "_at")
-    pairs = probe.distinct().join(cut, ["_size", "_seg", "_part"]).drop("_size", "_seg", "_part").distinct()
-    return pairs.withColumn("edits", F.levenshtein(F.col(value), F.col(ref), k)).where("edits >= 0")
+    probe = probe.withColumn("_at", (begin + 1 + F.col("_p.s")).cast("int")).where((F.col("_at") >= 1) & (F.col("_at") <= F.length(value) + 1))
+    probe = probe.withColumn("_part", F.substring(F.col(value), F.col("_at"), (end - begin).cast("int"))).where(F.length("_part") == end - begin).drop("_p", "_at")
+    pairs = probe.join(cut, ["_size", "_seg", "_part"]).drop("_size", "_seg", "_part")
+    return pairs.withColumn("edits", F.levenshtein(F.col(value), F.col(ref), k)).where("edits >= 0").distinct()
 
 
 def resolve_distinct(raws: DataFrame, registry: DataFrame) -> DataFrame:
-    """(raw, tag, tier) of the distinct values that resolve. raws: raw; registry: tag, name."""
+    """(raw, tag, tier, edits) of the distinct values that resolve. raws: raw; registry: tag, name."""
     refs = registry.select("tag", cleaned(F.col("name")).alias("_name")).where("tag IS NOT NULL").distinct()
     refs = refs.select(
         "tag",
@@ -119,48 +114,47 @@ def resolve_distinct(raws: DataFrame, registry: DataFrame) -> DataFrame:
         F.regexp_extract(cleaned(F.col("tag")), r"(\d+[A-Z]?)$", 1).alias("number"),
     )
     # A name with its kind first, as in "pump, crude charge".
-    names = refs.where("ref_name <> ''").withColumn(
-        "ref_name", F.explode(F.array_distinct(F.array("ref_name", F.concat("kind", F.expr("regexp_replace(ref_name, concat(kind, '$'), '')")))))
-    ).select("tag", "ref_name", "letter")
+    turned = F.concat("kind", F.expr("regexp_replace(ref_name, concat(kind, '$'), '')"))
+    names = refs.where("ref_name <> ''").select("tag", "letter", F.explode(F.array_distinct(F.array("ref_name", turned))).alias("ref"))
+    numbered = refs.where("kind <> '' AND number <> ''").select("tag", F.concat("kind", "number").alias("ref"))
     values = raws.select("raw", cleaned(F.col("raw")).alias("text"))
-    values = values.select(
-        "raw", "text",
-        compact(F.col("text")).alias("whole"),
-        compact(bare(F.col("text"))).alias("core"),
+    loose = F.regexp_extract_all(F.col("text"), F.lit(r"(?<![A-Z0-9])([A-Z]{1,4}[^A-Z0-9]?\d{2,5}[A-Z]?)(?![A-Z0-9])"), F.lit(1))
+    kind_number = F.regexp_extract("text", r"^(" + "|".join(KINDS) + r")S?\s*(?:#|NO\.?|NUMBER)?\s*\d+[A-Z]?$", 1)
+    values = values.withColumn("bare", bare(F.col("text"))).select(
+        "raw",
+        # The spellings under which a value is compared, each with the tier it belongs to.
+        F.array(compact(F.col("text")), compact(F.col("bare"))).alias("whole"),
+        F.transform(loose, compact).alias("inside"),
+        F.array_distinct(F.array(folded(F.col("text")), folded(F.col("bare")))).alias("fold"),
         name_base(F.col("text")).alias("base"),
-        unit_letter(F.col("text")).alias("letter"),
+        unit_letter(F.col("text")).alias("own_letter"),
+        F.when(kind_number != "", F.concat(kind_number, F.regexp_extract("text", r"(\d+[A-Z]?)$", 1))).alias("numbered"),
     )
-    # Written once: every tier reads them, and the plan of each stays small.
+    # Written once: every join reads them, and the plan of each stays small.
     values = checkpointed(values)
-    loose = F.regexp_extract_all(F.col("text"), F.lit(r"(?<![A-Z0-9])([A-Z]{1,4}[^A-Z0-9]?\d{2,5}[A-Z]?)(?![A-Z0-9])"), F.lit(1))
-
-    def equal(keys: Column) -> DataFrame:
-        return values.select("raw", F.explode(keys).alias("ref_tag")).join(refs.select("tag", "ref_tag"), "ref_tag")
-
-    exact, inside = equal(F.array_distinct(F.array("whole", "core"))), equal(F.array_distinct(F.transform(loose, compact)))
-    views = F.explode(F.array_distinct(F.array(folded(F.col("text")), folded(bare(F.col("text"))))))
-    fold = values.select("raw", views.alias("ref_fold")).where("ref_fold <> ''").join(refs.select("tag", "ref_fold"), "ref_fold")
-    named = values.select("raw", F.col("base").alias("ref_name"), "letter").join(names, ["ref_name", "letter"])
-    number = values.select(
-        "raw",
-        F.regexp_extract("text", r"^(" + "|".join(KINDS) + r")S?\s*(?:#|NO\.?|NUMBER)?\s*\d+[A-Z]?$", 1).alias("kind"),
-        F.regexp_extract("text", r"(\d+[A-Z]?)$", 1).alias("number"),
-    ).where("kind <> ''").join(refs.select("tag", "kind", "number"), ["kind", "number"])
-
-    def numbered(tiers: list[DataFrame], first: int) -> DataFrame:
-        return reduce(DataFrame.unionByName, [t.select("raw", "tag", F.lit(k).alias("tier"), F.col("edits")) for k, t in enumerate(tiers, first)])
-
-    equalities = checkpointed(numbered([t.withColumn("edits", F.lit(0)) for t in (exact, inside, fold, named, number)], 1))
-    # Only what no equality has found goes through the pigeonhole joins.
-    rest = values.join(equalities.select("raw").distinct(), "raw", "left_anti")
-    near = pigeonhole(rest.select("raw", F.explode(F.array_distinct(F.array("whole", "core"))).alias("value")).where("value rlike '[0-9]'"), "value", refs.select("tag", "ref_tag"), "ref_tag", EDITS)
-    near = near.where((F.col("edits") == 1) | swapped(F.col("value"), F.col("ref_tag")))
-    close = pigeonhole(rest.where("base <> ''").select("raw", F.col("base").alias("value"), F.col("letter").alias("own_letter")), "value", names, "ref_name", EDITS)
-    found = equalities.unionByName(numbered([near, close.where("own_letter = letter")], 6))
+    views = values.select("raw", F.explode(F.array_distinct(F.concat(F.transform("whole", lambda v: F.struct(v.alias("value"), F.lit(1).alias("tier"))), F.transform("inside", lambda v: F.struct(v.alias("value"), F.lit(2).alias("tier")))))).alias("v"))
+    views = views.select("raw", "v.*").where("value <> ''")
+    tags = pigeonhole(views, "value", refs.select("tag", F.col("ref_tag").alias("ref")), "ref", 1)
+    tags = tags.withColumn("tier", F.when(F.col("edits") == 0, F.col("tier")).when((F.col("tier") == 1) & F.col("value").rlike("[0-9]"), F.lit(6)))
+    # Neighbours that changed places are two edits: undone, such a value equals a tag.
+    pairs = F.sequence(F.lit(1), F.greatest(F.length("value") - 1, F.lit(1)))
+    undone = F.transform(pairs, lambda i: F.concat(F.substring(F.col("value"), F.lit(1), i - 1), F.substring(F.col("value"), i + 1, F.lit(1)), F.substring(F.col("value"), i, F.lit(1)), F.substring(F.col("value"), i + 2, F.length("value"))))
+    turned = views.where("tier = 1 AND value rlike '[0-9]'").select("raw", F.explode(F.array_distinct(undone)).alias("value"))
+    turned = pigeonhole(turned, "value", refs.select("tag", F.col("ref_tag").alias("ref")), "ref", 0).select("raw", "tag", F.lit(6).alias("tier"), F.lit(2).alias("edits"))
+    folds = pigeonhole(values.select("raw", F.explode("fold").alias("value")).where("value <> ''"), "value", refs.select("tag", F.col("ref_fold").alias("ref")), "ref", 0)
+    named = pigeonhole(values.where("base <> ''").select("raw", F.col("base").alias("value"), "own_letter"), "value", names, "ref", EDITS).where("own_letter = letter")
+    counted = pigeonhole(values.select("raw", F.col("numbered").alias("value")), "value", numbered, "ref", 0)
+    found = (
+        tags.where("tier IS NOT NULL").select("raw", "tag", "tier", "edits")
+        .unionByName(turned)
+        .unionByName(folds.select("raw", "tag", F.lit(3).alias("tier"), "edits"))
+        .unionByName(named.select("raw", "tag", F.when(F.col("edits") == 0, 4).otherwise(7).alias("tier"), "edits"))
+        .unionByName(counted.select("raw", "tag", F.lit(5).alias("tier"), "edits"))
+    )
     # Tags of the best tier; the fewest edits within it.
     best = found.groupBy("raw", "tier", "edits").agg(F.min("tag").alias("tag"), F.max("tag").alias("other"))
     best = best.groupBy("raw").agg(F.min(F.struct("tier", "edits", "tag", "other")).alias("b"))
-    return best.where("b.tag = b.other").select("raw", "b.tag", "b.tier")
+    return best.where("b.tag = b.other").select("raw", "b.tag", "b.tier", "b.edits")
 
 
 def resolve(rows: DataFrame, registry: DataFrame) -> DataFrame:
@@ -170,5 +164,5 @@ def resolve(rows: DataFrame, registry: DataFrame) -> DataFrame:
     counts = rows.groupBy("raw").agg(F.count("*").alias("n")).join(tags, "raw", "left_anti")
     counts = checkpointed(counts)
     resolved = checkpointed(resolve_distinct(counts.select("raw"), registry))
-    unmatched = counts.select("raw").join(resolved, "raw", "left_anti").select("raw", F.lit(UNMATCHED).alias("tag"), F.lit(0).alias("tier"))
+    unmatched = counts.select("raw").join(resolved, "raw", "left_anti").select("raw", F.lit(UNMATCHED).alias("tag"), F.lit(0).alias("tier"), F.lit(0).alias("edits"))
     return join_to_unique(rows, resolved.unionByName(unmatched), "raw", hot_keys(counts, "raw", "n"), F.xxhash64("resolution_id"), "inner").select("resolution_id", "tag")
