@@ -1,3 +1,7 @@
+import itertools
+
+import numpy as np
+
 from millrace.llm import languages as L
 
 SCHEMA = "query_id long, transcript string, language string, equipment_tag string"
@@ -32,9 +36,51 @@ def test_empty_table_and_confidence(spark):
     assert 0.5 < L.label_segments(df).first().confidence <= 1
 
 
+def by_seeds(text):
+    keys, stops = L.words_of(text)
+    rows = L.seed_rows()
+    e = L.emissions(keys, np.array([rows.get(k, np.zeros(5)) for k in keys]).reshape(-1, 5))
+    path = L.best_paths(e, np.array(stops, bool), np.array([len(keys)]), L.priors([None], None))
+    return [L.LANGUAGES[k] for k, _ in itertools.groupby(path)]
+
+
 def test_borrowed_words_and_tags_begin_no_segment():
-    table = L.seed_table()
-    prior = L._priors(None, None)
-    assert [s[0] for s in L.segments("எனக்கு P-101 vibration report வேண்டும்.", table, prior)] == ["ta"]
-    assert [s[0] for s in L.segments("mujhe pump ki pichhli report chahiye", table, prior)] == ["hi"]
-    assert L.segments("P-101 12.5 / 33", table, prior) == []
+    assert by_seeds("எனக்கு P-101 vibration report வேண்டும்.") == ["ta"]
+    assert by_seeds("mujhe pump ki pichhli report chahiye") == ["hi"]
+    assert L.words_of("P-101 12.5 / 33") == ([], [])
+
+
+def plain_path(e, stops, prior):
+    """One word after the other, every change tried."""
+    score, back = list(prior + e[0]), []
+    for row, stop in zip(e[1:], stops[1:]):
+        cost = L.SWITCH_AT_STOP if stop else L.SWITCH
+        back.append([max(range(5), key=lambda j: (score[j] - (cost if j != k else 0), j == k)) for k in range(5)])
+        score = [score[j] - (cost if j != k else 0) + row[k] for k, j in enumerate(back[-1])]
+    at = int(np.argmax(score))
+    path = [at]
+    for step in reversed(back):
+        at = step[at]
+        path.append(at)
+    return path[::-1]
+
+
+def test_paths_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 40, 60)
+    e = -rng.random((sizes.sum(), 5)).astype(np.float32) * 6
+    stops, prior = rng.random(sizes.sum()) < 0.3, -rng.random((60, 5))
+    want, at = [], 0
+    for n, p in zip(sizes, prior):
+        want += plain_path(e[at : at + n], stops[at : at + n], p)
+        at += n
+    assert L.best_paths(e, stops, sizes, prior).tolist() == want
+
+
+def test_repeated_rows_hot_machines_and_small_buckets(spark, monkeypatch):
+    monkeypatch.setattr(L, "ROWS_A_BUCKET", 7)
+    monkeypatch.setattr("millrace.operators.skew.ROWS_A_SALT", 5)
+    rows = [(k, [EN, HI, RO, f"{EN}. {HI}"][k % 4], "ta", "P-1" if k % 3 else None) for k in range(60)] * 2
+    got = L.label_segments(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 2 * (60 + 15) and {r.query_id for r in got} == set(range(60))
+    assert all(r.segments == (2 if r.query_id % 4 == 3 else 1) for r in got)
