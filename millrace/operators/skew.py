@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,20 @@ def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
     at run time. Every key over ROWS_A_SALT gets its salts, however many there are.
     """
     hot = checkpointed(counts.where(F.col(n) > ROWS_A_SALT).select(F.col(key), F.ceil(F.col(n) / F.lit(ROWS_A_SALT)).cast("int").alias("_salts")))
-    rows, size = hot.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct(key)))), F.lit(0))).first()
-    return F.broadcast(hot) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else hot
+    return F.broadcast(hot) if is_small(hot) else hot
+
+
+def is_small(written: DataFrame) -> bool:
+    """Whether a table that has been written may be broadcast: its rows and bytes are counted."""
+    rows, size = written.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*written.columns)))), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def join_to_measured(many: DataFrame, one: DataFrame, key: str, hot: Callable[[], DataFrame], spread: Column, how: str = "left") -> DataFrame:
+    """As :func:`join_to_unique`, where ``one`` has been written: broadcast if it is small, else with the hot keys."""
+    if is_small(one):
+        return many.join(F.broadcast(one), key, how)
+    return join_to_unique(many, one, key, hot(), spread, how)
 
 
 def join_to_unique(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, spread: Column, how: str = "left") -> DataFrame:
