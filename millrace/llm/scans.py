@@ -22,13 +22,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from itertools import combinations_with_replacement, islice
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.rows import map_rows
-from millrace.operators.skew import hot_keys, join_to_unique
+from millrace.operators.skew import hot_keys, join_to_measured, join_to_unique
 from millrace.session import checkpointed, spread
 
 #: Confusions as (right, wrong), fixed values; the second list is for tags, of digits taken for letters.
@@ -38,15 +38,18 @@ CONFUSIONS = [
 ]
 TAG_CONFUSIONS = [("1", "l"), ("0", "o"), ("5", "s"), ("2", "z"), ("8", "b"), ("6", "g"), ("6", "b"), ("9", "g"), ("1", "i"), ("7", "t"), ("4", "a")]
 MUCH, LEAST = 8, 3  # how much more frequent, and how frequent at least, the right word is
-EDGE = 3  # lines from the top and bottom of a page that can be furniture
+EDGE = 3  # lines from the top and bottom of a page that are looked at first for furniture
 EDGE_SHARE, PAGE_SHARE, OUTCOMES = 0.9, 0.45, 2
 
-_ONE = re.compile(r"ii|cl|rn|ri|vv|li")
-_ONES = {"ii": "u", "cl": "d", "rn": "m", "ri": "n", "vv": "w", "li": "h"}
-_LOOSE = str.maketrans({"c": "e", "¢": "e", "1": "i", "l": "i", "|": "i", "0": "o", "5": "s", "9": "g", "+": "t", "6": "b", "8": "b", "y": "v", "ä": "a", "h": "b", "n": "r", "ƒ": "f"})
-_NUMBER = re.compile(
-    r"^[\s\-–—\[(|·.]*(?:(?:page|pagc|pa9e|päge|pg|p9|p|sheet|shcet|5heet|shee\+|sbeet|seite|blatt|no)\b[\s.:]*)?(?:[0-9lioszb|]{1,4}|[ivxlc1]{1,7})(?:\s*(?:of|0f|oƒ|/|von|de|sur)\s*[0-9lioszb|]{1,4})?[\s\-–—\])|·.]*$", re.I
-)
+# What is confused is made alike: characters first, then pairs of what these have become.
+_LOOSE = str.maketrans({"c": "e", "¢": "e", "1": "i", "l": "i", "|": "i", "0": "o", "5": "s", "9": "g", "+": "t", "6": "b", "8": "b", "y": "v", "ä": "a", "h": "b", "u": "b", "n": "r", "ƒ": "f"})
+_ONE = re.compile(r"ii|ei|rr|ri|vv")
+_ONES = {"ii": "b", "ei": "d", "rr": "m", "ri": "r", "vv": "w"}
+# Words before a page number, and between it and the number of pages.
+PAGE_WORDS, OF_WORDS = ("page", "pg", "p", "sheet", "seite", "blatt", "no"), ("of", "von", "de", "sur", "/")
+_NUMERAL = re.compile(r"[0-9lioszb|]{1,4}|[ivxlc1]{1,7}")
+_BETWEEN = re.compile(r"[\s·()\[\]–—-]+|(?<=[^\W\d_])[.:]+\s*|[.:]$|(?=/)|(?<=/)")
+_MARKS = "-‐‑¬\u00ad"
 _MARK = re.compile(r"(?P<left>\S*[^\W\d_]\S*?)(?P<mark>[-‐‑¬­])\s*$")
 _HEAD = re.compile(r"^\s*(?P<right>[^\W\d_][^\s]*)")
 _TAG = re.compile(r"^[^\W_]{1,4}-[^\W_]{2,6}$")
@@ -54,19 +57,50 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"[-‐‑/]")
 _PARTS = re.compile(r"[\s|/—–\d#]+")
 _WORDY = re.compile(r"(?:[^\W\d_].*?){3}")
-#: A word with a character that stands in no word: for words too rare to have a known right form.
-ODD_WORD = "[a-z][+¢ƒ]|[+¢ƒ][a-z]|^[a-z]{2,}[01569][a-z]{2,}$"
 _STRIP = ".,;:()[]{}\"'’“”!?«»„…*<>"
 
 
+class Known(dict):
+    """What a function gives for tokens, kept while they are few: a corpus repeats its words."""
+
+    def __init__(self, of, most: int = 200_000) -> None:
+        super().__init__()
+        self.of, self.most = of, most
+
+    def __missing__(self, token: str):
+        if len(self) >= self.most:
+            self.clear()
+        self[token] = out = self.of(token)
+        return out
+
+
+def _fold(token: str) -> str:
+    text = _ONE.sub(lambda m: _ONES[m.group()], token.lower().translate(_LOOSE))
+    return "".join(_LETTERS.findall(text))
+
+
+_FOLDS = Known(_fold)
+#: The folded parts of a token that have three letters.
+_WORDS_IN = Known(lambda token: tuple(_FOLDS[p] for p in _PARTS.split(token) if _WORDY.search(p)))
+
+
 def edge_key(line: str) -> str:
     """The letters of a line with confusable ones made alike; equal for a header and its misreadings."""
-    text = _ONE.sub(lambda m: _ONES[m.group()], line.lower()).translate(_LOOSE)
-    return "".join(_LETTERS.findall(text))
+    return "".join(map(_FOLDS.__getitem__, line.split()))
 
 
 def is_page_number(line: str) -> bool:
-    return len(line.strip()) <= 24 and bool(_NUMBER.match(line.strip()))
+    """One numeral, with a word for page before it and a number of pages behind it at most."""
+    if len(line) > 40 or len(text := line.strip()) > 24:
+        return False
+    parts = [p for p in _BETWEEN.split(text.lower()) if p]
+    if len(parts) > 1 and _FOLDS[parts[0]] in _PAGE_FOLDS:
+        parts = parts[1:]
+    if len(parts) == 3 and (parts[1] == "/" or _FOLDS[parts[1]] in _OF_FOLDS):
+        parts = parts[::2]
+    elif len(parts) > 1:
+        return False
+    return bool(parts) and all(map(_NUMERAL.fullmatch, parts))
 
 
 def layout(blocks) -> list[dict]:
@@ -86,33 +120,66 @@ def layout(blocks) -> list[dict]:
     return lines
 
 
+_PAGE_FOLDS, _OF_FOLDS = set(map(_fold, PAGE_WORDS)), set(map(_fold, OF_WORDS[:-1]))
+
+
 def edge_keys(line: str) -> list[str]:
     """Keys under which a line is counted: its letters, and those of its first and last two words."""
-    key = edge_key(line)
+    tokens = line.split()
+    key = "".join(map(_FOLDS.__getitem__, tokens))
     if len(key) < 5:
         return []
-    words = _PARTS.split(line)
-    front = list(islice(filter(_WORDY.search, words), 3))
-    if len(front) < 3:
+    front, back = [], []
+    for token in tokens:
+        front += _WORDS_IN[token]
+        if len(front) >= 3:
+            break
+    else:
         return [key]
-    back = list(islice(filter(_WORDY.search, reversed(words)), 2))
-    first, last = edge_key(" ".join(front[:2])), edge_key(" ".join(back[::-1]))
+    for token in reversed(tokens):
+        back[:0] = _WORDS_IN[token]
+        if len(back) >= 2:
+            break
+    first, last = front[0] + front[1], back[-2] + back[-1]
     return [key] + ([f"<{first}"] if len(first) > 5 else []) + ([f"{last}>"] if len(last) > 5 else [])
 
 
 def edges(lines: list[dict]) -> tuple[Counter, Counter, set[str]]:
-    """(lines at edges, lines elsewhere, repeated on many pages) by key, page numbers left out."""
-    at, off, sides = Counter(), Counter(), defaultdict(set)
-    n = len({x["page"] for x in lines})
+    """(lines at edges, lines elsewhere, repeated on many pages) by key, page numbers left out.
+
+    The edge of a page is its first and last EDGE lines; where all of these repeat on many
+    pages it goes on by a line, and so forth, so that a header of any height is seen.
+    """
+    by_page = defaultdict(list)
     for x in lines:
-        x["keys"] = keys = [] if is_page_number(x["text"]) else edge_keys(x["text"])
-        at_edge = min(x["top"], x["bottom"]) < EDGE
-        (at if at_edge else off).update(keys)
-        for side in ("top", "bottom"):
-            if x[side] < EDGE:
-                for key in keys:
-                    sides[key, side].add(x["page"])
-    return at, off, {key for (key, _), pages in sides.items() if len(pages) >= max(2, PAGE_SHARE * n)}
+        by_page[x["page"]].append(x)
+        x["keys"] = [] if is_page_number(x["text"]) else edge_keys(x["text"])
+    n = len(by_page)
+    depth = {(page, side): EDGE for page in by_page for side in ("top", "bottom")}
+    while True:
+        sides = defaultdict(set)
+        for (page, side), deep in depth.items():
+            own = by_page[page]
+            for x in own[:deep] if side == "top" else own[-deep:]:
+                for key in x["keys"]:
+                    sides[key, side].add(page)
+        repeated = {(key, side) for (key, side), pages in sides.items() if len(pages) >= max(2, PAGE_SHARE * n)}
+        deeper = False
+        for (page, side), deep in depth.items():
+            own = by_page[page]
+            # The innermost line decides first: it hardly ever repeats.
+            inward = own[:deep][::-1] if side == "top" else own[-deep:]
+            if deep < len(own) and all(not x["keys"] or any((k, side) in repeated for k in x["keys"]) for x in inward):
+                depth[page, side] += 1
+                deeper = True
+        if not deeper:
+            break
+    at, off = Counter(), Counter()
+    for page, own in by_page.items():
+        top, bottom = depth[page, "top"], len(own) - depth[page, "bottom"]
+        for k, x in enumerate(own):
+            (at if k < top or k >= bottom else off).update(x["keys"])
+    return at, off, {key for key, _ in repeated}
 
 
 def local_furniture(lines: list[dict], at: Counter, off: Counter, repeated: set[str]) -> set[str]:
@@ -129,25 +196,28 @@ def mark_furniture(lines: list[dict], known: set[str]) -> None:
         x["furniture"] = False
         by_page[x["page"]].append(x)
     for own in by_page.values():
-        for run in (own[:EDGE], own[::-1][:EDGE]):
+        for run in (own, own[::-1]):
             for x in run:
                 if not (known.intersection(x["keys"]) or is_page_number(x["text"])):
                     break
                 x["furniture"] = True
 
 
+def _token_words(token: str) -> tuple[str, ...]:
+    word = token.strip(_STRIP).lower()
+    if not _LETTERS.search(word):
+        return ()
+    if _SPLIT.search(word) and not _TAG.match(word):
+        return word, *[p for p in (p.strip(_STRIP) for p in _SPLIT.split(word)) if sum(map(str.isalpha, p)) > 1]
+    return (word,)
+
+
+_TOKEN_WORDS = Known(_token_words)
+
+
 def words_of(text: str) -> list[str]:
     """The words and tags of a line in lower case; compounds whole and in parts."""
-    out = []
-    for token in text.split():
-        word = token.strip(_STRIP).lower()
-        if not _LETTERS.search(word):
-            continue
-        out.append(word)
-        if _SPLIT.search(word) and not _TAG.match(word):
-            parts = [p.strip(_STRIP) for p in _SPLIT.split(word)]
-            out += [p for p in parts if sum(map(str.isalpha, p)) > 1]
-    return out
+    return [w for token in text.split() for w in _TOKEN_WORDS[token]]
 
 
 def body_rows(lines: list[dict]) -> list[tuple]:
@@ -159,7 +229,7 @@ def body_rows(lines: list[dict]) -> list[tuple]:
         text = x["text"]
         if tail:
             text = re.sub(r"^\s*\S+", "", text)
-        cut = _MARK.search(x["text"])
+        cut = _MARK.search(x["text"]) if x["text"].rstrip()[-1:] in _MARKS else None
         head = _HEAD.match(after["text"]) if cut and after else None
         if cut:
             text = text[: len(text) - len(x["text"]) + cut.start()] if len(text) >= len(x["text"]) - cut.start() else ""
@@ -182,34 +252,49 @@ def anagram_hash(word: Column) -> Column:
 
 
 def differences(spark, confusions: list[tuple[str, str]], most: int) -> Column:
-    """An array of (diff, cost): what one to ``most`` confusions change in an anagram hash, and their edits.
+    """An array of (diff, cost, mask): what one to ``most`` confusions change in an anagram hash, their edits, and which they are.
 
     A few hundred entries, fixed by the list of confusions; computed once by Spark, whose hash it is.
     """
-    sets = [c for n in range(1, most + 1) for c in combinations_with_replacement(confusions, n)]
+    numbered = list(enumerate(confusions))
+    sets = [c for n in range(1, most + 1) for c in combinations_with_replacement(numbered, n)]
     # Not where one confusion works on the outcome of another.
-    sets = [c for c in sets if not any(set(w) & set(r) for i, (_, w) in enumerate(c) for j, (r, _) in enumerate(c) if i != j)]
-    rows = [("".join(r for r, _ in c), "".join(w for _, w in c), sum(max(len(r), len(w)) for r, w in c)) for c in sets]
-    table = spark.createDataFrame(rows, "right string, wrong string, cost int")
-    costs: dict[int, int] = {}
-    for diff, cost in table.select(anagram_hash(F.col("right")) - anagram_hash(F.col("wrong")), "cost").collect():
-        costs[diff] = max(cost, costs.get(diff, 0))
-    return F.array(*[F.struct(F.lit(d).cast("long").alias("diff"), F.lit(c).alias("cost")) for d, c in sorted(costs.items())])
+    sets = [c for c in sets if not any(set(w) & set(r) for i, (_, (_, w)) in enumerate(c) for j, (_, (r, _)) in enumerate(c) if i != j)]
+    rows = [("".join(r for _, (r, _) in c), "".join(w for _, (_, w) in c), sum(max(len(r), len(w)) for _, (r, w) in c), sum({1 << k for k, _ in c})) for c in sets]
+    table = spark.createDataFrame(rows, "right string, wrong string, cost int, mask long")
+    costs: dict[tuple[int, int], int] = {}
+    for diff, cost, mask in table.select(anagram_hash(F.col("right")) - anagram_hash(F.col("wrong")), "cost", "mask").collect():
+        costs[diff, mask] = max(cost, costs.get((diff, mask), 0))
+    # One expression as text: building it call by call takes the driver seconds.
+    return F.expr("array(" + ", ".join(f"named_struct('diff', {d}L, 'cost', {c}, 'mask', {m}L)" for (d, m), c in sorted(costs.items())) + ")")
+
+
+def shown(word: Column, confusions: list[tuple[str, str]]) -> Column:
+    """The confusions whose outcome stands in a word, as bits; no other can have made it."""
+    return sum((F.when(F.contains(word, F.lit(w)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, w) in enumerate(confusions)), F.lit(0).cast("long"))
 
 
 def corrections(vocabulary: DataFrame, registry: DataFrame | None) -> DataFrame:
     """(word, right, edits): the best correction of each misread word. vocabulary: word, n."""
     spark = vocabulary.sparkSession
     hashed = vocabulary.withColumn("hash", anagram_hash(F.col("word")))
-    known = hashed.where((F.col("n") >= LEAST) & F.col("word").rlike(r"^[\p{L}][\p{L}'’-]*$")).select(F.col("word").alias("right"), F.col("n").alias("n_right"), "hash")
-    doubtful = hashed.where(F.length("word") >= 2)
+    known = hashed.where((F.col("n") >= 1) & F.col("word").rlike(r"^[\p{L}][\p{L}'’-]*$")).select(F.col("word").alias("right"), F.col("n").alias("n_right"), "hash")
+    most = vocabulary.agg(F.max("n")).first()[0] or 0
+    # Only words that some word can be MUCH more frequent than, or that hold what no word does.
+    odd = ~F.col("word").rlike(r"^[\p{L}][\p{L}'’-]*$")
+    doubtful = hashed.where((F.length("word") >= 2) & ((F.col("n") * MUCH <= most) | odd))
 
     def shift(words: DataFrame, confusions: list[tuple[str, str]]) -> DataFrame:
-        each = words.select("word", "n", "hash", F.explode(differences(spark, confusions, 2)).alias("d"))
+        masked = words.withColumn("mask", shown(F.col("word"), confusions)).where("mask <> 0")
+        able = F.filter(differences(spark, confusions, 2), lambda d: d["mask"].bitwiseAND(F.col("mask")) == d["mask"])
+        each = masked.select("word", "n", "hash", F.explode(able).alias("d"))
         return each.select("word", "n", "d.cost", (F.col("hash") + F.col("d.diff")).alias("hash"))
 
     shifted = shift(doubtful, CONFUSIONS)
-    pairs = shifted.join(known, "hash").where((F.col("n_right") >= MUCH * F.col("n")) & (F.col("word") != F.col("right")))
+    # A word with a character that stands in no word is wrong whatever its right form's frequency.
+    mixed = F.col("word").rlike(r"^(?=.*\p{L}.*\p{L})[\p{L}'’-]*[^\p{L}'’.,:/_-][\p{L}'’-]*$")
+    much = F.col("n_right") >= F.greatest(MUCH * F.col("n"), F.lit(LEAST))
+    pairs = shifted.join(known, "hash").where((much | mixed) & (F.col("word") != F.col("right")))
     if registry is not None:
         tags = registry.select(F.lower(F.trim("tag")).alias("right")).where("right <> ''").distinct()
         tags = tags.select("right", F.lit(1 << 40).alias("n_right"), anagram_hash(F.col("right")).alias("hash"))
@@ -236,11 +321,13 @@ def lines_of(outcomes: DataFrame) -> DataFrame:
         return [(outcome, key, at[key], off[key], key in repeated) for key in at.keys() | off.keys()]
 
     pages = spread(scanned(outcomes))
-    keys = map_rows(pages, edge_rows, "outcome_id long, key string, at int, off int, repeated boolean")
+    # Written once: the corpus' totals and the outcomes' own keys are read from it.
+    keys = checkpointed(map_rows(pages, edge_rows, "outcome_id long, key string, at int, off int, repeated boolean"))
     totals = keys.groupBy("key").agg(F.sum("at").alias("at"), F.sum("off").alias("off"), F.sum(F.col("repeated").cast("int")).alias("outcomes"), F.count("*").alias("n"))
     least = F.when(F.col("key").rlike("^<|>$"), OUTCOMES + 1).otherwise(OUTCOMES)
-    good = totals.where((F.col("outcomes") >= least) & (F.col("at") >= EDGE_SHARE * (F.col("at") + F.col("off")))).select("key", F.lit(True).alias("good"))
-    own = join_to_unique(keys.where("at > 0").select("outcome_id", "key"), good, "key", hot_keys(totals, "key", "n"), F.xxhash64("outcome_id"), "inner")
+    good = checkpointed(totals.where((F.col("outcomes") >= least) & (F.col("at") >= EDGE_SHARE * (F.col("at") + F.col("off")))).select("key", "n"))
+    hot = lambda: hot_keys(good, "key", "n")
+    own = join_to_measured(keys.where("at > 0").select("outcome_id", "key"), good.select("key"), "key", hot, F.xxhash64("outcome_id"), "inner")
     own = own.groupBy("outcome_id").agg(F.collect_set("key").alias("known"))
 
     def line_rows(outcome: int, blocks: list, known: list | None) -> list[tuple]:
@@ -298,9 +385,8 @@ def defects(outcomes: DataFrame, registry: DataFrame | None = None) -> DataFrame
     split = wrong.where(~in_right).select(*at).unionByName(wrong.where(in_right).select(*after))
     kept = cuts.where("NOT is_word")
     parts = kept.select(*at, F.explode(F.split("left", "-")).alias("word")).unionByName(kept.select(*after, F.explode(F.split("right", "-")).alias("word")))
-    hot = hot_keys(found["vocabulary"], "word", "rows")
-    wrong_words = right.select("word").unionByName(found["vocabulary"].where(F.col("word").rlike(ODD_WORD)).select("word")).distinct()
-    misread = join_to_unique(words.unionByName(parts), wrong_words, "word", hot, F.xxhash64(*at), "inner").select(*at).unionByName(split)
+    hot = lambda: hot_keys(found["vocabulary"], "word", "rows")
+    misread = join_to_measured(words.unionByName(parts), right.select("word"), "word", hot, F.xxhash64(*at), "inner").select(*at).unionByName(split)
     furniture = lines.where("furniture").select(*at, F.lit("furniture").alias("defect"))
     return furniture.unionByName(hyphens).unionByName(misread.withColumn("defect", F.lit("misread"))).distinct()
 
@@ -320,8 +406,8 @@ def repaired(outcomes: DataFrame, registry: DataFrame | None = None) -> DataFram
     """(outcome_id, paragraph_no, page, text): scanned outcomes as continuous paragraphs."""
     found = evidence(outcomes, registry)
     words, right, cuts = found["words"], found["right"], found["cuts"]
-    hot = hot_keys(found["vocabulary"], "word", "rows")
-    fixes = join_to_unique(words, right.select("word", "right"), "word", hot, F.xxhash64("outcome_id", "block_index", "line_no"), "inner")
+    hot = lambda: hot_keys(found["vocabulary"], "word", "rows")
+    fixes = join_to_measured(words, right.select("word", "right"), "word", hot, F.xxhash64("outcome_id", "block_index", "line_no"), "inner")
     fixes = fixes.select("outcome_id", "word", "right").unionByName(cuts.where("is_word AND whole IS NOT NULL").select("outcome_id", F.col("joined").alias("word"), F.col("whole").alias("right")))
     fixes = fixes.distinct().groupBy("outcome_id").agg(F.collect_list(F.struct("word", "right")).alias("fixes"))
     joins = cuts.where("is_word").groupBy("outcome_id").agg(F.collect_list(F.struct("block_index", "line_no")).alias("joins"))
