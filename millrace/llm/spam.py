@@ -1,42 +1,50 @@
 """Problem 9: keyword stuffing, link lists and product tags or offers instead of sentences.
 
-Per document: link density, separators, repetition, word entropy, function words, trade
-words and plant structure. Per language, the features get a robust centre and spread
-(median and median deviation, by grouped percentiles) and a robust correlation (of values
-clipped to three spreads, by grouped means); a document is an outlier by its Mahalanobis
-distance, and a suspect if the outlier lies in the spam-directed half-space (more links,
-separators, repetition and trade words, less entropy, function words and plant structure).
-A suspect is spam if most of its characters then stand in units that are links, tags,
-offers or stuffing, judged unit by unit over the whole text.
-
-Defined results: null, empty, blank and wordless texts -> never spam; one-word texts -> not
-spam; repeated texts -> judged alike; a language with too few documents to estimate from is
-judged by the figures of all documents together; an empty table -> no rows.
+Five features of the whole text: density (the share of it that is links, or words outside
+sentences without marks of the plant's own papers), repetition (of neighbouring words),
+entropy, function words, and structure (words beside such marks: machine tags, quantities,
+drawing numbers, links to papers). Per language they get a robust centre and spread (median
+and median deviation, by grouped percentiles) and a robust correlation (of values clipped to
+three spreads, by grouped means). A document's deviation is shrunk where it has few words.
+
+It is spam if its squared Mahalanobis distance lies in the chi-square tail and its direction
+is that of spam: the cosine, in the metric of the distance, of the angle between deviation
+and SPAMWARD is above COSINE. Nothing else decides.
+
+A sentence is a unit of four words or more of which a sixth are function words; in Indic
+scripts, whose function words are few and joined to others, one of three words that ends with
+a mark. Defined results: null, empty, blank and wordless texts -> never spam; one-word texts
+-> not spam; repeated texts -> judged alike; a language with too few documents to estimate
+from is judged by the figures of all documents together; an empty table -> no rows.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import checkpointed, spread
 
-FEATURES = ("links", "separators", "repetition", "entropy", "function", "trade", "structure")
-#: Spam-directed signs of the features.
-SIGNS = np.array([1, 1, 1, -1, -1, 1, -1], float)
+FEATURES = ("density", "repetition", "entropy", "function", "structure")
+#: The direction of spam: denser, more repetitive, less entropy, function words and structure.
+SPAMWARD = np.array([2, 0.5, -0.5, -1, -1])
+COSINE = 0.3
+#: Chi-square of 5 degrees of freedom at 0.999.
+DISTANCE_2 = 20.515
 #: The least spread of a feature, where most documents agree.
-FLOOR = np.array([0.02, 0.05, 0.05, 0.05, 0.08, 0.02, 0.05])
+FLOOR = np.array([0.1, 0.1, 0.05, 0.08, 0.1])
 CLIP, RIDGE, LEAST_DOCS = 3.0, 0.1, 50
-#: Chi-square of 7 degrees of freedom at 0.95: liberal, as the check by units follows.
-DISTANCE_2 = 14.07
-MOSTLY = 0.5
+#: Words at which a deviation counts half; words that a mark of structure stands for; characters that a word of a link has.
+EVIDENCE, WORDS_A_MARK, LINK_WORD = 20.0, 8, 6.0
+SENTENCE_WORDS, SENTENCE_FUNCTION = 4, 0.17
+STUFFED = 0.4  # share of a unit's words in pairs that it repeats
+SLICE = 1 << 20  # characters that are in work at a time, unless one text is longer
 
 # Function words of the eight languages; Tamil and Kannada have few that stand alone.
 FUNCTION = {
@@ -49,172 +57,152 @@ FUNCTION = {
     "ta": "இல் ஒரு இந்த அந்த இது அது என்று என என்ன எப்போது எனக்கு நாங்கள் நான் நீங்கள் அவர் மற்றும் அல்லது ஆனால் இல்லை வேண்டும் வேண்டுமா மேல் கீழ் பிறகு பிறகும் முன் வரை உள்ள உள்ளது இருக்கிறது இருந்து மிகவும் போது கடைசியாக எந்த எந்தக் கொண்டு".split(),
     "kn": "ನಿಂದ ಒಂದು ಈ ಆ ಇದು ಅದು ಎಂದು ಎಂಬ ಏನು ಯಾವ ಯಾವಾಗ ಯಾವುದೇ ನನಗೆ ನಾವು ನಾನು ನೀವು ಅವರು ಮತ್ತು ಅಥವಾ ಆದರೆ ಇಲ್ಲ ಬೇಕು ಮೇಲೆ ಕೆಳಗೆ ನಂತರ ನಂತರವೂ ಮೊದಲು ವರೆಗೆ ಇದೆ ಇತ್ತು ತುಂಬಾ ಆಗಿ ಆಯಿತು ಕೊನೆಯ ಗೆ ಅಲ್ಲಿ".split(),
 }
-_LATIN, _DEVANAGARI = ("en", "de", "fr", "es"), ("hi", "mr")
-# Words of offers and menus.
-TRADE = set(
-    "price prices sale supplier suppliers repair shop kit rental buy best cheap discount fast wholesale free quote certified top original hot deal deals online offer offers catalogue cart home newsletter login contact service rebuild spares now today mart"
-    " günstig kaufen bestellen preis gebraucht angebot angebote rabatt billig"
-    " devis promotion achat prix occasion cher acheter promo soldes"
-    " oferta ofertas venta precio usado usada descuento barata barato comprar"
-    " सस्ता सस्ती कीमत बिक्री ऑफर खरीदें छूट दाम किंमत विक्री खरेदी सवलत स्वस्त"
-    " விலை விற்பனை வாங்க தள்ளுபடி மலிவான சலுகை ಬೆಲೆ ಮಾರಾಟ ಖರೀದಿ ರಿಯಾಯಿತಿ ಅಗ್ಗದ ಕೊಡುಗೆ".split()
-)
+LANGUAGES = tuple(FUNCTION)
 _STOPS = set().union(*FUNCTION.values())
+#: Marks of quantities and references in the plant's own lists, fixed values.
+LIST_WORDS = ("pcs", "drawing")
 _LINK = re.compile(
-    r"\[url[^\]]*\][^\[]*\[/url\]|<a\s[^>]*>.*?</a>|\[[^\]\n]{0,60}\]\([^)\s]*\)|(?:https?|hxxps?)://[^\s,;|<>\")]+|www\.[^\s,;|<>\")]+|\b[\w-]+(?:\.[\w-]+)*(?:\.|\[\.\])(?:com|net|org|test|example|invalid|info|biz|shop)\b(?:/[^\s,;|<>\")]*)?",
+    r"\[url[^\]]*\][^\[]*\[/url\]|<a\s[^>]*>.*?</a>|\[[^\]\n]{0,60}\]\([^)\s]*\)|(?:https?|hxxps?)://[^\s,;|<>\")]+|www\.[^\s,;|<>\")]+|\b[\w-]+(?:\.[\w-]+)*(?:\.|\[\.\])[a-z]{2,}/[^\s,;|<>\")]*",
     re.I,
 )
+_LINK_SIGNS = ("/", "www.", "[url", "](", "[.]")
 #: A paper of the plant itself: a kind of document and its number.
 _PAPER = re.compile(r"^(?:https?|hxxps?)://[^/\s]+/\w+/\d+/?$", re.I)
-#: A tag of several words in one: marked as such, or glued together from trade words.
-_MARK = re.compile(r"#[\w-]{3,}|\btag:[\w-]{3,}|\[[\w-]{8,}\]|(?<![\w/.-])[\w-]{10,}(?![\w/.-])", re.I)
-_GLUED = re.compile(
-    r"(?:(?:online|certified|top|hotdeal|lowprice|nearme|buy|fast|original|wholesale|local|24h|20\d\d|cheap|best|discount|freequote)[a-z-]{6,}|[a-z-]{6,}(?:price|catalogue|supplier|repair|shop|kit|rental|sale|service|rebuild|discount))$",
-    re.I,
+_LETTER, _INDIC = r"[^\W\d_]", "ऀ-ॣॱ-෿"
+_TOKEN = re.compile(
+    r"[\n\r]|(?<=\S)[.!?।](?=\s)|\b(?:" + "|".join(LIST_WORDS) + r")\b|\b\d+ x\b|\b[a-z]{1,4}-\d{2,5}[a-z]?\b|\x01[^\x02]*\x02|[^\W_]*\d[^\W_]*|" + rf"{_LETTER}+(?:['’]{_LETTER}+)?(?:[{_INDIC}]+{_LETTER}*)*"
 )
-LEAST_MARKS = 5
-#: One of these stands in every text with a link, or with a price.
-_LINK_SIGNS = ("://", "www.", "[url", "<a", "](", ".com", ".net", ".org", ".test", ".example", ".invalid", ".info", ".biz", ".shop", "[.]")
-_PRICE_SIGNS = re.compile(r"[$€₹£%]|EUR|USD|INR|Rs|only \d|[ABQX]\d{3}", re.I)
-_PRICE = re.compile(r"(?:\b\d+[.,]?\d*\s?(?:EUR|USD|INR|Rs)\b|[$€₹£]\s?\d+|-\d{1,2}\s?%|\bonly \d+\b|\b[ABQX]\d{3,5}\b)", re.I)
-_TAG = re.compile(r"\b[A-Z]{1,4}-\d{2,5}[A-Z]?\b", re.I)
-_PLANT = re.compile(r"\bpcs\b|\bdrawing \d|^\s*[-*]?\s*\d+ x \w|^\s*(?:\d+[.)]|[-*]|\[[ x]?\])\s+\w", re.I)
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?(?:[ऀ-ॣॱ-෿]+[^\W\d_]*)*")
-_INDIC = re.compile("[ऀ-෿]")
-_SENTENCES = re.compile(r"(?<=[.!?।])\s+")
-_SEPARATORS = re.compile(r"[,|•/>·»;#]|\s[-–]\s")
-
-
-#: Characters from the Indic blocks upwards: letters and vowel signs.
-_INDIC_ON = re.compile("[ऀ-\U0010ffff]")
-_SCRIPTS = {"deva": re.compile("[ऀ-ॿ]"), "ta": re.compile("[஀-௿]"), "kn": re.compile("[ಀ-೿]")}
-
-
-def _most(languages: tuple[str, ...], counts: Counter) -> str:
-    """The language of most function words, the first one if they are equal."""
-    return max(languages, key=lambda lang: (sum(counts[w] for w in FUNCTION[lang]), lang == languages[0]))
-
-
-def language(counts: Counter, text: str) -> str:
-    """The language whose statistics apply: a script, or that of most function words."""
-    if _INDIC.search(text):
-        rest, high = _INDIC_ON.subn("", text)
-        letters = high + sum(map(str.isalpha, rest))
-        for name, script in _SCRIPTS.items():
-            if len(script.findall(text)) * 2 > letters:
-                return _most(_DEVANAGARI, counts) if name == "deva" else name
-    return _most(_LATIN, counts)
-
-
-def _marks(text: str) -> list[str]:
-    return [m for m in _MARK.findall(text) if m[0] in "#[" or m[:4].lower() == "tag:" or _GLUED.match(m)]
-
-
-def _covered(words: list[str], size: int = 3) -> float:
-    """The share of words within the most frequent phrase of that many words."""
-    if len(words) < 4 * size or len(words) - len(set(words)) < 4:
-        return 0.0  # four times the same phrase leaves at least four words repeated
-    most = Counter(zip(*(words[k:] for k in range(size)))).most_common(1)[0][1]
-    return most * size / len(words) if most > 3 else 0.0
-
-
-def _opening(phrase: str) -> str:
-    """The first two words of a phrase of two to six words."""
-    words = _WORD.findall(phrase.lower())
-    return " ".join(words[:2]) if 2 <= len(words) <= 6 else ""
-
-
-def _trade(words: list[str], text: str, priced: bool) -> float:
-    return (sum(map(TRADE.__contains__, words)) + 2 * (len(_PRICE.findall(text)) if priced else 0)) / max(1, len(words))
-
-
-def _linked(text: str) -> bool:
-    low = text.lower()
-    return any(sign in low for sign in _LINK_SIGNS)
-
-
-def spam_characters(text: str) -> tuple[int, int]:
-    """(characters in spam units, all characters), white space left out."""
-    size = lambda s: len(s) - sum(map(s.count, " \t\r\n"))
-    spam = total = 0
-    tagged = len(_marks(text)) >= LEAST_MARKS
-    linked, priced = _linked(text), bool(_PRICE_SIGNS.search(text))
-    openings: Counter | None = None
-    for line in re.split(r"[\r\n]+", text):
-        total += size(line)
-        foreign = linked and [m.group() for m in _LINK.finditer(line) if not _PAPER.match(m.group().rstrip(".,;"))]
-        rest = line
-        if foreign:
-            rest = _LINK.sub(" ", line)
-        marks = set(_marks(rest)) if tagged else ()
-        left = _MARK.sub(lambda m: " " if m.group() in marks else m.group(), rest) if marks else rest
-        spam += size(line) - size(left)
-        rest = left
-        for unit in _SENTENCES.split(rest):
-            words = _WORD.findall(unit.lower())
-            if not words:
-                if foreign or marks:
-                    spam += size(unit)
-                continue
-            stops = sum(map(_STOPS.__contains__, words)) / len(words)
-            trade = _trade(words, unit, priced)
-            sentence = len(words) >= 3 and stops > 0 and unit.rstrip()[-1:] in ".।?!" if _INDIC.search(unit) else len(words) >= 4 and stops >= 0.17
-            if sentence:
-                bad = _covered(words) >= 0.3 or _covered(words, 2) >= 0.4 or trade >= 0.3
-            elif foreign or marks:
-                bad = True  # the words between links or tags
-            elif trade < 0.3 and (_TAG.search(unit) or _PLANT.search(line)):
-                bad = False  # an entry of a list of the plant's own
-            else:
-                phrases = [p.strip().lower() for p in _SEPARATORS.split(unit) if p.strip()]
-                # Phrases over and over, whole or with another place after them.
-                if openings is None:
-                    openings = Counter(_opening(p) for x in re.split(r"[\r\n]+", text) for p in _SEPARATORS.split(x))
-                listed = sum(openings[o] >= 4 for o in map(_opening, phrases) if o)
-                bad = trade >= 0.12 or (len(phrases) >= 8 and len(set(phrases)) <= 0.6 * len(phrases)) or 2 * listed > len(phrases) or _covered(words, 2) >= 0.3
-            if bad:
-                spam += size(unit)
-    return spam, total
-
-
-def features(text: str) -> tuple[str, list[float], float] | None:
-    """(language, features, share of spam characters) of a text, None without words."""
-    links = [m.group() for m in _LINK.finditer(text)] if _linked(text) else []
-    words = _WORD.findall((_LINK.sub(" ", text) if links else text).lower())
-    if not words and not links:
-        return None
-    n = max(1, len(words))
-    counts = Counter(words)
-    pairs = list(zip(words, words[1:]))
-    entropy = -sum(k / n * math.log2(k / n) for k in counts.values()) / math.log2(n) if n > 8 else 1.0
-    lines = [x for x in re.split(r"[\r\n]+", text) if x.strip()]
-    spam, total = spam_characters(text)
-    values = [
-        sum(map(len, links)) / len(text),
-        len(_SEPARATORS.findall(text)) / n,
-        1 - len(set(pairs)) / len(pairs) if len(pairs) > 8 else 0.0,
-        entropy,
-        sum(map(_STOPS.__contains__, words)) / n,
-        _trade(words, text, bool(_PRICE_SIGNS.search(text))),
-        (len(_TAG.findall(text)) + sum(bool(_PLANT.search(x)) for x in lines)) / (n + len(lines)),
-    ]
-    return language(counts, text), values, spam / max(1, total)
+_LINE, _STOP, _LINKED, _STRUCTURE, _WORD, _CODE = range(6)
+#: Scripts by their range of characters, with the languages written in each.
+_SCRIPTS = ((0x900, 0x97F, ("hi", "mr")), (0xB80, 0xBFF, ("ta",)), (0xC80, 0xCFF, ("kn",)))
+
+
+def _prepared(text: str) -> str:
+    """A text in lower case, links enclosed in marks, those to the plant's papers turned into a word of lists."""
+    if any(sign in text for sign in _LINK_SIGNS):
+        text = _LINK.sub(lambda m: f" {LIST_WORDS[0]} " if _PAPER.match(m.group().rstrip(".,;")) else " \x01" + re.sub(r"\s", " ", m.group()) + "\x02 ", text.replace("\x01", " ").replace("\x02", " "))
+    return text.lower() + "\n"
+
+
+def _kinds(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, script as a number of _SCRIPTS or -1, which languages' function word) of each distinct token."""
+    kind, script, function = np.full(len(vocabulary), _WORD, np.int8), np.full(len(vocabulary), -1, np.int8), np.zeros((len(vocabulary), len(LANGUAGES)), bool)
+    for k, token in enumerate(vocabulary):
+        first = token[0]
+        if first in "\n\r":
+            kind[k] = _LINE
+        elif first in ".!?।":
+            kind[k] = _STOP
+        elif first == "\x01":
+            kind[k] = _LINKED
+        elif token in LIST_WORDS or "-" in token or token.endswith(" x"):
+            kind[k] = _STRUCTURE
+        elif not token.isalpha() and any(map(str.isdigit, token)) and sum(map(str.isalpha, token)) < 4:
+            kind[k] = _CODE
+        else:
+            if first >= "\u0900":
+                script[k] = next((i for i, (low, high, _) in enumerate(_SCRIPTS) if low <= ord(first) <= high), -1)
+            if token in _STOPS:
+                function[k] = [token in _FUNCTION_SETS[lang] for lang in LANGUAGES]
+    return kind, script, function
+
+
+_FUNCTION_SETS = {lang: set(words) for lang, words in FUNCTION.items()}
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(features, language, words' worth) of each text; worth 0 where there are neither words nor links."""
+    n, tokens, sizes = len(texts), [], []
+    for text in texts:
+        found = _TOKEN.findall(_prepared(text))
+        tokens += found
+        sizes.append(len(found))
+    coded = pa.array(tokens, pa.string()).dictionary_encode()
+    code, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    kind, script, function = _kinds(vocabulary)
+    length = np.array([len(t) for t in vocabulary] or [0], float)
+    doc = np.repeat(np.arange(n), sizes)
+    kinds = kind[code]
+    word = kinds == _WORD
+    # Units end with a line or a sentence's mark.
+    unit = np.cumsum(np.r_[0, kinds[:-1] <= _STOP]) if len(code) else np.zeros(0, np.int64)
+    units = int(unit[-1]) + 1 if len(unit) else 0
+    owner = np.zeros(units, np.int64)
+    owner[unit] = doc
+
+    def per_unit(which: np.ndarray) -> np.ndarray:
+        return np.bincount(unit[which], minlength=units).astype(float)
+
+    def per_text(values: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, weights=values, minlength=n)
+
+    words, stops, marks = per_unit(word), per_unit(word & function.any(1)[code]), per_unit(kinds == _STRUCTURE)
+    indic = 2 * per_unit(word & (script[code] >= 0)) > words
+    # Neighbouring words: a phrase over and over within one unit makes no sentence.
+    wcode, wdoc, wunit = code[word], doc[word], unit[word]
+    pair = wcode[:-1] * len(vocabulary) + wcode[1:]
+    near = wunit[1:] == wunit[:-1]
+    at, times = _runs(wunit[1:][near], pair[near])
+    stuffed = 2 * np.bincount(at, weights=np.where(times >= 3, times, 0), minlength=units) >= STUFFED * words
+    sentence = ~stuffed & np.where(indic, (words >= SENTENCE_WORDS - 1) & (per_unit(kinds == _STOP) > 0), (words >= SENTENCE_WORDS) & (words > 0) & (stops >= SENTENCE_FUNCTION * words))
+    own = np.where(sentence, 0, np.minimum(words, WORDS_A_MARK * marks))
+    bare = np.where(sentence, 0, words - own)
+    count = per_text(words)
+    linked = np.bincount(doc[kinds == _LINKED], weights=length[code[kinds == _LINKED]] - 2, minlength=n) / LINK_WORD
+    worth = count + linked
+    total = np.maximum(worth, 1)
+
+    first, times = _runs(wdoc, wcode)
+    share = times / np.maximum(count[first], 1)
+    entropy = np.bincount(first, weights=-share * np.log2(share), minlength=n)
+    entropy = np.where(count > 8, entropy / np.log2(np.maximum(count, 2)), 1.0)
+    together = wdoc[1:] == wdoc[:-1]
+    first, times = _runs(wdoc[1:][together], pair[together])
+    pairs = np.bincount(first, weights=times, minlength=n)
+    repetition = np.bincount(first, weights=np.where(times >= 3, times, 0), minlength=n) / np.maximum(pairs, 1)
+    values = np.c_[(linked + per_text(bare)) / total, repetition, entropy, per_text(stops) / np.maximum(count, 1), per_text(own) / total]
+
+    letters = np.bincount(wdoc, weights=length[wcode], minlength=n)
+    spoken = np.stack([np.bincount(wdoc, weights=function[wcode, k], minlength=n) for k in range(len(LANGUAGES))], 1)
+    scripts = [np.bincount(wdoc, weights=length[wcode] * (script[wcode] == k), minlength=n) for k in range(len(_SCRIPTS))]
+    latin = [lang for lang in LANGUAGES if not any(lang in langs for _, _, langs in _SCRIPTS)]
+    languages = np.array(latin, object)[spoken[:, [LANGUAGES.index(x) for x in latin]].argmax(1)]
+    for own_letters, (_, _, langs) in zip(scripts, _SCRIPTS):
+        at = 2 * own_letters > letters
+        languages[at] = np.array(langs, object)[spoken[at][:, [LANGUAGES.index(x) for x in langs]].argmax(1)]
+    return values, list(languages), worth
+
+
+def _runs(group: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, count) of each distinct (group, item)."""
+    order = np.lexsort((item, group))
+    group, item = group[order], item[order]
+    starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (item[1:] != item[:-1])]) if len(group) else np.zeros(0, np.int64)
+    return group[starts], np.diff(np.r_[starts, len(group)])
+
+
+_MEASURED = "doc_id long, language string, worth double, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, language, the features, share) of the documents with words. docs: doc_id, text."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc, text in frame.itertuples(index=False):
-                found = features(text)
-                if found:
-                    rows.append((doc, found[0], *found[1], found[2]))
-            yield pd.DataFrame(rows, columns=["doc_id", "language", *FEATURES, "share"])
-
-    schema = "doc_id long, language string, " + ", ".join(f"{f} double" for f in FEATURES) + ", share double"
-    return spread(docs.select("doc_id", "text").where(F.length(F.trim("text")) > 0)).mapInPandas(run, schema)
+    """(doc_id, language, worth, the features) of the documents with words. docs: doc_id, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, a, size = batch.column(0), batch.column(1).to_pylist(), 0, 0
+            for b in range(len(texts) + 1):
+                if b == len(texts) or size > SLICE:
+                    if b > a:
+                        values, languages, worth = features(texts[a:b])
+                        keep = pa.array(np.flatnonzero(worth > 0))
+                        columns = [ids.slice(a, b - a), pa.array(languages, pa.string()), pa.array(worth), *[pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(FEATURES))]]
+                        yield pa.RecordBatch.from_arrays([c.take(keep) for c in columns], ["doc_id", "language", "worth", *FEATURES])
+                    a, size = b, 0
+                if b < len(texts):
+                    size += len(texts[b])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length(F.trim("text")) > 0)
+    return spread(texts).mapInArrow(run, _MEASURED)
 
 
 def robust_figures(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -256,25 +244,30 @@ def robust_figures(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, n
     return out
 
 
-def spam_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, language, distance, direction, share) of the spam. docs: doc_id, text."""
+def judged(docs: DataFrame) -> DataFrame:
+    """(doc_id, language, distance, cosine, the features) of the documents with words. docs: doc_id, text."""
+    schema = "doc_id long, language string, distance double, cosine double, " + ", ".join(f"{f} double" for f in FEATURES)
     rows = checkpointed(measured(docs))
     if rows.isEmpty():
-        return rows.select("doc_id", "language", F.lit(0.0).alias("distance"), F.lit(0.0).alias("direction"), "share")
+        return docs.sparkSession.createDataFrame([], schema)
     figures = robust_figures(rows)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            x = frame[list(FEATURES)].to_numpy(float)
-            distance, direction = np.zeros(len(x)), np.zeros(len(x))
+            x, worth = frame[list(FEATURES)].to_numpy(float), frame["worth"].to_numpy(float)[:, None]
+            distance, along = np.zeros(len(x)), np.zeros(len(x))
             own = np.array([lang if lang in figures else "" for lang in frame["language"]], object)
             for lang in set(own):
                 centre, spread, inverse = figures[lang]
                 at = own == lang
-                z = (x[at] - centre) / spread
-                distance[at] = np.einsum("ij,jk,ik->i", z, inverse, z)
-                direction[at] = z @ SIGNS
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "language": frame["language"], "distance": np.sqrt(np.maximum(distance, 0)), "direction": direction, "share": frame["share"]})
+                z = (x[at] - centre) / spread * (worth[at] / (worth[at] + EVIDENCE))
+                distance[at] = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", z, inverse, z), 0))
+                along[at] = z @ inverse @ SPAMWARD / np.sqrt(SPAMWARD @ inverse @ SPAMWARD)
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "language": frame["language"], "distance": distance, "cosine": along / np.maximum(distance, 1e-9)} | {f: frame[f] for f in FEATURES})
+
+    return rows.mapInPandas(run, schema)
 
-    judged = rows.mapInPandas(run, "doc_id long, language string, distance double, direction double, share double")
-    return judged.where((F.col("distance") * F.col("distance") > DISTANCE_2) & (F.col("direction") > 0) & (F.col("share") > MOSTLY))
+
+def spam_documents(docs: DataFrame) -> DataFrame:
+    """The rows of :func:`judged` that are spam: far out, in the direction of spam."""
+    return judged(docs).where((F.col("distance") * F.col("distance") > DISTANCE_2) & (F.col("cosine") > COSINE))

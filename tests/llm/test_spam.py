@@ -1,3 +1,5 @@
+import numpy as np
+
 from millrace.llm import spam
 
 PROSE = "The seal of the pump was replaced during the night shift, and the leak has stopped since then. No abnormality was found on the other machines of the area."
@@ -19,13 +21,26 @@ HAM = [
 ]
 
 
-def test_units():
-    for text in SPAM:
-        spam_, total = spam.spam_characters(text)
-        assert spam_ > 0.5 * total, text[:60]
-    for text in HAM:
-        spam_, total = spam.spam_characters(text)
-        assert spam_ <= 0.5 * total, text[:60]
+def feature(texts, name):
+    values, _, _ = spam.features(texts)
+    return values[:, spam.FEATURES.index(name)]
+
+
+def test_features():
+    assert (feature(SPAM, "density") > 0.5).all()
+    assert (feature(HAM[:-3], "density") < 0.5).all()
+    assert feature([PROSE], "function")[0] > 0.3 and feature([SPAM[0]], "function")[0] == 0
+    assert feature(["x y z " * 30], "repetition")[0] == 1 and feature([PROSE], "repetition")[0] == 0
+    assert feature(["pump " * 30], "entropy")[0] == 0 and feature(["one two"], "entropy")[0] == 1
+    values, languages, worth = spam.features(["", "123 ...", "word"])
+    assert worth.tolist() == [0, 0, 1] and spam.features([])[0].shape == (0, 5)
+
+
+def test_features_do_not_depend_on_the_batch():
+    together, languages, _ = spam.features(SPAM + HAM)
+    for k, text in enumerate(SPAM + HAM):
+        values, language, _ = spam.features([text])
+        assert np.allclose(values[0], together[k]) and language[0] == languages[k]
 
 
 def test_documents(spark):
@@ -46,7 +61,6 @@ INDIC = {
 
 def test_function_words_of_indic_languages():
     for lang, (prose, menu) in INDIC.items():
-        name, values, share = spam.features(prose)
-        assert name == lang and values[spam.FEATURES.index("function")] > 0.15 and share == 0, lang
-        name, values, share = spam.features(menu)
-        assert values[spam.FEATURES.index("function")] == 0 and share == 1, lang
+        values, names, _ = spam.features([prose, menu.replace(".", "").replace("।", "")])
+        assert names[0] == lang and values[0][3] > 0.15 and values[0][0] == 0, lang
+        assert values[1][3] == 0 and values[1][0] == 1, lang
