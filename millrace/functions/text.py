@@ -5,28 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed vocabularies: term, pattern over lower-case text, weight.
-ANOMALY_TERMS = [
-    ("bearing wear", r"\bbearing\s+(wear|damage|pitting|spalling)\b", 0.95),
-    ("seizure", r"\bseiz(e|ed|ure|ing)\b", 1.0),
-    ("vibration", r"\bvibrat(ion|ing|es|e)?\b", 0.8),
-    ("overheating", r"\b(over\s?heat(ing|ed)?|excess(ive)?\s+temperature)\b", 0.85),
-    ("leak", r"\bleak(age|ing|s|ed)?\b", 0.75),
-    ("misalignment", r"\bmis[\s-]?align(ment|ed)?\b", 0.8),
-    ("cavitation", r"\bcavitat(ion|ing)\b", 0.85),
-    ("abnormal noise", r"\b(abnormal|unusual|excess(ive)?)\s+(noise|sound|rattle)\b", 0.7),
-    ("crack", r"\bcrack(ed|ing|s)?\b", 0.9),
-    ("corrosion", r"\bcorros(ion|ive|ed)\b", 0.7),
-    ("erratic reading", r"\b(erratic|fluctuat\w+|unstable)\s+(reading|value|signal|trend)\b", 0.65),
-    ("trip", r"\b(tripp?ed|trip)\s+(on|due to)\b", 0.8),
-]
-BYPASS_TERMS = [
-    ("bypass", r"\bby[\s-]?pass(ed|ing|es)?\b", 1.0),
-    ("override", r"\boverrid(e|es|den|ing)\b", 0.92),
-    ("inhibit", r"\binhibit(ed|ing|s|ion)?\b", 0.92),
-    ("silenced", r"\bsilenc(e|ed|es|ing)\b", 0.8),
-    ("acknowledged and cleared", r"\backnowledg\w*\s+(and|&|,)\s*(then\s+)?clear\w*\b", 0.95),
-]
+# Names and weights of the terms are fixed values. What finds a term is built from stems: each
+# alternative is a row of words, and a word is one of the stems given for it, with any ending.
+_ANOMALIES = {
+    "bearing wear": (0.95, ["bearing", "wear worn damag pit spall"]),
+    "seizure": (1.0, ["seiz"]),
+    "vibration": (0.8, ["vibrat"]),
+    "overheating": (0.85, ["overheat"], ["excess", "temperatur"]),
+    "leak": (0.75, ["leak"]),
+    "misalignment": (0.8, ["misalign"]),
+    "cavitation": (0.85, ["cavitat"]),
+    "abnormal noise": (0.7, ["abnormal unusual excess", "nois sound rattl"]),
+    "crack": (0.9, ["crack"]),
+    "corrosion": (0.7, ["corro"]),
+    "erratic reading": (0.65, ["erratic fluctuat unstab", "reading value signal trend"]),
+    "trip": (0.8, ["trip", "on due"]),
+}
+_BYPASSES = {
+    "bypass": (1.0, ["bypass"], ["by", "pass"]),
+    "override": (0.92, ["overrid"]),
+    "inhibit": (0.92, ["inhibit"]),
+    "silenced": (0.8, ["silenc"]),
+    "acknowledged and cleared": (0.95, ["acknowledg", "and then", "clear"]),
+}
+#: What the stricter reading of a question's papers looks for: what was done, not what it is called.
+_DIAGNOSTIC = {
+    "defect": (1.0, ["wear leak crack corro damag"], ["high", "vibrat"]),
+    "stop": (1.0, ["trip stop shut", "on due by after"], ["taken", "out", "of", "service"]),
+    "bypass": (1.0, ["bypass overrid inhibit", "was is in left kept"]),
+}
+
+
+def stems_pattern(alternatives: list[list[str]]) -> str:
+    """A pattern over lower-case text for rows of words given by their stems."""
+    word = lambda stems: r"\b(?:" + "|".join(stems.split()) + r")\w*"
+    return "|".join(r"\W+".join(map(word, row)) for row in alternatives)
+
+
+def _terms(stems: dict) -> list[tuple[str, str, float]]:
+    return [(name, stems_pattern(list(rows)), weight) for name, (weight, *rows) in stems.items()]
+
+
+ANOMALY_TERMS, BYPASS_TERMS, DIAGNOSTIC_TERMS = map(_terms, (_ANOMALIES, _BYPASSES, _DIAGNOSTIC))
 #: Document kinds by the first keyword found, in order; fixed values.
 DOCUMENT_KINDS = [
     ("incident_report", ["incident", "near miss"]),
@@ -79,6 +99,29 @@ def kind_of_document(text: Column) -> Column:
     return out.otherwise("unknown")
 
 
+def matching_sentence(text: Column, pattern: str) -> Column:
+    """The first sentence in which a pattern (over lower-case text) is found; null without one."""
+    return F.get(F.filter(sentences(text), lambda s: F.lower(s).rlike(pattern)), F.lit(0))
+
+
+def clipped(text: Column, most: int) -> Column:
+    """White space made single and the text cut to ``most`` characters, the last of them an ellipsis if it was longer."""
+    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.when(F.length(plain) > most, F.concat(F.rtrim(F.substring(plain, F.lit(1), F.lit(most - 1))), F.lit("…"))).otherwise(plain)
+
+
+def revision(text: Column) -> Column:
+    """The number behind the first "rev"; null without one."""
+    found = F.regexp_extract(F.lower(text), r"\brev(?:ision)?\.?\s*([0-9]+)", 1)
+    return F.when(found != "", found.cast("int"))
+
+
+def type_matches(pattern: Column, kind: Column) -> Column:
+    """Whether every word of a pattern is a word of the kind of machine, underscores being spaces."""
+    words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " ")
+    return F.size(F.array_except(words(pattern), words(kind))) == 0
+
+
 def around(text: Column, pattern: str, reach: int = 80) -> Column:
     """The first match of a pattern with up to ``reach`` characters on both sides; null without a match."""
     at = F.regexp_instr(text, F.lit(pattern))

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from millrace.functions.clock import machine
 from millrace.functions.confidence import clamp
 from millrace.functions.text import ANOMALY_TERMS
+from millrace.operators.implausible import usual_value
 
 
 def latest_deliveries(readings: DataFrame) -> DataFrame:
-    """Readings with a machine, time and value; of repeated deliveries one."""
-    rows = readings.select("reading_id", machine(F.col("equipment_tag")).alias("tag"), "parameter", "value", "unit", F.col("measured_at").cast("timestamp").alias("measured_at"))
-    return rows.dropna(subset=["tag", "parameter", "value", "measured_at"]).dropDuplicates(["reading_id"])
+    """Readings with a machine, time and value in the usual unit; of repeated deliveries the last one received."""
+    value = usual_value(F.col("parameter"), F.col("unit"), F.col("value"))
+    rows = readings.select("reading_id", machine(F.col("equipment_tag")).alias("tag"), "parameter", value.alias("value"), F.col("measured_at").cast("timestamp").alias("measured_at"), F.col("received_at").cast("timestamp").alias("received_at"))
+    rows = rows.dropna(subset=["tag", "parameter", "value", "measured_at"])
+    last = F.max_by(F.struct("tag", "parameter", "value", "measured_at"), F.struct("received_at", "measured_at", "value", "tag", "parameter"))
+    return rows.groupBy("reading_id").agg(last.alias("r")).select("reading_id", "r.*")
 
 
 def trends(readings: DataFrame) -> DataFrame:
@@ -23,7 +27,7 @@ def trends(readings: DataFrame) -> DataFrame:
     days = F.unix_micros("measured_at") / 8.64e10
     rows = readings.withColumn("day", days - 19000)
     return rows.groupBy("tag", "parameter").agg(
-        F.count("*").alias("n"), F.round(F.coalesce(F.regr_slope("value", "day"), F.lit(0.0)), 6).alias("slope"), F.max_by("value", F.struct("measured_at", "reading_id")).alias("latest")
+        F.count("*").alias("n"), F.round(F.coalesce(F.regr_slope("value", "day"), F.lit(0.0)), 6).alias("slope"), F.round(F.max_by("value", F.struct("measured_at", "reading_id")), 6).alias("latest")
     )
 
 

@@ -226,7 +226,7 @@ SQL = {
           nullif(regexp_extract(text, '\\b([0-9]{4}-[0-9]{2}-[0-9]{2})\\b', 1), '') AS dated FROM documents WHERE text IS NOT NULL)
         SELECT * FROM d WHERE vibration IS NOT NULL OR downtime IS NOT NULL OR dated IS NOT NULL""",
     "procedure_steps": """
-        WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(?m)^[ \\t]*[0-9]{1,2}[.)][ \\t]+([^\\r\\n]+)', 1), lambda x: trim(x)), lambda x: length(x) > 12)[1:20] AS s FROM documents WHERE text IS NOT NULL AND document_type = 'sop')
+        WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(?m)^[ \\t]*[0-9]+[.)][ \\t]+([^\\r\\n]+)', 1), lambda x: trim(x)), lambda x: length(x) > 12) AS s FROM documents WHERE text IS NOT NULL AND document_type = 'sop')
         SELECT doc_id, CAST(unnest(range(len(s))) AS INTEGER) AS step_no, unnest(s) AS step FROM s""",
     "interval_phrases": """
         WITH d AS (SELECT doc_id, regexp_extract(lower(text), '\\b(?:every|each|per|last)\\s+([0-9]+)?\\s*(day|week|month|quarter|year)s?\\b', 2) AS u, regexp_extract(lower(text), '\\b(?:every|each|per|last)\\s+([0-9]+)?\\s*(day|week|month|quarter|year)s?\\b', 1) AS n,

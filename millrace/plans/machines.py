@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.clock import machine
 from millrace.operators import evidence, trend
+from millrace.plans.vocabulary import ANOMALY_SQL, USUAL_SQL
 from millrace.session import table
 
 AS_OF = "2024-06-30"
@@ -22,8 +23,7 @@ def reading_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def threshold_approach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = trend.threshold_approach(reading_trends(spark, sf_dir), table(spark, sf_dir, "equipment"))
-    return out.select("tag", "parameter", "threshold", "latest", "ratio", "strength")
+    return trend.threshold_approach(reading_trends(spark, sf_dir), table(spark, sf_dir, "equipment"))
 
 
 def latest_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,16 +137,17 @@ def registry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("unit", F.lower(F.trim(F.regexp_replace("manufacturer", r"\s+", " "))).alias("maker")).agg(F.count("*").alias("machines"), F.min("installed_on").alias("first"), F.max("installed_on").alias("last"))
 
 
-_R = """r AS (SELECT DISTINCT ON (reading_id) reading_id, upper(trim(equipment_tag)) AS tag, parameter, value, measured_at FROM reading
-    WHERE equipment_tag IS NOT NULL AND trim(equipment_tag) <> '' AND parameter IS NOT NULL AND value IS NOT NULL AND measured_at IS NOT NULL)"""
+_R = f"""r AS (SELECT DISTINCT ON (reading_id) reading_id, upper(trim(equipment_tag)) AS tag, parameter, {USUAL_SQL} AS value, measured_at FROM reading
+    WHERE equipment_tag IS NOT NULL AND trim(equipment_tag) <> '' AND parameter IS NOT NULL AND value IS NOT NULL AND measured_at IS NOT NULL ORDER BY reading_id, received_at DESC NULLS LAST)"""
 _T = f"""{_R}, t AS (SELECT tag, parameter, count(*) AS n, round(coalesce(regr_slope(value, epoch_us(measured_at) / 8.64e10::DOUBLE - 19000), 0), 6) AS slope,
-    arg_max(value, (measured_at, reading_id)) AS latest FROM r GROUP BY 1, 2)"""
+    round(arg_max(value, (measured_at, reading_id)), 6) AS latest FROM r GROUP BY 1, 2)"""
 _M = """m AS (SELECT DISTINCT ON (record_id) *, nullif(upper(trim(equipment_tag)), '') AS tag FROM maintenance)"""
-_REPEAT = "term, weight FROM m, (VALUES " + ", ".join(f"('{n}', '{p}', {w}::DOUBLE)" for n, p, w in trend.ANOMALY_TERMS) + ") v(term, pattern, weight) WHERE regexp_matches(lower(findings), pattern)"
+_REPEAT = f"term, weight FROM m, {ANOMALY_SQL} WHERE regexp_matches(lower(findings), pattern)"
 _RF = f"""rf AS (SELECT tag, term, count(*) AS records, round(least(1.0, (0.55::DOUBLE + 0.15::DOUBLE * (count(*) - 2)) * weight), 6) AS strength
     FROM (SELECT tag, record_id, {_REPEAT} AND tag IS NOT NULL AND date_diff('day', performed_on, DATE '2024-06-30') <= 90) GROUP BY tag, term, weight HAVING count(*) >= 2)"""
 _TH = """th AS (SELECT e.tag, t.parameter, e.threshold, t.latest, round(t.latest / e.threshold, 6) AS ratio,
-    round(0.45::DOUBLE + 0.55::DOUBLE * least(1.0, greatest(0.0, (t.latest / e.threshold - 0.85::DOUBLE) / (1 - 0.85::DOUBLE))), 6) AS strength
+    round(0.45::DOUBLE + 0.55::DOUBLE * least(1.0, greatest(0.0, (t.latest / e.threshold - 0.85::DOUBLE) / (1 - 0.85::DOUBLE))), 6) AS strength,
+    round(CASE WHEN t.slope > 0 AND t.latest < e.threshold THEN (e.threshold - t.latest) / t.slope END, 3) AS days_to_limit
     FROM (SELECT tag, x.key AS parameter, x.value AS threshold FROM (SELECT tag, unnest(map_entries(oem_thresholds)) AS x FROM equipment)) e
     JOIN t ON t.tag = e.tag AND t.parameter = e.parameter WHERE e.threshold > 0 AND t.latest / e.threshold >= 0.85)"""
 _FL = """fl AS (SELECT equipment_type, lower(trim(regexp_replace(failure_mode, '[_ -]+', ' ', 'g'))) AS mode, count(DISTINCT e.tag) AS machines, count(*) AS events,

@@ -13,6 +13,7 @@ from millrace.operators import documents as docs_ops
 from millrace.operators import graph, retrieval, trend
 from millrace.plans import machines as m
 from millrace.plans import retrieval as search
+from millrace.plans.vocabulary import BYPASS_SQL
 from millrace.session import table
 
 
@@ -136,7 +137,7 @@ QUERIES = {
         fleet_base_rate, severity_bands, bypass_strength, machine_history, equipment_merge, clauses, corroboration_counts, fusion_summary, explanations, source_merge, catalogue_counts, extractive_fallback, supply_components,
     )
 }
-_BY = " UNION ALL ".join(f"SELECT doc_id, len(regexp_extract_all(lower(text), '{p}')) AS hits, {w}::DOUBLE AS weight FROM documents WHERE text IS NOT NULL" for _, p, w in text.BYPASS_TERMS)
+_BY = f"SELECT doc_id, len(regexp_extract_all(lower(text), pattern)) AS hits, weight FROM documents, {BYPASS_SQL} WHERE text IS NOT NULL"
 SQL = {
     "fleet_base_rate": """
         WITH f AS (SELECT upper(trim(equipment_tag)) AS tag, occurred_on FROM failure WHERE occurred_on IS NOT NULL), s AS (SELECT date_diff('day', min(occurred_on), max(occurred_on)) AS d FROM f),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import tags, text
 from millrace.operators import documents as ops
+from millrace.plans.vocabulary import ANOMALY_SQL, BYPASS_SQL, DIAGNOSTIC_SQL, KINDS_SQL
 from millrace.session import table
 
 
@@ -39,6 +40,10 @@ def bypass_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.term_counts(_docs(spark, sf_dir).select("doc_id", "text"), text.BYPASS_TERMS)
 
 
+def diagnostic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.term_counts(_docs(spark, sf_dir).select("doc_id", "text"), text.DIAGNOSTIC_TERMS)
+
+
 def content_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.by_content(_docs(spark, sf_dir).select("doc_id", "text"))
 
@@ -122,15 +127,9 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.hash_embeddings(_docs(spark, sf_dir).select("doc_id", "text"), 64)
 
 
-def _terms(terms) -> str:
-    return " UNION ALL ".join(
-        f"SELECT doc_id, '{name}' AS term, len(regexp_extract_all(lower(text), '{pattern}')) AS hits, {weight}::DOUBLE AS weight FROM documents WHERE text IS NOT NULL" for name, pattern, weight in terms
-    )
-
-
-def _kinds() -> str:
-    cases = " ".join("WHEN " + " OR ".join(f"contains(lower(substring(text, 1, 4000)), '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in text.DOCUMENT_KINDS)
-    return f"CASE {cases} ELSE 'unknown' END"
+def _hits(values: str) -> str:
+    return f"""SELECT doc_id, term, CAST(hits AS INTEGER) AS hits, weight FROM (
+        SELECT doc_id, term, len(regexp_extract_all(lower(text), pattern)) AS hits, weight FROM documents, {values} WHERE text IS NOT NULL) WHERE hits > 0"""
 
 
 _NOT = ", ".join(f"'{p}'" for p in tags.NOT_TAGS)
@@ -142,7 +141,7 @@ _CANON = f"""
 QUERIES = {
     f.__name__: f
     for f in (
-        token_estimates, script_counts, document_kinds, keyword_signal_counts, bypass_signals, content_dedupe, idempotent_load, tag_scan, tag_kinds, canonical_tags, registry_lookup,
+        token_estimates, script_counts, document_kinds, keyword_signal_counts, bypass_signals, diagnostic_terms, content_dedupe, idempotent_load, tag_scan, tag_kinds, canonical_tags, registry_lookup,
         title_slugs, headings, measurements, key_values, snippets, sentence_counts, semantic_chunks, paged_documents, text_similarity, hash_embedding,
     )
 }
@@ -153,9 +152,10 @@ SQL = {
     "script_counts": """
         SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z]')) AS INTEGER) AS latin, CAST(len(regexp_extract_all(text, '[ऀ-ॿ]')) AS INTEGER) AS devanagari,
                CAST(len(regexp_extract_all(text, '[஀-௿]')) AS INTEGER) AS tamil, CAST(len(regexp_extract_all(text, '[ಀ-೿]')) AS INTEGER) AS kannada FROM documents WHERE text IS NOT NULL""",
-    "document_kinds": f"SELECT {_kinds()} AS kind, count(*) AS documents FROM documents WHERE text IS NOT NULL GROUP BY 1",
-    "keyword_signal_counts": f"SELECT doc_id, term, CAST(hits AS INTEGER) AS hits, weight FROM ({_terms(text.ANOMALY_TERMS)}) WHERE hits > 0",
-    "bypass_signals": f"SELECT doc_id, term, CAST(hits AS INTEGER) AS hits, weight FROM ({_terms(text.BYPASS_TERMS)}) WHERE hits > 0",
+    "document_kinds": f"SELECT {KINDS_SQL} AS kind, count(*) AS documents FROM (SELECT lower(text) AS t FROM documents WHERE text IS NOT NULL) GROUP BY 1",
+    "keyword_signal_counts": _hits(ANOMALY_SQL),
+    "bypass_signals": _hits(BYPASS_SQL),
+    "diagnostic_terms": _hits(DIAGNOSTIC_SQL),
     "content_dedupe": "SELECT sha256(text) AS content_hash, min(doc_id) AS first_doc, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "idempotent_load": """
         SELECT doc_id FROM documents WHERE text IS NOT NULL AND source >= 'm'
