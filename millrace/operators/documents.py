@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.clock import machine
 from millrace.functions.text import sentences
+from millrace.session import spread
 
 
 def by_content(docs: DataFrame) -> DataFrame:
@@ -32,7 +33,9 @@ def term_counts(docs: DataFrame, terms: list[tuple[str, str, float]]) -> DataFra
     """(doc_id, term, hits, weight) of the terms a text has; one pass, no shuffle."""
     low = F.lower("text")
     counted = F.array(*[F.struct(F.lit(n).alias("term"), F.regexp_count(low, F.lit(p)).alias("hits"), F.lit(w).alias("weight")) for n, p, w in terms])
-    return docs.where("text IS NOT NULL").select("doc_id", F.inline(F.filter(counted, lambda c: c["hits"] > 0)))
+    # One look for any of them first: most texts have none, and counting is the dear part.
+    any_term = low.rlike("|".join(f"(?:{p})" for _, p, _ in terms))
+    return spread(docs.where("text IS NOT NULL")).where(any_term).select("doc_id", F.inline(F.filter(counted, lambda c: c["hits"] > 0)))
 
 
 def measurements(docs: DataFrame) -> DataFrame:
@@ -73,7 +76,7 @@ def chunks(docs: DataFrame, size: int = 384, overlap: int = 50, least: int = 40)
                 rows += [(doc, k, n, t, x) for k, (n, t, x) in enumerate(kept)]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "sentences", "tokens", "text"])
 
-    split = docs.where("text IS NOT NULL").select("doc_id", sentences(F.col("text")).alias("parts")).where(F.size("parts") > 0)
+    split = spread(docs.where("text IS NOT NULL")).select("doc_id", sentences(F.col("text")).alias("parts")).where(F.size("parts") > 0)
     return split.mapInPandas(run, "doc_id long, chunk_no int, sentences int, tokens int, text string")
 
 
@@ -154,4 +157,4 @@ def hash_embeddings(docs: DataFrame, dims: int = 768) -> DataFrame:
     def embed(texts: pd.Series) -> pd.Series:
         return pd.Series([hash_embedding(t, dims) for t in texts])
 
-    return docs.where("text IS NOT NULL").select("doc_id", embed("text").alias("embedding"))
+    return spread(docs.where("text IS NOT NULL")).select("doc_id", embed("text").alias("embedding"))

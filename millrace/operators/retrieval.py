@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.vectors import cosine
+from millrace.session import spread
 
-ROWS_A_CHUNK, QUERIES_A_BLOCK = 20_000, 1_000
+ROWS_A_CHUNK, QUERIES_A_BLOCK, ROWS_A_LIST = 20_000, 1_000, 5_000
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -22,17 +22,8 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
 
 
-def topk(queries: DataFrame, rows: DataFrame, k: int = 24) -> DataFrame:
-    """(query_id, id, score): the k rows of highest (cosine + 1) / 2 for each query, ties by id.
-
-    Exact: blocks of queries meet chunks of rows, each pair one matrix product of which only
-    k rows per query leave. queries: query_id, vector; rows: id, vector. A null, zero or
-    mismatched vector has cosine 0 or is padded; empty sides give no rows.
-    """
-    n, q = rows.count(), queries.count()
-    chunks, blocks = F.lit(max(1, -(-n // ROWS_A_CHUNK))), F.lit(max(1, -(-q // QUERIES_A_BLOCK)))
-    left = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks)).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)))
-    right = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
+def _best(k: int):
+    """The k best rows of each query of one group of queries and rows, by one matrix product."""
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         out = {"query_id": [], "id": [], "score": []}
@@ -47,13 +38,39 @@ def topk(queries: DataFrame, rows: DataFrame, k: int = 24) -> DataFrame:
                 out["score"] += row[top].tolist()
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
-    pairs = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(best, "query_id long, id long, score double")
+    return best
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
 
+def topk(queries: DataFrame, rows: DataFrame, k: int = 24, by: str | None = None) -> DataFrame:
+    """(query_id, id, score): the k rows of highest (cosine + 1) / 2 for each query, ties by id.
 
-def ivf_topk(queries: DataFrame, rows: DataFrame, k: int = 24, lists: int = 16, probes: int = 12, sample: int = 10_000, seed: int = 7) -> DataFrame:
-    """Approximate :func:`topk`: centres fitted on at most ``sample`` rows, every row indexed."""
+    Exact: blocks of queries meet chunks of rows, each pair one matrix product of which only
+    k rows per query leave. queries: query_id, vector; rows: id, vector; by: a column of both
+    that must agree, of whose values each is cut into blocks and chunks as well. A null, zero
+    or mismatched vector has cosine 0 or is padded; empty sides give no rows.
+    """
+    n, q = rows.count(), queries.count()
+    chunks, blocks = F.lit(max(1, -(-n // ROWS_A_CHUNK))), F.lit(max(1, -(-q // QUERIES_A_BLOCK)))
+    left = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks)).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)))
+    right = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
+    keys = ["chunk", "block", *([by] if by else [])]
+    left, right = left.select("query_id", "vector", *keys), right.select("id", "vector", *[F.col(c).alias(f"_{c}") for c in keys])
+    pairs = left.groupBy(*keys).cogroup(right.groupBy(*[f"_{c}" for c in keys])).applyInArrow(_best(k), "query_id long, id long, score double")
+    return _ranked(pairs, k)
+
+
+def ivf_topk(queries: DataFrame, rows: DataFrame, k: int = 24, probed: float = 0.75, sample: int = 10_000, seed: int = 7) -> DataFrame:
+    """Approximate :func:`topk`: centres fitted on at most ``sample`` rows, every row indexed.
+
+    The number of lists grows with the rows (one for ROWS_A_LIST, at least 16, at most a
+    tenth of the sample). ``probed`` is the share of lists that a query looks into, which sets
+    recall against work. A long list is cut into chunks; k rows a query leave each of them.
+    """
     total = max(1, rows.count())
     picked = rows.where(F.col("vector").isNotNull()).orderBy(F.xxhash64("id", F.lit(seed))).limit(sample) if total > sample else rows.where(F.col("vector").isNotNull())
     vectors = picked.select("vector").toPandas()["vector"]
@@ -62,11 +79,13 @@ def ivf_topk(queries: DataFrame, rows: DataFrame, k: int = 24, lists: int = 16,
     x = np.array([np.asarray(v, float) for v in vectors])
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     rng = np.random.default_rng(seed)
+    lists = max(16, min(total // ROWS_A_LIST, sample // 10))
     centres = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
     for _ in range(12):
         own = np.argmax(x @ centres.T, axis=1)
         centres = np.array([x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))])
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    probes = max(1, round(probed * len(centres)))
 
     def nearest(n: int):
         @F.pandas_udf("array<int>")
@@ -79,12 +98,13 @@ def ivf_topk(queries: DataFrame, rows: DataFrame, k: int = 24, lists: int = 16,
 
         return find
 
-    left = queries.withColumn("list", F.explode(nearest(min(probes, len(centres)))("vector")))
-    right = rows.withColumn("list", F.element_at(nearest(1)("vector"), 1))
-    pairs = left.join(right.select(F.col("id"), F.col("vector").alias("other"), "list"), "list")
-    scored = pairs.select("query_id", "id", F.round((cosine(F.col("vector"), F.col("other")) + 1) / 2, 9).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    cuts = F.lit(max(1, -(-total // (ROWS_A_CHUNK * len(centres)))) * 2)
+    blocks = F.lit(max(1, -(-queries.count() // QUERIES_A_BLOCK)))
+    left = queries.select("query_id", "vector", F.explode(nearest(probes)("vector")).alias("list"), F.pmod(F.xxhash64("query_id"), blocks).alias("block"))
+    left = left.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), cuts.cast("long") - 1)))
+    right = rows.select("id", "vector", F.element_at(nearest(1)("vector"), 1).alias("_list"), F.pmod(F.xxhash64("id"), cuts).alias("_cut"), F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("_block"))
+    pairs = left.groupBy("list", "cut", "block").cogroup(right.groupBy("_list", "_cut", "_block")).applyInArrow(_best(k), "query_id long, id long, score double")
+    return _ranked(pairs, k)
 
 
 def minmax(score: str, query: str):
@@ -161,13 +181,12 @@ def tfidf(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     queries: query_id, text; docs: id, text. Terms are runs of letters and digits, lower case.
     """
     terms = lambda c: F.filter(F.split(F.lower(F.col(c)), "[^a-z0-9]+"), lambda t: F.length(t) > 0)
-    tokens = docs.where(F.col("text").isNotNull()).select("id", terms("text").alias("terms"))
-    total = tokens.count()
+    total = docs.where(F.col("text").isNotNull()).count()
+    tokens = spread(docs.where(F.col("text").isNotNull())).select("id", terms("text").alias("terms"))
     exploded = tokens.select("id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    counts = exploded.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
-    # Only terms that are asked for go on; documents' counts are summed before the join.
-    counts = counts.join(wanted.select("term").distinct(), "term", "left_semi")
+    # Only terms that are asked for are counted: the rest of the corpus is never shuffled.
+    counts = exploded.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     weights = counts.join(df, "term").select(
         "id", "term", (F.log(1 + F.lit(total) / (1 + F.col("df"))) * (1 + F.log(F.col("tf").cast("double"))) / (1 + F.log(1.0 + F.col("length")))).alias("w")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from millrace.functions import extract, text
 from millrace.functions.clock import machine
 from millrace.functions.tags import scan_tags
-from millrace.functions.vectors import cosine, quantised
-from millrace.operators import trend
+from millrace.functions.vectors import quantised
+from millrace.operators import retrieval, trend
 from millrace.plans import machines as m
 from millrace.session import table
 
@@ -118,12 +118,10 @@ def offline_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quantised_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top 5 of each query's label on byte vectors, cosine clamped at 0, zeros dropped."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", quantised(F.col("embedding")).alias("b"))
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("b").alias("q"))
-    pairs = q.join(v.select(F.col("vec_id").alias("id"), "label", "b"), "label").select("query_id", "id", F.round(F.greatest(cosine(F.col("q"), F.col("b")), F.lit(0.0)), 6).alias("score")).where("score > 0")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5")
+    """Top 5 of all rows on byte vectors, cosine clamped at 0, zeros dropped."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), quantised(F.col("embedding")).cast("array<double>").alias("vector"))
+    top = retrieval.topk(v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), v, 5)
+    return top.select("query_id", "id", F.round(2 * F.col("score") - 1, 6).alias("score"), "rank").where("score > 0")
 
 
 def path_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +251,7 @@ SQL = {
     "quantised_topk": """
         WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
         q AS (SELECT vec_id, label, list_transform(e, lambda x: round_even(x / n * 127, 0)) AS b FROM n),
-        p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(greatest(list_cosine_similarity(a.b, b.b), 0), 6) AS score FROM q a JOIN q b USING (label) WHERE a.vec_id % 20 = 0),
+        p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(greatest(list_cosine_similarity(a.b, b.b), 0), 9) AS score FROM q a, q b WHERE a.vec_id % 20 = 0),
         k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p WHERE score > 0) SELECT query_id, id, score, rank FROM k WHERE rank <= 5""",
     "path_narratives": """
         SELECT s_suppkey, r_name || ' —PART_OF→ ' || n_name || ' —HAS→ ' || s_name AS path FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON n_nationkey = s_nationkey WHERE r_name IN ('ASIA', 'EUROPE')""",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import analytics, condition, extraction, graph, machines, reports, retrieval, text
+from millrace.plans import analytics, condition, extraction, graph, machines, reports, retrieval, signals, text
 
-FAMILIES = (analytics, retrieval, text, extraction, graph, machines, reports, condition)
+FAMILIES = (analytics, retrieval, text, extraction, graph, machines, reports, signals, condition)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

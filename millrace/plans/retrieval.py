@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.confidence import recency
-from millrace.functions.vectors import conformed, cosine, quantised, unit
+from millrace.functions.vectors import conformed, quantised, unit
 from millrace.operators import retrieval
 from millrace.session import table
 
@@ -25,12 +25,8 @@ def vector_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 5 among the rows of the query's own label; the label is the filter and the join key."""
     queries, rows = _vectors(spark, sf_dir)
-    pairs = queries.join(rows.select("id", F.col("vector").alias("other"), F.col("label").alias("own")), "own")
-    scored = pairs.select("query_id", "id", F.col("own").alias("label"), F.round((cosine(F.col("vector"), F.col("other")) + 1) / 2, 6).alias("score"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5")
+    out = retrieval.topk(queries.withColumnRenamed("own", "label"), rows, 5, by="label")
+    return out.join(queries.select("query_id", F.col("own").alias("label")), "query_id").select("query_id", "id", "label", F.round("score", 6).alias("score"), "rank")
 
 
 def vector_ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,8 +140,8 @@ SQL = {
         q AS (SELECT id, list_transform(e, lambda x: CAST(round_even(x / n * 127, 0) AS BIGINT)) AS q FROM n)
         SELECT id, CAST(list_sum(q) AS BIGINT) AS byte_sum, list_max(q) AS byte_max FROM q""",
     "vector_filtered_topk": f"""
-        WITH {_TOP}, own_label AS (SELECT query_id, id, label, round(s, 6) AS score FROM scored WHERE own = label),
-        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM own_label)
+        WITH {_TOP}, own_label AS (SELECT query_id, id, label, s, round(s, 6) AS score FROM scored WHERE own = label),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM own_label)
         SELECT query_id, id, label, score, rank FROM k WHERE rank <= 5""",
     "minmax_fusion": f"WITH {_FUSED} SELECT query_id, id, vector_score, graph_score, fused, rank FROM fused WHERE fused >= 0.15 OR rank = 1",
     "rrf_fusion": f"""
