@@ -35,3 +35,15 @@ def kind_of_machine(tag: Column) -> Column:
     for p, kind in KINDS.items():
         out = out.when(prefix == p, kind)
     return out
+
+
+#: Digits that stand for letters at the front of a tag, and letters that stand for digits behind; fixed values.
+LETTER_GLYPHS, DIGIT_GLYPHS = ("015826", "OISBZG"), ("OQDILZSGTB", "0001125678")
+
+
+def positional_reading(compact: Column, prefix: int, suffix: int) -> Column:
+    """What letters and digits in a row read as if ``prefix`` of them are letters, the last ``suffix`` too, and the rest digits."""
+    front = F.translate(F.substring(compact, F.lit(1), F.lit(prefix)), *LETTER_GLYPHS)
+    middle = F.translate(F.substring(compact, F.lit(prefix + 1), F.length(compact) - prefix - suffix), *DIGIT_GLYPHS)
+    back = F.translate(F.substring(compact, F.length(compact) - suffix + 1, F.lit(suffix)), *LETTER_GLYPHS) if suffix else F.lit("")
+    return F.concat(front, F.lit("-"), middle, back)

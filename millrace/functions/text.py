@@ -99,9 +99,21 @@ def kind_of_document(text: Column) -> Column:
     return out.otherwise("unknown")
 
 
-def matching_sentence(text: Column, pattern: str) -> Column:
-    """The first sentence in which a pattern (over lower-case text) is found; null without one."""
-    return F.get(F.filter(sentences(text), lambda s: F.lower(s).rlike(pattern)), F.lit(0))
+#: Where a clause ends: a mark with white space behind it, or a line.
+CLAUSE_END = r"[.!?]\s+|[\r\n]+"
+
+
+def matching_clause(text: Column, pattern: str) -> Column:
+    """The first clause in which a pattern (over lower-case text) is found, white space single; null without one."""
+    clauses = F.transform(F.split(text, CLAUSE_END), lambda c: F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return F.get(F.filter(clauses, lambda s: F.lower(s).rlike(pattern)), F.lit(0))
+
+
+def block_kind(block: Column) -> Column:
+    """heading, list or paragraph: what a block between blank lines is."""
+    first = F.trim(F.get(F.split(block, "\n"), F.lit(0)))
+    alone = F.size(F.split(block, "\n")) == 1
+    return F.when(alone & is_heading(first), "heading").when(first.rlike(r"^(?:[-*•]|[0-9]+[.)])\s"), "list").otherwise("paragraph")
 
 
 def clipped(text: Column, most: int) -> Column:
@@ -123,7 +135,9 @@ def type_matches(pattern: Column, kind: Column) -> Column:
 
 
 def around(text: Column, pattern: str, reach: int = 80) -> Column:
-    """The first match of a pattern with up to ``reach`` characters on both sides; null without a match."""
-    at = F.regexp_instr(text, F.lit(pattern))
+    """The first match of a pattern with up to ``reach`` characters on both sides, an ellipsis where text is left out; null without a match."""
+    found = F.regexp_substr(text, F.lit(pattern))
+    at = F.position(found, text)  # in characters; regexp_instr() goes wrong behind accents
     begin = F.greatest(at - reach, F.lit(1))
-    return F.when(at > 0, F.substring(text, begin, at - begin + F.length(F.regexp_substr(text, F.lit(pattern))) + reach))
+    size = at - begin + F.length(found) + reach
+    return F.when(at > 0, F.concat(F.when(begin > 1, "…").otherwise(""), F.substring(text, begin, size), F.when(begin + size <= F.length(text), "…").otherwise("")))

@@ -43,9 +43,9 @@ def conflicts(values: DataFrame, keys: list[str], share: float = 0.1) -> DataFra
     return out.where((F.col("low_document") != F.col("high_document")) & (F.col("high") - F.col("low") > share * F.abs("high")))
 
 
-def capped(rows: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:
+def capped(rows: DataFrame, group: str | list[str], order: list[Column], most: int) -> DataFrame:
     """The first ``most`` rows of each group: a report's limit on its citations."""
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_k") <= most).drop("_k")
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*([group] if isinstance(group, str) else group)).orderBy(*order))).where(F.col("_k") <= most).drop("_k")
 
 
 def concentration(shares: DataFrame, group: str, weight: str) -> DataFrame:

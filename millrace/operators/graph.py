@@ -33,6 +33,11 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.join(nodes.select("key"), "key", "left_anti")
 
 
+def repaired_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes`` (key, label) and one labelled unknown for each end of an edge that has none."""
+    return nodes.select("key", "label").unionByName(dangling(nodes, edges).select("key", F.lit("unknown").alias("label")))
+
+
 def resolved(mentions: DataFrame) -> DataFrame:
     """Entities by canonical name: weakest match score raised by further documents.
 
@@ -58,8 +63,8 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def centrality(edges: DataFrame) -> DataFrame:
     """(key, degree, centrality): ln(1 + degree) over that of the largest degree, 6 places."""
     degree = edges.select(F.explode(F.array("source", "target")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
-    top = degree.agg(F.max("degree").alias("d")).first()["d"] or 1
-    return degree.withColumn("centrality", F.round(F.log1p(F.col("degree").cast("double")) / F.log1p(F.lit(float(top))), 6))
+    top = degree.agg(F.max("degree").cast("double")).scalar()
+    return degree.withColumn("centrality", F.round(F.log1p(F.col("degree").cast("double")) / F.log1p(top), 6))
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:

@@ -112,7 +112,7 @@ _ASSESSED = f"""{_REQ}, {_ITEMS}, {_BEST},
       FROM dq LEFT JOIN sn ON sn.tag = dq.tag AND sn.evidence_type = dq.evidence_type LEFT JOIN be ON be.tag = dq.tag AND be.requirement = dq.requirement AND be.k = 1),
     st AS (SELECT *, greatest(date_diff('day', due, {_D}) - grace, 0) AS over, CASE WHEN items IS NULL THEN 'missing' WHEN last IS NULL THEN 'incomplete' WHEN date_diff('day', last, {_D}) > days + grace THEN 'outdated'
       WHEN best_revision < least_revision THEN 'outdated' WHEN len(lacking) > 0 THEN 'incomplete' ELSE 'compliant' END AS status FROM ld),
-    asd AS (SELECT tag, requirement, status, due, CASE WHEN due IS NOT NULL THEN over END AS days_overdue,
+    asd AS (SELECT tag, requirement, status, due, CAST(CASE WHEN due IS NOT NULL THEN over END AS INTEGER) AS days_overdue,
       CASE WHEN status <> 'compliant' THEN least(4, greatest(0, severity - CASE WHEN status = 'incomplete' THEN 1 ELSE 0 END + CASE WHEN criticality = 'A' THEN 1 ELSE 0 END + CASE WHEN due IS NOT NULL AND over >= days THEN 1 ELSE 0 END)) END AS severity,
       CASE WHEN status = 'incomplete' THEN array_to_string(lacking, ',') END AS missing FROM st)"""
 _OBL = f"""ob AS (SELECT doc_id, position, trim(regexp_replace(c, '[{_WS}]+', ' ', 'g')) AS obligation FROM (

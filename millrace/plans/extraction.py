@@ -125,11 +125,11 @@ def quantised_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Region to supplier paths in words, for the regions of one hemisphere of the keys."""
+    """Region to supplier paths in words."""
     r, n, s = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
     rows = r.join(n, F.col("r_regionkey") == F.col("n_regionkey")).join(s, F.col("n_nationkey") == F.col("s_nationkey"))
     nodes, links = F.array("r_name", "n_name", "s_name"), F.array(F.lit(" —PART_OF→ "), F.lit(" —HAS→ "), F.lit(""))
-    return rows.where(F.arrays_overlap(nodes, F.array(F.lit("ASIA"), F.lit("EUROPE")))).select("s_suppkey", F.array_join(F.zip_with(nodes, links, lambda a, b: F.concat(a, b)), "").alias("path"))
+    return rows.select("s_suppkey", F.array_join(F.zip_with(nodes, links, lambda a, b: F.concat(a, b)), "").alias("path"))
 
 
 def failure_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +254,7 @@ SQL = {
         p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(greatest(list_cosine_similarity(a.b, b.b), 0), 9) AS score FROM q a, q b WHERE a.vec_id % 20 = 0),
         k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p WHERE score > 0) SELECT query_id, id, score, rank FROM k WHERE rank <= 5""",
     "path_narratives": """
-        SELECT s_suppkey, r_name || ' —PART_OF→ ' || n_name || ' —HAS→ ' || s_name AS path FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON n_nationkey = s_nationkey WHERE r_name IN ('ASIA', 'EUROPE')""",
+        SELECT s_suppkey, r_name || ' —PART_OF→ ' || n_name || ' —HAS→ ' || s_name AS path FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON n_nationkey = s_nationkey""",
     "failure_chains": """
         WITH f AS (SELECT event_id, nullif(upper(trim(equipment_tag)), '') AS tag, occurred_on FROM failure WHERE equipment_tag IS NOT NULL AND occurred_on IS NOT NULL)
         SELECT event_id, lag(event_id) OVER w AS first_before, lag(event_id, 2) OVER w AS second_before, CAST(date_diff('day', coalesce(lag(occurred_on, 2) OVER w, lag(occurred_on) OVER w), occurred_on) AS INTEGER) AS gap_days

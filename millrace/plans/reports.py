@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import text
+from millrace.functions import extract, text
 from millrace.functions.clock import machine
 from millrace.functions.confidence import clamp, recency
 from millrace.operators import documents as docs_ops
@@ -59,6 +59,14 @@ def equipment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.join(merged, "base", "left").select("base", "manufacturer", "machines", F.coalesce("limits", F.lit(0).cast("long")).alias("limits"), "limit_sum")
 
 
+def citation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations renumbered by first appearance, those of no source removed, in sentences about each document."""
+    n = lambda k: F.concat(F.lit("["), (F.col("doc_id") % k).cast("string"), F.lit("]"))
+    answer = F.concat(F.lit("First "), n(7), F.lit(" then "), n(5), F.lit(" again "), n(7), F.lit("."))
+    rows = table(spark, sf_dir, "documents").select("doc_id", extract.renumbered(answer, F.lit(4)).alias("r"))
+    return rows.select("doc_id", F.col("r.text").alias("answer"), F.array_join(F.transform("r.cited", lambda c: c.cast("string")), ",").alias("cited"))
+
+
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered clauses of manuals with at least 60 characters: number, title and length of the body."""
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND document_type = 'oem_manual'")
@@ -107,10 +115,10 @@ def extractive_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supply_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of suppliers and of customers with a positive balance, tied by their nation; others are left out, as in the SQL."""
+    """Connected components of suppliers and customers, tied by their nation."""
     s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
     edges = s.select(F.concat(F.lit("S"), "s_suppkey").alias("source"), F.concat(F.lit("N"), "s_nationkey").alias("target")).unionByName(
-        c.where("c_acctbal > 0").select(F.concat(F.lit("C"), "c_custkey").alias("source"), F.concat(F.lit("N"), "c_nationkey").alias("target"))
+        c.select(F.concat(F.lit("C"), "c_custkey").alias("source"), F.concat(F.lit("N"), "c_nationkey").alias("target"))
     )
     return graph.components(edges)
 
@@ -134,7 +142,7 @@ def ocr_lines(words: DataFrame, tolerance: float = 0.6) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fleet_base_rate, severity_bands, bypass_strength, machine_history, equipment_merge, clauses, corroboration_counts, fusion_summary, explanations, source_merge, catalogue_counts, extractive_fallback, supply_components,
+        fleet_base_rate, severity_bands, bypass_strength, machine_history, equipment_merge, citation_map, clauses, corroboration_counts, fusion_summary, explanations, source_merge, catalogue_counts, extractive_fallback, supply_components,
     )
 }
 _BY = f"SELECT doc_id, len(regexp_extract_all(lower(text), pattern)) AS hits, weight FROM documents, {BYPASS_SQL} WHERE text IS NOT NULL"
@@ -166,7 +174,11 @@ SQL = {
         b AS (SELECT query_id, id, min((o, p)) AS k FROM a GROUP BY 1, 2), n AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY k, id) AS position FROM b)
         SELECT * FROM n WHERE position <= 8""",
     "catalogue_counts": "SELECT equipment_type, criticality, count(*) AS machines FROM equipment GROUP BY 1, 2",
+    "citation_map": """
+        WITH d AS (SELECT doc_id, doc_id % 7 AS a, doc_id % 5 AS b FROM documents), v AS (SELECT *, a BETWEEN 1 AND 4 AS va, b BETWEEN 1 AND 4 AS vb FROM d)
+        SELECT doc_id, 'First ' || CASE WHEN va THEN '[1]' ELSE '' END || ' then ' || CASE WHEN NOT vb THEN '' WHEN a = b OR NOT va THEN '[1]' ELSE '[2]' END || ' again ' || CASE WHEN va THEN '[1]' ELSE '' END || '.' AS answer,
+          CASE WHEN va AND vb AND a <> b THEN a || ',' || b WHEN va THEN CAST(a AS VARCHAR) WHEN vb THEN CAST(b AS VARCHAR) ELSE '' END AS cited FROM v""",
     "supply_components": """
-        WITH e AS (SELECT 'S' || s_suppkey AS a, 'N' || s_nationkey AS b FROM supplier UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer WHERE c_acctbal > 0),
+        WITH e AS (SELECT 'S' || s_suppkey AS a, 'N' || s_nationkey AS b FROM supplier UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer),
         m AS (SELECT b, least(min(a), b) AS component FROM e GROUP BY b) SELECT DISTINCT a AS key, component FROM e JOIN m USING (b) UNION SELECT b, component FROM m""",
 }

@@ -92,8 +92,8 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recency_half_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recency of documents against the newest one, half-life 180 days; undated 0.5."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "document_date")
-    newest = docs.agg(F.max("document_date").alias("d")).first()["d"]
-    return docs.select("doc_id", F.round(recency(F.datediff(F.lit(newest), "document_date").cast("double"), 180.0), 6).alias("recency"))
+    newest = docs.agg(F.max("document_date")).scalar()
+    return docs.select("doc_id", F.round(recency(F.datediff(newest, "document_date").cast("double"), 180.0), 6).alias("recency"))
 
 
 def lexical_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

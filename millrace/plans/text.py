@@ -98,7 +98,7 @@ def key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir).where("text IS NOT NULL")
-    return d.select("doc_id", text.around(F.col("text"), "leak", 40).alias("snippet")).where("snippet IS NOT NULL")
+    return d.select("doc_id", text.around(F.col("text"), "(?:leak|vibrat|corro|crack|cavitat)[a-z]*", 80).alias("snippet")).where("snippet IS NOT NULL")
 
 
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,8 +179,9 @@ SQL = {
         SELECT DISTINCT doc_id, trim(regexp_replace(lower(f), '[^a-z0-9]+', '_', 'g'), '_') AS field
         FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^([A-Za-z][A-Za-z ]{1,30}):[ \\t]*[^ \\t\\r\\n]', 1)) AS f FROM documents WHERE text IS NOT NULL)""",
     "snippets": """
-        SELECT doc_id, substring(text, greatest(p - 40, 1), p - greatest(p - 40, 1) + 4 + 40) AS snippet
-        FROM (SELECT doc_id, text, strpos(text, 'leak') AS p FROM documents WHERE text IS NOT NULL) WHERE p > 0""",
+        WITH m AS (SELECT doc_id, text, regexp_extract(text, '(leak|vibrat|corro|crack|cavitat)[a-z]*') AS w FROM documents WHERE text IS NOT NULL),
+        p AS (SELECT doc_id, text, w, strpos(text, w) AS p FROM m WHERE w <> ''), b AS (SELECT *, greatest(p - 80, 1) AS b FROM p)
+        SELECT doc_id, CASE WHEN b > 1 THEN '…' ELSE '' END || substring(text, b, p - b + length(w) + 80) || CASE WHEN p + length(w) + 80 <= length(text) THEN '…' ELSE '' END AS snippet FROM b""",
     "paged_documents": "SELECT doc_id FROM documents ORDER BY ingested_at DESC NULLS LAST, doc_id LIMIT 50 OFFSET 50",
     "measurements": """
         WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[0-9]+(?:\\.[0-9]+)? (?:mm/s|mm|bar|kPa|degC|m3/h|percent|hours|minutes)\\b')) AS m FROM documents WHERE text IS NOT NULL)

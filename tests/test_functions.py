@@ -34,7 +34,8 @@ def test_text(spark):
     assert value(spark, text.sentences(F.lit("See No. 5 on the list. It is 3.5 bar. Done? Yes! e.g. this"))) == ["See No. 5 on the list.", "It is 3.5 bar.", "Done?", "Yes! e.g. this"]
     assert [value(spark, text.is_heading(F.lit(x))) for x in ("# A", "FINDINGS", "2.1 History", "Work done:", "The pump runs.", "", "AB")] == [True, True, True, True, False, False, False]
     assert value(spark, text.slug(F.lit(" Héat / Exchanger-2 "))) == "h_at_exchanger_2"
-    assert value(spark, text.around(F.lit("a" * 100 + "leak" + "b" * 100), "leak", 5)) == "aaaaaleakbbbbb"
+    assert value(spark, text.around(F.lit("a" * 100 + "leak" + "b" * 100), "leak", 5)) == "…aaaaaleakbbbbb…"
+    assert value(spark, text.around(F.lit("ééé leak b"), "leak", 5)) == "ééé leak b"
 
 
 def test_extract(spark):
