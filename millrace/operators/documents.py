@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -80,6 +81,19 @@ def chunks(docs: DataFrame, size: int = 384, overlap: int = 50, least: int = 40)
     return split.mapInPandas(run, "doc_id long, chunk_no int, sentences int, tokens int, text string")
 
 
+def common_subsequence(p: str, q: str) -> int:
+    """The length of the longest common subsequence, a whole row of the usual table in each machine word of q's bits."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(q):
+        at[c] = at.get(c, 0) | 1 << k
+    full = (1 << len(q)) - 1
+    row = full  # bits that are 0 are steps of the row
+    for c in p:
+        hit = row & at.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(q) - row.bit_count()
+
+
 def token_set_ratio(a: str, b: str) -> float:
     """Similarity of two texts by their shared and own words, in [0, 1]; order does not count."""
     x, y = set(re.findall(r"\w+", a.lower())), set(re.findall(r"\w+", b.lower()))
@@ -89,15 +103,7 @@ def token_set_ratio(a: str, b: str) -> float:
     first, second = (" ".join([*([shared] if shared else []), *sorted(z)]) for z in (x - y, y - x))
 
     def ratio(p: str, q: str) -> float:
-        if not p and not q:
-            return 1.0
-        previous = [0] * (len(q) + 1)  # longest common subsequence
-        for c in p:
-            row = [0]
-            for j, d in enumerate(q, 1):
-                row.append(previous[j - 1] + 1 if c == d else max(previous[j], row[-1]))
-            previous = row
-        return 2 * previous[-1] / (len(p) + len(q))
+        return 2 * common_subsequence(p, q) / (len(p) + len(q)) if p or q else 1.0
 
     best = ratio(first, second)
     return max(best, ratio(shared, first), ratio(shared, second)) if shared else best
@@ -129,6 +135,13 @@ def similar_texts(findings: DataFrame, precursors: DataFrame, least: float = 0.7
     return right.join(best, ["tag", "precursor_text"]).select("event_id", "b.record_id", (-F.col("b.s")).alias("similarity"))
 
 
+@lru_cache(maxsize=200_000)
+def _slots(gram: str) -> tuple[int, int]:
+    """The two numbers of a gram; texts share most of their grams."""
+    digest = hashlib.blake2b(gram.encode(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "big"), int.from_bytes(digest[8:], "big")
+
+
 def hash_embedding(text: str, dims: int) -> list[float]:
     """Words, word pairs and character 4-grams hashed to two signed slots each; unit length."""
     words = re.findall(r"\w+", text.lower())
@@ -142,9 +155,7 @@ def hash_embedding(text: str, dims: int) -> list[float]:
     out = np.zeros(dims)
     for gram, weight in grams.items():
         value = weight * (1 + math.log(max(weight, 1.0))) / math.sqrt(2)
-        digest = hashlib.blake2b(gram.encode(), digest_size=16).digest()
-        for part in (digest[:8], digest[8:]):
-            number = int.from_bytes(part, "big")
+        for number in _slots(gram):
             out[number % dims] += value if number >> 63 else -value
     size = np.linalg.norm(out)
     return (out / size if size else out).tolist()

@@ -100,7 +100,11 @@ def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = d.where("doc_id % 20 = 0 AND title IS NOT NULL AND tag IS NOT NULL").select(F.col("doc_id").alias("query_id"), "tag", words(F.col("title")).alias("q"))
     # Only the machines that are asked about go on; their sentences are split before the join.
     found = d.join(asked.select("tag").distinct(), "tag", "left_semi").select("tag", "doc_id", F.posexplode(text.sentences(F.col("text"))).alias("at", "sentence"))
-    pairs = asked.join(found, "tag").withColumn("score", F.round(F.size(F.array_intersect("q", words(F.col("sentence")))) / F.greatest(F.size("q"), F.lit(1)), 6)).where("score > 0")
+    # On machine and word: sentences without a word of the question never meet it.
+    said = found.select("tag", "doc_id", "at", F.explode(words(F.col("sentence"))).alias("word"))
+    hits = asked.select("query_id", "tag", F.size("q").alias("n"), F.explode("q").alias("word")).join(said, ["tag", "word"])
+    hits = hits.groupBy("query_id", "n", "doc_id", "at").agg(F.count("*").alias("hits"))
+    pairs = hits.select("query_id", "doc_id", "at", F.round(F.col("hits") / F.greatest("n", F.lit(1)), 6).alias("score")).join(found.select("doc_id", "at", "sentence"), ["doc_id", "at"])
     best = Window.partitionBy("query_id", "sentence").orderBy("doc_id", "at")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "at")
     once = pairs.withColumn("k", F.row_number().over(best)).where("k = 1")

@@ -1,5 +1,7 @@
 """Expressions and operators against hand-computed values."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +113,14 @@ def test_similarity():
     assert documents.token_set_ratio("bearing was hot", "hot bearing was") == 1.0
     assert documents.token_set_ratio("", "x") == 0.0
     assert documents.token_set_ratio("seal leak", "motor trip") < 0.5
+    rng = random.Random(1)
+    for _ in range(200):
+        p, q = ("".join(rng.choice("abcd ") for _ in range(rng.randrange(12))) for _ in range(2))
+        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i, c in enumerate(p):
+            for j, d in enumerate(q):
+                best[i + 1][j + 1] = best[i][j] + 1 if c == d else max(best[i][j + 1], best[i + 1][j])
+        assert documents.common_subsequence(p, q) == best[-1][-1]
 
 
 def test_rules_on_a_clean_machine(spark):
