@@ -18,6 +18,7 @@ from millrace.functions.confidence import clamp, noisy_or
 from millrace.functions.text import ANOMALY_TERMS, BYPASS_TERMS
 from millrace.operators.documents import term_counts
 from millrace.operators.evidence import CRITICALITY, by_key
+from millrace.session import checkpointed
 
 #: Severities from the lowest, each with the least risk of an alert of it; fixed values.
 SEVERITIES = ("info", "low", "warning", "high", "critical")
@@ -148,6 +149,7 @@ def compounds(signals: DataFrame, rules: list[dict], equipment: DataFrame, facts
     at least the severity's floor.
     """
     kinds = sorted({k for r in rules for k in r["kinds"]})
+    signals = checkpointed(signals)  # read three times below; every detector runs once
     best = signals.groupBy("tag").agg(*[F.max(F.when(F.col("kind") == k, F.col("strength"))).alias(k) for k in kinds])
     both = signals.where("gap IS NOT NULL").groupBy("tag", "gap").agg(*[F.max((F.col("kind") == k).cast("int")).alias(f"_{k}") for k in kinds])
     shared = both.groupBy("tag").agg(*[F.max(reduce(lambda a, k: a & (F.col(f"_{k}") == 1), r["shared"], F.lit(True)).cast("int")).alias(f"_shared_{r['name']}") for r in rules if r.get("shared")])

@@ -252,6 +252,16 @@ SQL = {
         WITH f AS (SELECT upper(trim(equipment_tag)) AS tag, max(downtime_hours) AS worst FROM failure GROUP BY 1), d AS (SELECT upper(trim(equipment_tag)) AS tag, count(*) AS docs FROM documents GROUP BY 1)
         SELECT e.tag, round(0.6::DOUBLE * (CASE criticality WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.6 ELSE 0.3 END)::DOUBLE + 0.25::DOUBLE * least(1.0, coalesce(worst, 0) / 72) + 0.1::DOUBLE * least(1.0::DOUBLE, coalesce(docs, 0) / 20.0::DOUBLE) + 0.05::DOUBLE * CASE WHEN docs > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 6) AS priority
         FROM equipment e LEFT JOIN f ON f.tag = e.tag LEFT JOIN d ON d.tag = e.tag""",
+    "masked_tags": f"""
+        SELECT doc_id, CAST(len(list_distinct(list_filter({_TAGS}, lambda t: regexp_extract(t, '^([A-Z]+)', 1) NOT IN ('ISO', 'API', 'IEC', 'ASME', 'DN', 'PN', 'REV', 'RPM', 'HW', 'OISD', 'IS', 'SS')))) AS INTEGER) AS tags,
+          TRUE AS restored FROM documents WHERE text IS NOT NULL""",
+    "glyph_readings": """
+        WITH r AS (SELECT resolution_id, upper(trim(raw)) AS x FROM tag_resolution WHERE raw IS NOT NULL),
+        p AS (SELECT resolution_id, regexp_extract(x, '^([A-Z0-9]{1,3})[-_ ./]', 1) AS prefix, regexp_extract(x, '^[A-Z0-9]{1,3}[-_ ./]+([A-Z0-9|]{2,6})$', 1) AS rest FROM r),
+        n AS (SELECT *, regexp_extract(rest, '^.{2,}([ABC])$', 1) AS suffix FROM p), m AS (SELECT *, substring(rest, 1, length(rest) - length(suffix)) AS number FROM n),
+        t AS (SELECT *, translate(prefix, '015862', 'OISBGZ') AS letters, translate(translate(number, '|', '1'), 'OQDILZSGTB', '0001125678') AS digits FROM m)
+        SELECT resolution_id, letters || '-' || digits || suffix AS tag, CAST(levenshtein(prefix, letters) + levenshtein(number, digits) AS INTEGER) AS changes FROM t
+        WHERE prefix <> '' AND rest <> '' AND regexp_full_match(digits, '[0-9]{2,5}') AND regexp_full_match(letters, '[A-Z]+')""",
     "quantised_topk": """
         WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
         q AS (SELECT vec_id, label, list_transform(e, lambda x: round_even(x / n * 127, 0)) AS b FROM n),

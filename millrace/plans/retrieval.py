@@ -154,6 +154,11 @@ SQL = {
         WITH {_TOP}, hits AS (SELECT query_id, id, round(s, 6) AS vector_score FROM ranked WHERE rank <= 8),
         near AS (SELECT query_id, id, 1.0::DOUBLE AS graph_score FROM scored WHERE own = label AND abs(id - query_id) <= 40)
         SELECT query_id, id, coalesce(vector_score, 0) AS vector_score, coalesce(graph_score, 0) AS graph_score FROM hits FULL OUTER JOIN near USING (query_id, id)""",
+    "context_pack": f"""
+        WITH RECURSIVE {_FUSED}, it AS (SELECT query_id, id, rank, 40 + (id * 37) % 300 AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM fused WHERE fused >= 0.15 OR rank = 1),
+        go AS (SELECT query_id, id, rank, tokens, k, tokens AS used, TRUE AS taken FROM it WHERE k = 1
+          UNION ALL SELECT it.query_id, it.id, it.rank, it.tokens, it.k, go.used + CASE WHEN go.used + it.tokens <= 1200 THEN it.tokens ELSE 0 END, go.used + it.tokens <= 1200 FROM go JOIN it ON it.query_id = go.query_id AND it.k = go.k + 1)
+        SELECT query_id, rank, id, tokens FROM go WHERE taken""",
     "recency_half_life": """
         SELECT doc_id, round(CASE WHEN document_date IS NULL THEN 0.5::DOUBLE ELSE pow(2.0::DOUBLE, -greatest(date_diff('day', document_date, (SELECT max(document_date) FROM documents)), 0) / 180.0::DOUBLE) END, 6) AS recency FROM documents""",
     "lexical_tfidf_topk": """
