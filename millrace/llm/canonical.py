@@ -1,19 +1,21 @@
 """Problem 6: freely entered values mapped to the closest entry of a reference list. SQL only.
 
-Each distinct value is resolved once, by the first tier that has candidates:
-
-1. its letters and digits are those of a tag, with or without words that say nothing;
-2. a tag stands in it between other words;
-3. as 1, after characters that are mistaken for each other are folded together;
-4. its words are those of a name, in either order, with the same unit letter;
+Each distinct value is resolved once, through joins of one kind. A reference string (a tag,
+a name in either order of its words, a kind of machine and a number) is cut into k + 1
+segments, of which k edits leave one intact, so equality on (length, segment number, segment)
+against the value's substrings near that place finds every candidate; levenshtein() verifies
+them. A value is compared whole and by its runs of words, so that words around a tag or name
+need not be known. Candidates come in tiers, of which the first counts:
+
+1. the letters and digits of the whole value are a tag; 2. those of a run of its words are;
+3. a run is a tag after characters that are mistaken for each other are folded together;
+4. its words, but for some at either end, are a name with the same unit letter;
 5. a kind of machine and a number that only one machine of that kind has;
-6. a tag within one edit (insertion, deletion, substitution or neighbours swapped);
+6. a run within one edit of a tag (insertion, deletion, substitution or neighbours swapped);
 7. a name within EDITS edits, with the same unit letter.
 
-Tiers 6 and 7 are pigeonhole joins: a reference string is cut into k + 1 segments, of which
-k edits leave one intact, so equality on (length, segment number, segment) against the
-value's substrings near that place finds every candidate; levenshtein() verifies them.
-Values that no tier resolves, or whose best tier is ambiguous, are unmatched.
+Within a tier the fewest edits win. Values without a candidate, or with several machines in
+their best place, are unmatched. Kinds of machines are the last words of the names themselves.
 
 Defined results: null and blank values and exact tags take no part; punctuation -> unmatched;
 an empty reference list -> every value unmatched; null names are matched by tag only;
@@ -32,10 +34,8 @@ from millrace.session import checkpointed
 
 UNMATCHED = "UNMATCHED"
 EDITS = 2
-#: Words around a tag that say nothing about which it is; fixed values.
-SITE_WORDS = ["OLD", "NORTH SIDE", "SOUTH SIDE", "EAST SIDE", "WEST SIDE", "SEE NOTE", "TAG", "STANDBY", "SPARE", "FIELD"]
-#: Kinds of machines as they end a name; fixed values.
-KINDS = ["PUMP", "COMPRESSOR", "TANK", "DRUM", "EXCHANGER", "VALVE", "MOTOR", "FILTER", "CONTROLLER", "REACTOR"]
+#: Words of a value that are taken together at most, and words that a name may have around it.
+RUN, AROUND = 3, 3
 #: Characters mistaken for each other, each followed by what it is folded to; fixed values.
 GLYPHS = {"O": "0", "Q": "0", "D": "0", "I": "1", "L": "1", "|": "1", "!": "1", "Z": "2", "S": "5", "G": "6", "T": "7", "B": "8", "A": "4", "$": "5"}
 _WIDE = "".join(chr(0xFF01 + k) for k in range(94))
@@ -57,12 +57,20 @@ def folded(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, "".join(GLYPHS), "".join(GLYPHS.values())), "[^A-Z0-9]", "")
 
 
-def bare(text: Column) -> Column:
-    """A cleaned value without brackets, site words, kinds and a leading unit number."""
-    text = F.regexp_replace(text, r"\([^)]*\)", " ")
-    text = F.regexp_replace(text, r"\b(" + "|".join(SITE_WORDS) + r")\b:?", " ")
-    text = F.regexp_replace(F.trim(text), r"^U-?\d{1,2}\s+(?=\S)", "")
-    return F.trim(F.regexp_replace(text, r"\b(" + "|".join(KINDS) + r")S?\b", " "))
+def runs(text: Column) -> Column:
+    """Runs of one to RUN words of a cleaned value, brackets and commas apart."""
+    words = F.filter(F.split(text, r"[\s()\[\],;:/]+"), lambda w: F.length(w) > 0)
+    some = F.array().cast("array<string>")
+    each = [F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(some) for n in range(1, RUN + 1)]
+    return F.array_distinct(F.flatten(F.array(*each)))
+
+
+def inner(text: Column) -> Column:
+    """A value's words without up to AROUND of them at either end, in all ways, and without a bracket's words; letters only, without the unit's."""
+    words = F.filter(F.split(F.regexp_replace(text, r"\([^)]*\)", " "), r"[\s,;:/]+"), lambda w: F.length(w) > 0)
+    n = F.size(words)
+    parts = F.array(*[F.when(n - a - b >= 1, F.array_join(F.slice(words, a + 1, F.greatest(n - a - b, F.lit(0))), " ")) for a in range(AROUND + 1) for b in range(AROUND + 1 - a)])
+    return F.array_distinct(F.filter(F.transform(F.array_compact(parts), name_base), lambda v: F.length(v) > 3))
 
 
 def unit_letter(text: Column) -> Column:
@@ -70,9 +78,8 @@ def unit_letter(text: Column) -> Column:
 
 
 def name_base(text: Column) -> Column:
-    """The letters of a name's words, without brackets, site words and the unit letter."""
+    """The letters of a name's words, without brackets and the unit letter."""
     text = F.regexp_replace(text, r"\([^)]*\)", " ")
-    text = F.regexp_replace(text, r"\b(" + "|".join(SITE_WORDS) + r")\b:?", " ")
     return compact(F.regexp_replace(text, r"(?:^|(?<=[^A-Z0-9]))[A-Z](?=$|[^A-Z0-9])", " "))
 
 
@@ -110,7 +117,7 @@ def resolve_distinct(raws: DataFrame, registry: DataFrame) -> DataFrame:
         folded(cleaned(F.col("tag"))).alias("ref_fold"),
         name_base(F.col("_name")).alias("ref_name"),
         unit_letter(F.col("_name")).alias("letter"),
-        F.regexp_extract("_name", r"\b(" + "|".join(KINDS) + r")(?: [A-Z])?$", 1).alias("kind"),
+        F.regexp_extract("_name", r"([A-Z]+)(?: [A-Z])?$", 1).alias("kind"),
         F.regexp_extract(cleaned(F.col("tag")), r"(\d+[A-Z]?)$", 1).alias("number"),
     )
     # A name with its kind first, as in "pump, crude charge".
@@ -119,14 +126,14 @@ def resolve_distinct(raws: DataFrame, registry: DataFrame) -> DataFrame:
     numbered = refs.where("kind <> '' AND number <> ''").select("tag", F.concat("kind", "number").alias("ref"))
     values = raws.select("raw", cleaned(F.col("raw")).alias("text"))
     loose = F.regexp_extract_all(F.col("text"), F.lit(r"(?<![A-Z0-9])([A-Z]{1,4}[^A-Z0-9]?\d{2,5}[A-Z]?)(?![A-Z0-9])"), F.lit(1))
-    kind_number = F.regexp_extract("text", r"^(" + "|".join(KINDS) + r")S?\s*(?:#|NO\.?|NUMBER)?\s*\d+[A-Z]?$", 1)
-    values = values.withColumn("bare", bare(F.col("text"))).select(
+    kind_number = F.regexp_extract("text", r"^([A-Z]{3,}?)S?\s*(?:#|NO\.?|NUMBER)?\s*\d+[A-Z]?$", 1)
+    values = values.withColumn("runs", runs(F.col("text"))).select(
         "raw",
         # The spellings under which a value is compared, each with the tier it belongs to.
-        F.array(compact(F.col("text")), compact(F.col("bare"))).alias("whole"),
-        F.transform(loose, compact).alias("inside"),
-        F.array_distinct(F.array(folded(F.col("text")), folded(F.col("bare")))).alias("fold"),
-        name_base(F.col("text")).alias("base"),
+        F.array(compact(F.col("text"))).alias("whole"),
+        F.array_distinct(F.concat(F.transform(loose, compact), F.transform("runs", compact))).alias("inside"),
+        F.array_distinct(F.concat(F.array(folded(F.col("text"))), F.transform("runs", folded))).alias("fold"),
+        inner(F.col("text")).alias("base"),
         unit_letter(F.col("text")).alias("own_letter"),
         F.when(kind_number != "", F.concat(kind_number, F.regexp_extract("text", r"(\d+[A-Z]?)$", 1))).alias("numbered"),
     )
@@ -135,14 +142,14 @@ def resolve_distinct(raws: DataFrame, registry: DataFrame) -> DataFrame:
     views = values.select("raw", F.explode(F.array_distinct(F.concat(F.transform("whole", lambda v: F.struct(v.alias("value"), F.lit(1).alias("tier"))), F.transform("inside", lambda v: F.struct(v.alias("value"), F.lit(2).alias("tier")))))).alias("v"))
     views = views.select("raw", "v.*").where("value <> ''")
     tags = pigeonhole(views, "value", refs.select("tag", F.col("ref_tag").alias("ref")), "ref", 1)
-    tags = tags.withColumn("tier", F.when(F.col("edits") == 0, F.col("tier")).when((F.col("tier") == 1) & F.col("value").rlike("[0-9]"), F.lit(6)))
+    tags = tags.withColumn("tier", F.when(F.col("edits") == 0, F.col("tier")).when(F.col("value").rlike("[0-9]") & (F.length("value") > 3), F.lit(6)))
     # Neighbours that changed places are two edits: undone, such a value equals a tag.
     pairs = F.sequence(F.lit(1), F.greatest(F.length("value") - 1, F.lit(1)))
     undone = F.transform(pairs, lambda i: F.concat(F.substring(F.col("value"), F.lit(1), i - 1), F.substring(F.col("value"), i + 1, F.lit(1)), F.substring(F.col("value"), i, F.lit(1)), F.substring(F.col("value"), i + 2, F.length("value"))))
-    turned = views.where("tier = 1 AND value rlike '[0-9]'").select("raw", F.explode(F.array_distinct(undone)).alias("value"))
+    turned = views.where("value rlike '[0-9]' AND length(value) > 3").select("raw", F.explode(F.array_distinct(undone)).alias("value"))
     turned = pigeonhole(turned, "value", refs.select("tag", F.col("ref_tag").alias("ref")), "ref", 0).select("raw", "tag", F.lit(6).alias("tier"), F.lit(2).alias("edits"))
     folds = pigeonhole(values.select("raw", F.explode("fold").alias("value")).where("value <> ''"), "value", refs.select("tag", F.col("ref_fold").alias("ref")), "ref", 0)
-    named = pigeonhole(values.where("base <> ''").select("raw", F.col("base").alias("value"), "own_letter"), "value", names, "ref", EDITS).where("own_letter = letter")
+    named = pigeonhole(values.select("raw", F.explode("base").alias("value"), "own_letter"), "value", names, "ref", EDITS).where("own_letter = letter")
     counted = pigeonhole(values.select("raw", F.col("numbered").alias("value")), "value", numbered, "ref", 0)
     found = (
         tags.where("tier IS NOT NULL").select("raw", "tag", "tier", "edits")
