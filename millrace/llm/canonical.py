@@ -60,9 +60,12 @@ def folded(text: Column) -> Column:
 def runs(text: Column) -> Column:
     """Runs of one to RUN words of a cleaned value, brackets and commas apart."""
     words = F.filter(F.split(text, r"[\s()\[\],;:/]+"), lambda w: F.length(w) > 0)
-    some = F.array().cast("array<string>")
-    each = [F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(some) for n in range(1, RUN + 1)]
-    return F.array_distinct(F.flatten(F.array(*each)))
+
+    def of(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(*[of(n) for n in range(1, RUN + 1)])))
 
 
 def inner(text: Column) -> Column:

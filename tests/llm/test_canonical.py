@@ -1,6 +1,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from millrace.llm import canonical
 
 REGISTRY = [("P-101", "Crude charge pump"), ("P-205A", "Lean amine pump A"), ("P-205B", "Lean amine pump B"), ("KOD-7310", "Steam drum drum"), ("BP-8801", None), ("M-45", "Fuel gas motor"), ("TK-600", "Fuel gas tank"), ("CV-601", "Fuel gas valve"), ("XV-601", "Hot oil valve")]
@@ -21,6 +23,13 @@ def test_forms(spark):
     assert resolve(spark, list(want)) == want
 
 
+def test_runs_of_words(spark):
+    df = spark.createDataFrame([("OLD P 101 (NORTH)",), ("",)], "t string")
+    got = [r.r for r in df.select(canonical.runs(F.col("t")).alias("r")).collect()]
+    assert got == [["OLD", "P", "101", "NORTH", "OLD P", "P 101", "101 NORTH", "OLD P 101", "P 101 NORTH"], []]
+    assert resolve(spark, ["by the boiler P 101 as before", "ask for P-l0l today"]) == {"by the boiler P 101 as before": "P-101", "ask for P-l0l today": "P-101"}
+
+
 def test_rows_that_take_no_part_and_empty_sides(spark):
     got = resolve(spark, [None, "", "    ", "P-101", "p-101", "p-101", "x" * 20000])
     assert got == {"p-101": "P-101", "x" * 20000: "UNMATCHED"}
