@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.session import spread
@@ -107,6 +107,18 @@ def ivf_topk(queries: DataFrame, rows: DataFrame, k: int = 24, probed: float = 0
     return _ranked(pairs, k)
 
 
+def conditions(wanted: dict) -> Column:
+    """A filter from column -> value (equal), list (one of) or pair (from, to; None is open). All must hold; null never does."""
+    out = F.lit(True)
+    for name, value in wanted.items():
+        if isinstance(value, tuple):
+            low, high = value
+            out = out & (F.col(name) >= F.lit(low) if low is not None else F.lit(True)) & (F.col(name) <= F.lit(high) if high is not None else F.lit(True)) & F.col(name).isNotNull()
+        else:
+            out = out & (F.col(name).isin(value) if isinstance(value, list) else F.col(name) == F.lit(value))
+    return out
+
+
 def minmax(score: str, query: str):
     """A score scaled to [0, 1] within its query; without spread 1 if it fired at all, else 0."""
     w = Window.partitionBy(query)

@@ -98,6 +98,24 @@ def evidence_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.digest(asked, sections)
 
 
+def evidence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reasons to doubt a machine's evidence: poorly read, sparse, stale, conflicting, read from pictures only."""
+    weak = extraction.uncertainty_flags(spark, sf_dir)
+    dated = _docs(spark, sf_dir).select(machine(F.col("equipment_tag")).alias("tag"), "document_date").where("tag IS NOT NULL")
+    stale = dated.groupBy("tag").agg(F.max("document_date").alias("last")).where(F.datediff(F.lit(machines.AS_OF).cast("date"), "last") > 45).select("tag", F.lit("stale").alias("flag"))
+    conflict = machines.conflict_detection(spark, sf_dir).select("tag", F.lit("conflict").alias("flag")).distinct()
+    read = table(spark, sf_dir, "parse_outcome").select(machine(F.col("equipment_tag")).alias("tag"), F.col("ocr_confidence").isNotNull().alias("scan")).where("tag IS NOT NULL")
+    vision = read.groupBy("tag").agg(F.min(F.col("scan").cast("int")).alias("all")).where("all = 1").select("tag", F.lit("vision").alias("flag"))
+    return weak.unionByName(stale).unionByName(conflict).unionByName(vision)
+
+
+def filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical hits whose document is of some types, dated within a range and not of the unknown source."""
+    d = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "document_type", "document_date", "lang")
+    where = retrieval.conditions({"document_type": ["inspection_report", "work_order", "shift_log"], "document_date": ("2024-05-01", None), "lang": "en"})
+    return search.lexical_tfidf_topk(spark, sf_dir).join(d.where(where).select("id"), "id", "left_semi").select("query_id", "id", "rank")
+
+
 def interpretations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Other ways to read weak evidence: from flags and from alerts of low confidence, five a machine."""
     flags = extraction.uncertainty_flags(spark, sf_dir)
@@ -237,7 +255,7 @@ _GREEDY = """it AS (SELECT nullif(upper(trim(equipment_tag)), '') AS tag, doc_id
 QUERIES = {
     f.__name__: f
     for f in (
-        question_tags, question_machines, graph_boost, graph_fusion, step_confidence, retrieval_merge, context_budget, evidence_digest, interpretations, causal_chain, diagnostic_actions, matching_clauses, text_blocks,
+        question_tags, question_machines, graph_boost, graph_fusion, step_confidence, retrieval_merge, context_budget, evidence_digest, evidence_flags, filtered_search, interpretations, causal_chain, diagnostic_actions, matching_clauses, text_blocks,
         script_decision, tag_reconcile, alias_table, procedures_for_tag, seed_expansion, graph_preview, bundle_drops, question_routes,
     )
 }
@@ -267,6 +285,12 @@ SQL = {
           UNION ALL SELECT upper(trim(equipment_tag)), 'procedures', CAST(doc_id AS VARCHAR) FROM documents WHERE document_type = 'sop' UNION ALL SELECT tag, 'limits', unnest(map_keys(oem_thresholds)) FROM equipment)),
         k AS (SELECT *, row_number() OVER (PARTITION BY tag, section ORDER BY item) AS k FROM i)
         SELECT a.tag, n.section, count(item) AS found, coalesce(string_agg(item, ', ' ORDER BY item) FILTER (k <= 8), 'searched, nothing found') AS items FROM a CROSS JOIN n LEFT JOIN k ON k.tag = a.tag AND k.section = n.section WHERE a.tag IS NOT NULL GROUP BY 1, 2""",
+    "evidence_flags": f"""
+        WITH fg AS ({extraction.SQL["uncertainty_flags"]}), cf AS ({machines.SQL["conflict_detection"]}), d AS (SELECT nullif(upper(trim(equipment_tag)), '') AS tag, max(document_date) AS last FROM documents GROUP BY 1),
+        v AS (SELECT nullif(upper(trim(equipment_tag)), '') AS tag, bool_and(ocr_confidence IS NOT NULL) AS every FROM parse_outcome GROUP BY 1)
+        SELECT tag, flag FROM fg UNION ALL SELECT tag, 'stale' FROM d WHERE tag IS NOT NULL AND date_diff('day', last, DATE '2024-06-30') > 45 UNION ALL SELECT DISTINCT tag, 'conflict' FROM cf UNION ALL SELECT tag, 'vision' FROM v WHERE tag IS NOT NULL AND every""",
+    "filtered_search": f"""
+        WITH {_LEX} SELECT query_id, id, rank FROM lx WHERE id IN (SELECT doc_id FROM documents WHERE document_type IN ('inspection_report', 'work_order', 'shift_log') AND document_date >= DATE '2024-05-01' AND lang = 'en')""",
     "interpretations": f"""
         WITH {signals._FIRED}, fg AS ({extraction.SQL["uncertainty_flags"]}),
         rd AS (SELECT tag, CASE flag WHEN 'low_ocr' THEN 'A poorly read paper may say something else.' ELSE 'A single document may not be typical.' END AS reading FROM fg UNION SELECT tag, 'The signals behind ' || rule || ' may be chance.' FROM al WHERE confidence < 0.55),

@@ -75,6 +75,25 @@ def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.join(known, "tag", "left").select("resolution_id", F.coalesce("tag", F.lit("?")).alias("tag"), F.coalesce("equipment_type", F.lit("unknown")).alias("equipment_type"))
 
 
+def key_value_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a text with the value of their first line: a name before a colon at the start of a line."""
+    found = F.regexp_extract_all("text", F.lit(r"(?m)^([A-Za-z][A-Za-z ]{1,30}:[ \t]*[^ \t\r\n][^\r\n]*)"), F.lit(1))
+    rows = _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.posexplode(found).alias("at", "line"))
+    rows = rows.select("doc_id", "at", text.slug(F.regexp_extract("line", "^([^:]*):", 1)).alias("field"), F.btrim(F.regexp_extract("line", "^[^:]*:(.*)$", 1), F.lit(" \t")).alias("value"))
+    return rows.groupBy("doc_id", "field").agg(F.min_by("value", "at").alias("value"))
+
+
+def labelled_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured values with the word that says what they are and their unit in its usual spelling."""
+    names = ["pressure", "temperature", "vibration", "flow", "level", "speed", "thickness", "gap"]
+    pattern = r"\b((?:" + "|".join(names) + r")\b[^.0-9\r\n]{0,40}[0-9]+(?:\.[0-9]+)? ?(?:mm/s|mm|bar|kPa|degC|°C|m3/h|%|percent|rpm)\b)"
+    low = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
+    rows = _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.explode(low).alias("m"))
+    unit = F.regexp_extract("m", r"[0-9] ?([^0-9 ]+[^ ]*)$", 1)
+    usual = F.when(unit == "°C", "degC").when(unit == "%", "percent").otherwise(unit)
+    return rows.groupBy("doc_id", F.regexp_extract("m", "^([a-z]+)", 1).alias("label"), F.regexp_extract("m", r"([0-9]+(?:\.[0-9]+)?) ?[^0-9 ]+[^ ]*$", 1).cast("double").alias("value"), usual.alias("unit")).agg(F.count("*").alias("times"))
+
+
 def title_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).where("title IS NOT NULL").select("doc_id", text.slug(F.col("title")).alias("slug"))
 
@@ -142,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_estimates, script_counts, document_kinds, keyword_signal_counts, bypass_signals, diagnostic_terms, content_dedupe, idempotent_load, tag_scan, tag_kinds, canonical_tags, registry_lookup,
-        title_slugs, headings, measurements, key_values, snippets, sentence_counts, semantic_chunks, paged_documents, text_similarity, hash_embedding,
+        title_slugs, headings, measurements, key_values, key_value_pairs, labelled_measurements, snippets, sentence_counts, semantic_chunks, paged_documents, text_similarity, hash_embedding,
     )
 }
 SQL = {
@@ -178,6 +197,15 @@ SQL = {
     "key_values": """
         SELECT DISTINCT doc_id, trim(regexp_replace(lower(f), '[^a-z0-9]+', '_', 'g'), '_') AS field
         FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^([A-Za-z][A-Za-z ]{1,30}):[ \\t]*[^ \\t\\r\\n]', 1)) AS f FROM documents WHERE text IS NOT NULL)""",
+    "key_value_pairs": """
+        WITH l AS (SELECT doc_id, regexp_extract_all(text, '(?m)^([A-Za-z][A-Za-z ]{1,30}:[ \\t]*[^ \\t\\r\\n][^\\r\\n]*)', 1) AS l FROM documents WHERE text IS NOT NULL),
+        e AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS k FROM l),
+        f AS (SELECT doc_id, k, trim(regexp_replace(lower(regexp_extract(line, '^([^:]*):', 1)), '[^a-z0-9]+', '_', 'g'), '_') AS field, trim(regexp_extract(line, '^[^:]*:(.*)$', 1), ' ' || chr(9)) AS value FROM e)
+        SELECT doc_id, field, arg_min(value, k) AS value FROM f GROUP BY 1, 2""",
+    "labelled_measurements": """
+        WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b((pressure|temperature|vibration|flow|level|speed|thickness|gap)\\b[^.0-9\\r\\n]{0,40}[0-9]+(\\.[0-9]+)? ?(mm/s|mm|bar|kPa|degC|°C|m3/h|%|percent|rpm)\\b)', 1)) AS m FROM documents WHERE text IS NOT NULL),
+        u AS (SELECT doc_id, m, regexp_extract(m, '^([a-z]+)', 1) AS label, CAST(regexp_extract(m, '([0-9]+(\\.[0-9]+)?) ?[^0-9 ]+[^ ]*$', 1) AS DOUBLE) AS value, regexp_extract(m, '[0-9] ?([^0-9 ]+[^ ]*)$', 1) AS unit FROM m)
+        SELECT doc_id, label, value, CASE unit WHEN '°C' THEN 'degC' WHEN '%' THEN 'percent' ELSE unit END AS unit, count(*) AS times FROM u GROUP BY 1, 2, 3, 4""",
     "snippets": """
         WITH m AS (SELECT doc_id, text, regexp_extract(text, '(leak|vibrat|corro|crack|cavitat)[a-z]*') AS w FROM documents WHERE text IS NOT NULL),
         p AS (SELECT doc_id, text, w, strpos(text, w) AS p FROM m WHERE w <> ''), b AS (SELECT *, greatest(p - 80, 1) AS b FROM p)

@@ -7,6 +7,7 @@ import email.policy
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -30,8 +31,13 @@ def sniffed(content: Column) -> Column:
     printable = F.length(F.regexp_replace(plain, r"[^\x09\x0A\x0D\x20-\x7E\xA0-\xFF]", ""))
     is_text = printable >= 0.9 * F.length(plain)
     lines = F.slice(F.filter(F.split(plain, r"\r?\n"), lambda x: F.length(F.trim(x)) > 0), 1, 6)
-    counted = F.transform(lines, lambda x: F.regexp_count(x, F.lit("[,\t;]")))
-    delimited = (F.size(lines) >= 3) & (F.size(F.array_distinct(counted)) == 1) & (F.element_at(counted, 1) > 0)
+    # One and the same delimiter, as often in each of the first lines.
+
+    def even(mark: str) -> Column:
+        counted = F.transform(lines, lambda x: F.regexp_count(x, F.lit(mark)))
+        return (F.size(lines) >= 3) & (F.size(F.array_distinct(counted)) == 1) & (F.element_at(counted, 1) > 0)
+
+    delimited = even(",") | even("\t") | even(";") | even("[|]")
     return (
         F.when(head.contains("25504446"), "pdf")
         .when(head.startswith("89504E470D0A1A0A") | head.startswith("FFD8FF") | head.startswith("49492A00") | head.startswith("4D4D002A"), "image")
@@ -109,7 +115,49 @@ def _eml(content: bytes) -> list[str]:
     return head + [p for p in re.split(r"\n\s*\n", body.get_content().strip() if body else "") if p.strip()]
 
 
-PARSERS = {"docx": _docx, "xlsx": _xlsx, "eml": _eml}
+_PDF_STRING = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]+>", re.S)
+_PDF_SHOW = re.compile(rb"(\[(?:[^\]\\]|\\.)*\]|\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]+>)\s*(?:TJ|Tj|'|\")|(T\*|[-\d.]+\s+[-\d.]+\s+T[dD]|ET)", re.S)
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
+
+
+def _pdf_string(raw: bytes) -> str:
+    if raw[:1] == b"<":
+        data = bytes.fromhex(re.sub(rb"\s", b"", raw[1:-1]).decode().ljust(len(raw) % 2, "0"))
+        return data.decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("latin-1")
+    plain = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _PDF_ESCAPES.get(m[1], m[1]), raw[1:-1], flags=re.S)
+    return plain.decode("latin-1")
+
+
+def _pdf(content: bytes) -> list[str]:
+    """The text of each page, in the order of its drawing, for fonts that write Latin letters as themselves.
+
+    Pages are the page objects in the order they are listed; streams are plain or deflated.
+    An encrypted file raises.
+    """
+    if b"/Encrypt" in content:
+        raise ValueError("encrypted")
+    objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content, re.S)}
+
+    def stream(body: bytes) -> bytes:
+        head, _, rest = body.partition(b"stream")
+        data = rest.lstrip(b"\r").removeprefix(b"\n").rpartition(b"endstream")[0]
+        return zlib.decompressobj().decompress(data) if b"FlateDecode" in head else data
+
+    kids = [int(k) for body in objects.values() if b"/Kids" in body for k in re.findall(rb"(\d+)\s+\d+\s+R", re.search(rb"/Kids\s*\[(.*?)\]", body, re.S)[1])]
+    pages = [k for k in kids if re.search(rb"/Type\s*/Page\b(?!s)", objects.get(k, b""))] or [k for k, body in objects.items() if re.search(rb"/Type\s*/Page\b(?!s)", body)]
+    out = []
+    for page in pages:
+        found = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", objects[page])
+        data = b"\n".join(stream(objects[int(k)]) for k in re.findall(rb"(\d+)\s+\d+\s+R", found[1]) if int(k) in objects) if found else b""
+        text = ""
+        for m in _PDF_SHOW.finditer(data):
+            text += "".join(map(_pdf_string, _PDF_STRING.findall(m[1]))) if m[1] else "\n"
+        out.append(re.sub(r"\n{2,}", "\n", text).strip())
+    return out
+
+
+#: A reader by extension: a new format is a new entry.
+PARSERS = {"docx": _docx, "xlsx": _xlsx, "eml": _eml, "pdf": _pdf}
 
 
 def parsed(files: DataFrame) -> DataFrame:

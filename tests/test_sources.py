@@ -1,5 +1,6 @@
 import io
 import zipfile
+import zlib
 
 from millrace.sources import files
 
@@ -48,6 +49,36 @@ def test_readers(spark, tmp_path):
     assert [r.error is not None for r in rows if r.path.endswith("d.docx")] == [True]
 
 
+def pdf(pages, deflate=True):
+    """A small file of pages, each a list of lines."""
+    parts = [b"%PDF-1.4\n"]
+    kids = b" ".join(b"%d 0 R" % (10 + 2 * k) for k in range(len(pages)))
+    parts.append(b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [" + kids + b"] /Count %d >> endobj\n" % len(pages))
+    for k, lines in enumerate(pages):
+        data = b"BT /F1 12 Tf 72 700 Td " + b" 0 -14 Td ".join(lines) + b" ET"
+        data = zlib.compress(data) if deflate else data
+        parts.append(b"%d 0 obj << /Type /Page /Parent 2 0 R /Contents %d 0 R >> endobj\n" % (10 + 2 * k, 11 + 2 * k))
+        parts.append(b"%d 0 obj << /Length %d %s>> stream\n" % (11 + 2 * k, len(data), b"/Filter /FlateDecode " if deflate else b"") + data + b"\nendstream endobj\n")
+    return b"".join(parts)
+
+
+def test_pdf_pages(spark, tmp_path):
+    pages = [[b"(Pump \\(P-1\\) leaks) Tj", b"[(Se) -20 (al)] TJ"], [b"<48656C6C6F> Tj", b"(caf\\351) Tj"]]
+    (tmp_path / "a.pdf").write_bytes(pdf(pages))
+    (tmp_path / "b.pdf").write_bytes(pdf(pages, deflate=False))
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4 /Encrypt")
+    rows = files.parsed(files.binary(spark, str(tmp_path))).orderBy("path", "position").collect()
+    assert [r.text for r in rows][:2] == ["Pump (P-1) leaks\nSeal", "Hello\ncafé"] == [r.text for r in rows][2:4]
+    assert rows[4].error == "ValueError: encrypted"
+
+
+def test_one_delimiter_for_all_lines(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("a,b\nc;d\ne\tf\n")
+    (tmp_path / "y.txt").write_text("a|b\nc|d\ne|f\n")
+    got = {r.path[-5:]: r.family for r in files.validated(files.binary(spark, str(tmp_path))).collect()}
+    assert got == {"x.txt": "text", "y.txt": "delimited"}
+
+
 def test_table_text(spark):
     rows = spark.createDataFrame([("t", 0, ["a", "b"]), ("t", 1, ["1", None])], "t string, p int, cells array<string>")
     assert files.table_text(rows, "t", "p", "cells").first().text == "a | b\n--- | ---\n1 | "
