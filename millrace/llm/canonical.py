@@ -144,18 +144,24 @@ def resolve_distinct(raws: DataFrame, registry: DataFrame) -> DataFrame:
     values = checkpointed(values)
     views = values.select("raw", F.explode(F.array_distinct(F.concat(F.transform("whole", lambda v: F.struct(v.alias("value"), F.lit(1).alias("tier"))), F.transform("inside", lambda v: F.struct(v.alias("value"), F.lit(2).alias("tier")))))).alias("v"))
     views = views.select("raw", "v.*").where("value <> ''")
-    tags = pigeonhole(views, "value", refs.select("tag", F.col("ref_tag").alias("ref")), "ref", 1)
-    tags = tags.withColumn("tier", F.when(F.col("edits") == 0, F.col("tier")).when(F.col("value").rlike("[0-9]") & (F.length("value") > 3), F.lit(6)))
+    # An edit is allowed for in values with a digit and more than three characters; the others can only be equal.
+    long = F.col("value").rlike("[0-9]") & (F.length("value") > 3)
+    ref_tags = refs.select("tag", F.col("ref_tag").alias("ref"))
+    tags = pigeonhole(views.where(long), "value", ref_tags, "ref", 1).unionByName(pigeonhole(views.where(~long), "value", ref_tags, "ref", 0))
+    tags = tags.withColumn("tier", F.when(F.col("edits") == 0, F.col("tier")).otherwise(F.lit(6)))
     # Neighbours that changed places are two edits: undone, such a value equals a tag.
     pairs = F.sequence(F.lit(1), F.greatest(F.length("value") - 1, F.lit(1)))
     undone = F.transform(pairs, lambda i: F.concat(F.substring(F.col("value"), F.lit(1), i - 1), F.substring(F.col("value"), i + 1, F.lit(1)), F.substring(F.col("value"), i, F.lit(1)), F.substring(F.col("value"), i + 2, F.length("value"))))
-    turned = views.where("value rlike '[0-9]' AND length(value) > 3").select("raw", F.explode(F.array_distinct(undone)).alias("value"))
-    turned = pigeonhole(turned, "value", refs.select("tag", F.col("ref_tag").alias("ref")), "ref", 0).select("raw", "tag", F.lit(6).alias("tier"), F.lit(2).alias("edits"))
+    turned = views.where(long).select("raw", F.explode(F.array_distinct(undone)).alias("value"))
+    turned = pigeonhole(turned, "value", ref_tags, "ref", 0).select("raw", "tag", F.lit(6).alias("tier"), F.lit(2).alias("edits"))
     folds = pigeonhole(values.select("raw", F.explode("fold").alias("value")).where("value <> ''"), "value", refs.select("tag", F.col("ref_fold").alias("ref")), "ref", 0)
-    named = pigeonhole(values.select("raw", F.explode("base").alias("value"), "own_letter"), "value", names, "ref", EDITS).where("own_letter = letter")
+    # Only values as long as some name, but for EDITS characters: two numbers reach the driver.
+    low, high = names.agg(F.min(F.length("ref")), F.max(F.length("ref"))).first()
+    bases = values.select("raw", F.explode("base").alias("value"), "own_letter").where(F.length("value").between((low or 0) - EDITS, (high or 0) + EDITS))
+    named = pigeonhole(bases, "value", names, "ref", EDITS).where("own_letter = letter")
     counted = pigeonhole(values.select("raw", F.col("numbered").alias("value")), "value", numbered, "ref", 0)
     found = (
-        tags.where("tier IS NOT NULL").select("raw", "tag", "tier", "edits")
+        tags.select("raw", "tag", "tier", "edits")
         .unionByName(turned)
         .unionByName(folds.select("raw", "tag", F.lit(3).alias("tier"), "edits"))
         .unionByName(named.select("raw", "tag", F.when(F.col("edits") == 0, 4).otherwise(7).alias("tier"), "edits"))
