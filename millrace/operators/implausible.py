@@ -10,8 +10,9 @@ more than 3 % of a source that lie nearer than that are its own tail. An outlier
 than BRIEF readings is a level shift and is left alone. Before that, values outside physical
 limits and stuck runs are set apart, so that they neither move the level nor the spread.
 
-Sources with more than ROWS_A_CHUNK readings are cut into time ranges with margins on both
-sides; a reading is judged in its own range only. One source may thus hold any share.
+Sources with more than ROWS_A_CHUNK readings are cut by number into ranges of time with margins
+on both sides; a reading is judged in its own range only. One source may thus hold any share,
+and send it in bursts: only what arrives within SLOT stays together.
 
 Defined results: null value, time, tag or parameter -> never flagged; repeated deliveries
 (equal reading_id) count once; readings in another known unit are converted first; a source
@@ -23,13 +24,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.clock import machine, micros
+from millrace.operators.skew import is_small
+from millrace.session import checkpointed
 
 ROWS_A_CHUNK = 20_000
-MARGIN = 0.05  # of a chunk's time range, on each side
+MARGIN, SLOT = 0.05, 600_000_000  # of a chunk's readings, on each side; the time within which readings stay together, in microseconds
 LEVEL, SPREAD, LEAST = 25, 51, 12
 SIGMAS, TAILS, BRIEF = 4.5, 2.8, 6  # of the local spread, of the 97 % quantile of the residuals; readings
 FAR, NORMAL = 8.0, 2.17  # local spreads: above the 97 % quantile of any sound source (up to 6.8 at check_l); that of a normal one
@@ -189,16 +192,33 @@ def implausible_readings(readings: DataFrame, rows_a_chunk: int = ROWS_A_CHUNK)
         F.col("reading_id").cast("long").alias("reading_id"), machine(F.col("equipment_tag")).alias("tag"), "parameter", value.alias("value"), micros(F.col("measured_at")).alias("at")
     ).dropna()
     rows = rows.withColumn("bad", impossible_value(F.col("parameter"), F.col("value")))
-    sources = rows.groupBy("tag", "parameter").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high"))
-    # One row per source: a few thousand, whatever the number of readings; Spark broadcasts it if it is small.
-    sources = sources.select(
-        "tag", "parameter", F.col("low").alias("_low"), (F.floor((F.col("high") - F.col("low")) / F.ceil(F.col("n") / F.lit(rows_a_chunk))) + 1).alias("_width"), F.ceil(F.col("n") / F.lit(rows_a_chunk)).alias("_chunks")
-    )
-    rows = rows.join(sources, ["tag", "parameter"])
-    since, margin = F.col("at") - F.col("_low"), F.col("_width") * MARGIN
-    own = F.floor(since / F.col("_width"))
-    lowest = F.greatest(F.floor((since - margin) / F.col("_width")), F.lit(0))
-    highest = F.least(F.floor((since + margin) / F.col("_width")), F.col("_chunks") - 1)
-    rows = rows.withColumn("own", own).withColumn("chunk", F.explode(F.sequence(lowest, F.greatest(highest, lowest))))
-    rows = rows.select("tag", "parameter", "chunk", "reading_id", "at", "value", "bad", (F.col("chunk") == F.col("own")).alias("core"))
-    return rows.groupBy("tag", "parameter", "chunk").applyInArrow(_judged, "reading_id long, kind string")
+    counts = checkpointed(rows.groupBy("tag", "parameter").agg(F.count("*").alias("n")))
+    large = counts.where(F.col("n") > rows_a_chunk).select("tag", "parameter")
+    whole = lambda r: r.select("tag", "parameter", F.lit(0).cast("long").alias("chunk"), "reading_id", "at", "value", "bad", F.lit(True).alias("core"))
+    if large.isEmpty():
+        placed = whole(rows)
+    else:
+        large = F.broadcast(large) if is_small(large) else large
+        # Only the readings of large sources are shuffled a second time.
+        placed = whole(rows.join(large, ["tag", "parameter"], "left_anti")).unionByName(_chunked(rows.join(large, ["tag", "parameter"], "left_semi"), rows_a_chunk))
+    return placed.groupBy("tag", "parameter", "chunk").applyInArrow(_judged, "reading_id long, kind string")
+
+
+def _chunked(rows: DataFrame, rows_a_chunk: int) -> DataFrame:
+    """The rows of large sources with chunk and core: cut after every ``rows_a_chunk`` readings, however they lie in time.
+
+    Readings are counted by slots of SLOT; running sums of these give each slot its chunk,
+    and a second one where it lies within MARGIN of a chunk's readings from the next. A row
+    stands in each chunk of its slot, as core in its own, which alone judges it.
+    """
+    slot = F.floor(F.col("at") / F.lit(SLOT))
+    many = rows.groupBy("tag", "parameter", slot.alias("slot")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("tag", "parameter").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    places = many.withColumn("before", F.coalesce(before, F.lit(0)))
+    own, margin = F.floor(F.col("before") / rows_a_chunk), MARGIN * rows_a_chunk
+    last = F.floor((F.max(F.col("before")).over(Window.partitionBy("tag", "parameter"))) / rows_a_chunk)
+    lowest = F.greatest(F.floor((F.col("before") - margin) / rows_a_chunk), F.lit(0))
+    highest = F.least(F.floor((F.col("before") + F.col("n") + margin) / rows_a_chunk), last)
+    places = places.select("tag", "parameter", "slot", own.alias("own"), F.sequence(F.least(lowest, own), F.greatest(highest, own)).alias("chunks"))
+    placed = rows.withColumn("slot", slot).join(places, ["tag", "parameter", "slot"]).withColumn("chunk", F.explode("chunks"))
+    return placed.select("tag", "parameter", "chunk", "reading_id", "at", "value", "bad", (F.col("chunk") == F.col("own")).alias("core"))

@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from millrace.operators import implausible
 from millrace.operators.implausible import excursions, implausible_readings, stuck_runs
 
 SCHEMA = "reading_id long, equipment_tag string, parameter string, value double, unit string, measured_at timestamp, received_at timestamp, confidence double"
@@ -98,6 +99,18 @@ def test_spellings_of_a_tag_are_one_source(spark):
     assert set(found(df)) == {51}
 
 
+def test_a_burst_is_cut_by_number(spark):
+    v = series(2000, seed=4)
+    v[[300, 1500]] += 20
+    # Nine readings in ten come within a day and a half, a minute apart; the rest once in six hours.
+    at = [T0 + (dt.timedelta(minutes=k) if k < 1800 else dt.timedelta(hours=6 * (k - 1790))) for k in range(2000)]
+    rows = [(k, "P-1", "flow_m3_h", float(x), "m3/h", t, T0, None) for k, (x, t) in enumerate(zip(v, at))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes = implausible._chunked(df.selectExpr("equipment_tag AS tag", "parameter", "reading_id", "unix_micros(measured_at) AS at", "value", "false AS bad"), 200).where("core").groupBy("chunk").count().collect()
+    assert sum(r["count"] for r in sizes) == 2000 and max(r["count"] for r in sizes) <= 210
+    assert found(df, rows_a_chunk=200) == found(df) == {300: "excursion", 1500: "excursion"}
+
+
 @pytest.mark.parametrize("rows_a_chunk", [100, 333])
 def test_chunks_give_what_the_whole_source_gives(spark, rows_a_chunk):
     v = series(3000, seed=9)
