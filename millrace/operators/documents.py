@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.clock import machine
-from millrace.functions.text import sentences
+from millrace.functions.text import block_kind, sentences
 from millrace.session import spread
 
 
@@ -60,24 +60,45 @@ def packed_chunks(tokens: list[int], size: int, overlap: int) -> list[tuple[int,
 
 
 def chunks(docs: DataFrame, size: int = 384, overlap: int = 50, least: int = 40) -> DataFrame:
-    """(doc_id, chunk_no, sentences, tokens, text): sentences packed up to ``size`` tokens.
+    """(doc_id, chunk_no, sentences, tokens, text): atoms packed up to ``size`` tokens.
 
-    Chunks under ``least`` tokens are dropped unless the document has no other. Sentences are
-    split in the JVM; only the sequential packing of one document's sentences runs in Python.
+    Atoms are headings and the sentences of the other blocks between blank lines; one of more
+    than ``size`` tokens is cut between words. Chunks under ``least`` tokens are dropped unless
+    the document has no other. Blocks and sentences are split in the JVM; only the sequential
+    packing of one document's atoms runs in Python.
     """
     word = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]")
 
+    def cost_of(text: str) -> int:
+        return max(1, round(1.33 * len(word.findall(text))))
+
+    def fitting(atom: str) -> list[str]:
+        if cost_of(atom) <= size:
+            return [atom]
+        out, own, n = [], [], 0
+        for piece in re.findall(r"\S+", atom):
+            k = len(word.findall(piece))
+            if own and round(1.33 * (n + k)) > size:
+                out.append(" ".join(own))
+                own, n = [], 0
+            own.append(piece)
+            n += k
+        return [*out, " ".join(own)]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for doc, parts in frame.itertuples(index=False):
-                cost = [max(1, round(1.33 * len(word.findall(s)))) for s in parts]
+                parts = [p for atom in parts for p in fitting(atom)]
+                cost = [cost_of(p) for p in parts]
                 found = [(b - a, sum(cost[a:b]), " ".join(parts[a:b])) for a, b in packed_chunks(cost, size, overlap)]
                 kept = [c for c in found if c[1] >= least] or sorted(found, key=lambda c: -c[1])[:1]
                 rows += [(doc, k, n, t, x) for k, (n, t, x) in enumerate(kept)]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "sentences", "tokens", "text"])
 
-    split = spread(docs.where("text IS NOT NULL")).select("doc_id", sentences(F.col("text")).alias("parts")).where(F.size("parts") > 0)
+    blocks = F.filter(F.transform(F.split("text", r"\n[ \t]*\n"), lambda b: F.btrim(b, F.lit(" \t\r\n"))), lambda b: F.length(b) > 0)
+    atoms = F.flatten(F.transform(blocks, lambda b: F.when(block_kind(b) == "heading", F.array(b)).otherwise(sentences(b))))
+    split = spread(docs.where("text IS NOT NULL")).select("doc_id", atoms.alias("parts")).where(F.size("parts") > 0)
     return split.mapInPandas(run, "doc_id long, chunk_no int, sentences int, tokens int, text string")
 
 

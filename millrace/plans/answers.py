@@ -9,6 +9,7 @@ from millrace.functions import text
 from millrace.functions.clock import machine
 from millrace.functions.tags import scan_tags
 from millrace.operators import answers as ops
+from millrace.operators import signals as ops_signals
 from millrace.operators import evidence, graph, retrieval, trend
 from millrace.plans import extraction, machines, signals
 from millrace.plans import graph as graphs
@@ -146,6 +147,37 @@ def diagnostic_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.capped(rows, "tag", [F.asc("step"), F.asc("action")], 5)
 
 
+def diagnostic_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eleven steps of a diagnosis for every machine of the registry that any of them finds something on, as counts."""
+    e = table(spark, sf_dir, "equipment").select("tag")
+    done = extraction.diagnostic_steps(spark, sf_dir)
+    limits = table(spark, sf_dir, "equipment").select("tag", F.explode(F.map_keys("oem_thresholds")).alias("p")).groupBy("tag").agg(F.count("*").alias("items")).select("tag", F.lit("limits").alias("step"), "items")
+    kinds = {"precursor_match": "precursors", "threshold_approach": "thresholds", "alarm_bypass": "bypasses", "maintenance_anomaly": "anomalies"}
+    named = F.when(F.lit(False), F.lit(""))
+    for kind, name in kinds.items():
+        named = named.when(F.col("kind") == kind, name)
+    found = signals.all_signals(spark, sf_dir).withColumn("step", named).where("step IS NOT NULL").groupBy("tag", "step").agg(F.count("*").alias("items"))
+    links = causal_chain(spark, sf_dir).select("tag", F.lit("chain").alias("step"), F.col("steps").alias("items"))
+    alerts = signals.compound_alerts(spark, sf_dir).groupBy("tag").agg(F.count("*").alias("items")).select("tag", F.lit("answer").alias("step"), "items")
+    return done.unionByName(limits).unionByName(found).unionByName(links).unionByName(alerts).join(e, "tag", "left_semi")
+
+
+def knowledge_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a machine's experience is shared, by the days from each person's first to last job on it."""
+    held = ops_signals.experts(trend.records_of(table(spark, sf_dir, "maintenance")))
+    return evidence.concentration(held.select("tag", "person", (F.datediff("last", "first") + 1).alias("days")), "tag", "days")
+
+
+def knowledge_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five kinds of gaps in what is known of a machine."""
+    manuals = _docs(spark, sf_dir).where("document_type = 'oem_manual'").select(machine(F.col("equipment_tag")).alias("tag")).where("tag IS NOT NULL").distinct()
+    failed = table(spark, sf_dir, "failure").select(machine(F.col("equipment_tag")).alias("tag")).where("tag IS NOT NULL").distinct()
+    no_manual = failed.join(manuals, "tag", "left_anti").select("tag", F.lit("no_manual").alias("gap"), F.lit("failures").alias("subject"))
+    held = ops_signals.experts(trend.records_of(table(spark, sf_dir, "maintenance")))
+    single = held.groupBy("tag").agg(F.count("*").alias("n"), F.sum("jobs").alias("jobs"), F.min("person").alias("subject")).where("n = 1 AND jobs > 1").select("tag", F.lit("single_holder").alias("gap"), "subject")
+    return extraction.knowledge_gaps(spark, sf_dir).unionByName(no_manual).unionByName(single)
+
+
 def matching_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first clause of each document that speaks of an anomaly, clipped to 120 characters."""
     pattern = "|".join(f"(?:{p})" for _, p, _ in text.ANOMALY_TERMS)
@@ -255,7 +287,7 @@ _GREEDY = """it AS (SELECT nullif(upper(trim(equipment_tag)), '') AS tag, doc_id
 QUERIES = {
     f.__name__: f
     for f in (
-        question_tags, question_machines, graph_boost, graph_fusion, step_confidence, retrieval_merge, context_budget, evidence_digest, evidence_flags, filtered_search, interpretations, causal_chain, diagnostic_actions, matching_clauses, text_blocks,
+        question_tags, question_machines, graph_boost, graph_fusion, step_confidence, retrieval_merge, context_budget, evidence_digest, evidence_flags, filtered_search, interpretations, causal_chain, diagnostic_actions, diagnostic_table, knowledge_years, knowledge_holes, matching_clauses, text_blocks,
         script_decision, tag_reconcile, alias_table, procedures_for_tag, seed_expansion, graph_preview, bundle_drops, question_routes,
     )
 }
@@ -301,6 +333,18 @@ SQL = {
     "diagnostic_actions": f"""
         WITH {_LINKS}, d AS (SELECT DISTINCT tag, step, CASE step WHEN 1 THEN 'Inspect for the earlier failure' WHEN 2 THEN 'Bring down the ' || label WHEN 3 THEN 'Restore the alarm' ELSE 'Check against ' || label END AS action FROM lk),
         k AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY step, action) AS k FROM d) SELECT tag, step, action FROM k WHERE k <= 5""",
+    "diagnostic_table": f"""
+        WITH {_LINKS.replace(signals._ALL, signals._FIRED, 1)}, ds AS ({extraction.SQL["diagnostic_steps"]}), lb AS (SELECT tag, step, max(strength) AS s FROM lk GROUP BY 1, 2 HAVING max(strength) > 0),
+        st AS (SELECT tag, step, items FROM ds UNION ALL SELECT tag, 'limits', count(*) FROM (SELECT tag, unnest(map_keys(oem_thresholds)) FROM equipment) GROUP BY 1
+          UNION ALL SELECT tag, CASE kind WHEN 'precursor_match' THEN 'precursors' WHEN 'threshold_approach' THEN 'thresholds' WHEN 'alarm_bypass' THEN 'bypasses' ELSE 'anomalies' END, count(*) FROM allsig
+            WHERE kind IN ('precursor_match', 'threshold_approach', 'alarm_bypass', 'maintenance_anomaly') GROUP BY 1, 2
+          UNION ALL SELECT tag, 'chain', count(*) FROM lb GROUP BY 1 UNION ALL SELECT tag, 'answer', count(*) FROM al GROUP BY 1) SELECT tag, step, items FROM st WHERE tag IN (SELECT tag FROM equipment)""",
+    "knowledge_years": f"""
+        WITH {machines._M}, {signals._HELD}, s AS (SELECT tag, (date_diff('day', first, last) + 1) / sum(date_diff('day', first, last) + 1) OVER (PARTITION BY tag)::DOUBLE AS p FROM held) SELECT tag, count(*) AS holders, round(sum(p * p), 6) AS hhi FROM s GROUP BY 1""",
+    "knowledge_holes": f"""
+        WITH kg AS ({extraction.SQL["knowledge_gaps"]}), {machines._M}, {signals._HELD} SELECT tag, gap, subject FROM kg
+        UNION ALL SELECT DISTINCT upper(trim(equipment_tag)), 'no_manual', 'failures' FROM failure WHERE trim(equipment_tag) <> '' AND upper(trim(equipment_tag)) NOT IN (SELECT upper(trim(equipment_tag)) FROM documents WHERE document_type = 'oem_manual' AND equipment_tag IS NOT NULL)
+        UNION ALL SELECT tag, 'single_holder', min(person) FROM held GROUP BY 1 HAVING count(*) = 1 AND sum(jobs) > 1""",
     "matching_clauses": f"""
         WITH c AS (SELECT doc_id, unnest(string_split_regex(text, '[.!?][ \\t\\n\\r\\f\\v]+|[\\r\\n]+')) AS c, unnest(range(len(string_split_regex(text, '[.!?][ \\t\\n\\r\\f\\v]+|[\\r\\n]+')))) AS i FROM documents WHERE text IS NOT NULL),
         h AS (SELECT doc_id, i, trim(regexp_replace(c, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS c FROM c WHERE EXISTS (SELECT 1 FROM {ANOMALY_SQL} WHERE regexp_matches(lower(regexp_replace(c.c, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), pattern))),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import confidence, extract, tags, text, vectors
-from millrace.operators import documents, evidence, graph, retrieval
+from millrace.operators import documents, evidence, graph, providers, retrieval
 
 
 def value(spark, column):
@@ -176,3 +176,24 @@ def test_three_hops_over_a_graph_with_cycles(spark, sf_dir):
     got = khop_supply(spark, sf_dir).collect()
     assert {(r.hops, r.key[0]) for r in got} >= {(1, "P"), (1, "N"), (2, "R"), (2, "S"), (2, "C"), (3, "N")}
     assert len({(r.seed, r.key) for r in got}) == len(got) and all(r.seed != r.key for r in got)
+
+
+def test_chunks_keep_headings_and_never_pass_the_size(spark):
+    text = "FINDINGS\n\nThe seal leaks. The pump runs.\n\n" + "word " * 900 + "end.\n\n" + "x" * 30
+    rows = documents.chunks(spark.createDataFrame([(1, text), (2, "a"), (3, None), (4, "\n\n")], "doc_id long, text string"), size=100, overlap=10, least=5).orderBy("doc_id", "chunk_no").collect()
+    own = [r for r in rows if r.doc_id == 1]
+    assert own[0].text.startswith("FINDINGS The seal leaks. The pump runs.") and all(r.tokens <= 100 for r in own)
+    assert sum(r.text.count("word") for r in own) >= 900 and {r.doc_id for r in rows} == {1, 2}
+
+
+def test_providers_and_limits(spark):
+    docs = spark.createDataFrame([(1, "pump leak")], "doc_id long, text string")
+    providers.register("absent", lambda: False, lambda d, n: d)
+    providers.register("mine", lambda: True, lambda d, n: d.select("doc_id", F.array(F.lit(float(n))).alias("embedding")))
+    try:
+        assert providers.chosen(["absent", "none", "mine"]) == "mine" and providers.chosen(["absent"]) == "hash"
+        assert providers.embedded(docs, 4, ["mine"]).first().embedding == [4.0]
+        assert len(providers.embedded(docs, 4).first().embedding) == 4
+    finally:
+        del providers.PROVIDERS["absent"], providers.PROVIDERS["mine"]
+    assert [providers.limited(spark.range(50), n, 20).count() for n in (0, 5, 99, None)] == [1, 5, 20, 20]
