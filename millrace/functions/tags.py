@@ -47,3 +47,10 @@ def positional_reading(compact: Column, prefix: int, suffix: int) -> Column:
     middle = F.translate(F.substring(compact, F.lit(prefix + 1), F.length(compact) - prefix - suffix), *DIGIT_GLYPHS)
     back = F.translate(F.substring(compact, F.length(compact) - suffix + 1, F.lit(suffix)), *LETTER_GLYPHS) if suffix else F.lit("")
     return F.concat(front, F.lit("-"), middle, back)
+
+
+def kind_by_longest_prefix(tag: Column) -> Column:
+    """As :func:`kind_of_machine`, an unknown prefix counting as the longest front of it that is known."""
+    prefix = F.regexp_extract(tag, "^([A-Z]+)", 1)
+    fronts = [prefix, *[F.substring(prefix, 1, n) for n in (3, 2, 1)]]
+    return F.coalesce(*[kind_of_machine(F.concat(front, F.lit("-"))) for front in fronts])

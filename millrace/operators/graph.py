@@ -110,6 +110,12 @@ def without_document(edges: DataFrame, documents: DataFrame) -> DataFrame:
     return edges.join(documents.select("document").distinct(), "document", "left_anti")
 
 
+def orphans(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Keys that stood at an edge before and at none after."""
+    keys = lambda e: e.select(F.explode(F.array("source", "target")).alias("key")).distinct()
+    return keys(before).join(keys(after), "key", "left_anti")
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(key, component): the least key reachable, by alternating large-star and small-star steps.
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import analytics, answers, compliance, condition, extraction, graph, machines, reports, retrieval, signals, text
+from millrace.plans import analytics, answers, compliance, condition, extraction, graph, machines, mentions, reports, retrieval, signals, text
 
-FAMILIES = (analytics, retrieval, text, extraction, graph, machines, reports, signals, compliance, answers, condition)
+FAMILIES = (analytics, retrieval, text, extraction, graph, machines, mentions, reports, signals, compliance, answers, condition)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

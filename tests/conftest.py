@@ -18,4 +18,5 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf_dir():
-    return "/root/testdata/sf0.001"
+    """The tables of the correctness check; TEST_SF_DIR names others."""
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")

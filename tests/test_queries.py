@@ -1,4 +1,4 @@
-"""Every core query runs on the smallest tables, and agrees with its SQL where it has one."""
+"""Every core query runs on the tables of the correctness check, and agrees with its SQL where it has one."""
 
 import duckdb
 import pytest
