@@ -24,7 +24,6 @@ repeated values resolve alike; very long values are compared as any other.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

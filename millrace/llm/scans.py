@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.rows import map_rows
-from millrace.operators.skew import hot_keys, join_to_measured, join_to_unique
+from millrace.operators.skew import hot_keys, join_to_measured
 from millrace.session import checkpointed, spread
 
 #: Confusions as (right, wrong), fixed values; the second list is for tags, of digits taken for letters.
