@@ -133,7 +133,8 @@ def token_set_ratio(a: str, b: str) -> float:
 def similar_texts(findings: DataFrame, precursors: DataFrame, least: float = 0.72) -> DataFrame:
     """(event_id, record_id, similarity): the most similar finding of the same machine per event.
 
-    Equal texts are scored once; the join is on the machine, and only the best pair is kept.
+    Equal texts are scored once. Texts meet on machine and word; a pair is scored if it shares
+    at least a third of the words of the text that has fewer, and only the best pair is kept.
     """
 
     @F.pandas_udf("double")
@@ -151,7 +152,13 @@ def similar_texts(findings: DataFrame, precursors: DataFrame, least: float = 0.7
     # Texts repeat far more than machines: one row per machine and text on either side.
     left = left.groupBy("tag", "findings").agg(F.min("record_id").alias("record_id"))
     texts = right.select("tag", "precursor_text").distinct()
-    pairs = texts.join(left, "tag").withColumn("similarity", F.round(similarity("findings", "precursor_text"), 6)).where(F.col("similarity") >= least)
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\w+"), F.lit(0)))
+    own = left.select("tag", F.md5("findings").alias("f"), words("findings").alias("w"))
+    other = texts.select("tag", F.md5("precursor_text").alias("p"), words("precursor_text").alias("w"))
+    said = own.select("tag", "f", F.size("w").alias("n"), F.explode("w").alias("word")).join(other.select("tag", "p", F.size("w").alias("m"), F.explode("w").alias("word")), ["tag", "word"])
+    shared = said.groupBy("tag", "f", "p", "n", "m").agg(F.count("*").alias("shared")).where(3 * F.col("shared") >= F.least("n", "m")).select("tag", "f", "p")
+    pairs = shared.join(left.withColumn("f", F.md5("findings")), ["tag", "f"]).join(texts.withColumn("p", F.md5("precursor_text")), ["tag", "p"])
+    pairs = pairs.withColumn("similarity", F.round(similarity("findings", "precursor_text"), 6)).where(F.col("similarity") >= least)
     best = pairs.groupBy("tag", "precursor_text").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "record_id")).alias("b"))
     return right.join(best, ["tag", "precursor_text"]).select("event_id", "b.record_id", (-F.col("b.s")).alias("similarity"))
 
