@@ -128,13 +128,15 @@ def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recursive_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of each customer chained to the next one, up to three links, with days between, by SQL recursion."""
-    table(spark, sf_dir, "orders").createOrReplaceTempView("millrace_orders")
-    return spark.sql("""
-        WITH RECURSIVE o AS (SELECT o_orderkey, o_custkey, datediff(lead(o_orderdate) OVER w, o_orderdate) AS gap, lead(o_orderkey) OVER w AS next FROM millrace_orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
-        chain AS (SELECT o_orderkey AS start, next, CAST(gap AS BIGINT) AS days, 1 AS links FROM o WHERE next IS NOT NULL
-          UNION ALL SELECT chain.start, o.next, chain.days + o.gap, chain.links + 1 FROM chain JOIN o ON o.o_orderkey = chain.next WHERE o.next IS NOT NULL AND chain.links < 3)
-        SELECT links, count(*) AS chains, sum(days) AS days FROM chain GROUP BY links""")
+    """Orders of each customer chained to the next one, up to three links, with days between.
+
+    The links are looked up ahead in one window: Spark's recursion stops with an error beyond
+    a million rows (spark.sql.cteRecursionRowLimit) and joins all orders again at each link.
+    """
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    ahead = [F.struct(F.lit(n).alias("links"), F.lead("o_orderkey", n).over(w).alias("next"), F.datediff(F.lead("o_orderdate", n).over(w), "o_orderdate").cast("long").alias("days")) for n in (1, 2, 3)]
+    chain = table(spark, sf_dir, "orders").select(F.array(*ahead).alias("ahead")).select(F.inline("ahead")).where("next IS NOT NULL")
+    return chain.groupBy("links").agg(F.count("*").alias("chains"), F.sum("days").alias("days"))
 
 
 QUERIES = {

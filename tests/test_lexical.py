@@ -53,3 +53,13 @@ def test_pairs_of_a_common_word_never_travel(spark, monkeypatch):
     got = found(spark, queries, docs)
     assert shuffled_rows(spark) - before < 50_000  # 600,000 pairs of a query and a document share a word
     assert got == brute(queries, docs, 10)
+
+
+def test_chain_beyond_the_row_limit_of_recursion(spark, sf_dir):
+    from millrace.plans.analytics import recursive_chain
+
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        assert sorted(r.links for r in recursive_chain(spark, sf_dir).collect()) == [1, 2, 3]
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
