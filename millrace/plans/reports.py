@@ -11,10 +11,11 @@ from millrace.functions.clock import machine
 from millrace.functions.confidence import clamp, recency
 from millrace.operators import documents as docs_ops
 from millrace.operators import graph, retrieval, trend
+from millrace.operators.skew import is_small
 from millrace.plans import machines as m
 from millrace.plans import retrieval as search
 from millrace.plans.vocabulary import BYPASS_SQL
-from millrace.session import table
+from millrace.session import checkpointed, table
 
 
 def fleet_base_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +110,11 @@ def catalogue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extractive_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two sentences of the three best documents of each lexical query, as one cited line each."""
-    top = search.lexical_tfidf_topk(spark, sf_dir).where("rank <= 3")
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.array_join(F.slice(text.sentences(F.col("text")), 1, 2), " ").alias("lead"))
+    top = checkpointed(search.lexical_tfidf_topk(spark, sf_dir).where("rank <= 3").select("query_id", "id", "rank"))
+    wanted = checkpointed(top.select("id").distinct())
+    wanted = F.broadcast(wanted) if is_small(wanted) else wanted
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
+    d = d.select("id", F.array_join(F.slice(text.sentences(F.col("text")), 1, 2), " ").alias("lead"))  # only documents that are cited are cut into sentences
     return top.join(d, "id").select("query_id", "rank", F.concat("lead", F.lit(" ["), F.col("rank").cast("string"), F.lit("]")).alias("line"))
 
 
