@@ -63,3 +63,39 @@ def test_chain_beyond_the_row_limit_of_recursion(spark, sf_dir):
         assert sorted(r.links for r in recursive_chain(spark, sf_dir).collect()) == [1, 2, 3]
     finally:
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_only_cited_documents_are_cut_into_sentences(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from millrace.plans import reports
+
+    docs = [(20, "leak", "leak of a pump"), *[(k, None, f"a leak {'x ' * k}") for k in range(21, 25)], *[(k, None, f"uncited {k}") for k in range(30, 60)]]
+    spark.createDataFrame(docs, "doc_id long, title string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(reports.text, "sentences", lambda c: F.when(c.startswith("uncited"), F.raise_error(F.lit("not cited"))).otherwise(F.array(c)))
+    assert sorted(r["rank"] for r in reports.extractive_fallback(spark, str(tmp_path)).collect()) == [1, 2, 3]
+
+
+def test_fusion_searches_once(spark, sf_dir, monkeypatch):
+    from millrace.plans import answers
+
+    searched, real = [], answers.search.lexical_tfidf_topk
+    monkeypatch.setattr(answers.search, "lexical_tfidf_topk", lambda *a: searched.append(a) or real(*a))
+    answers.graph_fusion(spark, sf_dir)
+    assert len(searched) == 1
+
+
+def test_hops_in_buckets_and_slices_give_the_best_ways(spark, monkeypatch):
+    from millrace.operators import graph
+
+    monkeypatch.setattr(graph, "WAYS_A_BUCKET", 20_000)
+    monkeypatch.setattr(graph, "PAIRS_AT_ONCE", 5_000)
+    mid, end = range(60), range(500)
+    edges = [(f"S{s}", f"M{m}", (1 + (s * m) % 50) / 50) for s in mid for m in mid] + [(f"M{m}", f"T{t}", (1 + (m + t) % 50) / 50) for m in mid for t in end]
+    rows = spark.createDataFrame([(a, b, "", c) for a, b, c in edges], "source string, target string, type string, confidence double")
+    got = {(r.seed, r.key): (r.hops, r.confidence) for r in graph.reachable(spark.createDataFrame([(f"S{s}",) for s in mid], "seed string"), rows, 2).collect()}
+    way = {(a, b): c for a, b, c in edges}
+    want = {(f"S{s}", f"M{m}"): (1, way[f"S{s}", f"M{m}"] * 0.9) for s in mid for m in mid}
+    want |= {(f"S{s}", f"T{t}"): (2, max(way[f"S{s}", f"M{m}"] * way[f"M{m}", f"T{t}"] for m in mid) * 0.81) for s in mid for t in end}
+    want |= {(f"S{s}", f"S{t}"): (2, max(way[f"S{s}", f"M{m}"] * way[f"S{t}", f"M{m}"] for m in mid) * 0.81) for s in mid for t in mid if s != t}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in got)
