@@ -99,3 +99,33 @@ def test_hops_in_buckets_and_slices_give_the_best_ways(spark, monkeypatch):
     want |= {(f"S{s}", f"T{t}"): (2, max(way[f"S{s}", f"M{m}"] * way[f"M{m}", f"T{t}"] for m in mid) * 0.81) for s in mid for t in end}
     want |= {(f"S{s}", f"S{t}"): (2, max(way[f"S{s}", f"M{m}"] * way[f"S{t}", f"M{m}"] for m in mid) * 0.81) for s in mid for t in mid if s != t}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in got)
+
+
+def test_common_terms_summed_once_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "RARE_ROWS", 3)
+    docs = [(k, f"pump {'leak ' * (k % 3)} seal w{k % 40} v{k % 150}") for k in range(300)] + [(7, "pump seal"), (8, "w3 w3 pump leak")]
+    queries = [(k, f"{['pump', 'pump leak', 'seal leak', 'w9'][k % 4]} w{k} v{k * 3}") for k in range(60)] + [(99, "v1 v2 v2 v4"), (98, "pump leak absent"), (97, "v700")]
+    assert found(spark, queries, docs, 5) == brute(queries, docs, 5)
+
+
+def same_as_sql(spark, folder, monkeypatch, name):
+    """Rows shuffled by a query on 2,000 documents, of which 100 are asked for and share words with all: 200,000 pairs."""
+    import duckdb
+    from test_queries import rows
+
+    from millrace.plans import registry
+
+    monkeypatch.setattr(retrieval, "ROWS_A_CHUNK", 700)
+    kinds = ["inspection_report", "work_order", "shift_log", "sop"]
+    docs = [(k, f"the pump {k % 40} w{k % 900}" + " seal of the pump" * (k * 7 % 300), ["en", "de"][k % 3 // 2], kinds[k % 4], f"the pump {k % 50} w{k % 90}", [None, " p-1{} ".format(k % 9), ""][k % 3], f"2024-0{1 + k % 6}-1{k % 10}") for k in range(2000)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, document_type string, title string, equipment_tag string, day string").selectExpr("* except (day)", "CAST(day AS date) AS document_date").coalesce(4).write.parquet(f"{folder}/documents.parquet")
+    before = shuffled_rows(spark)
+    df = registry.queries()[name](spark, str(folder))
+    got, moved = rows(df.columns, df.collect()), shuffled_rows(spark) - before
+    cursor = duckdb.connect().execute(registry.oracle_sql()[name].replace("documents", f"read_parquet('{folder}/documents.parquet/*.parquet')"))
+    assert got == rows([d[0] for d in cursor.description], cursor.fetchall())
+    return moved
+
+
+def test_context_budget_writes_no_pairs(spark, tmp_path, monkeypatch):
+    assert same_as_sql(spark, tmp_path, monkeypatch, "context_budget") < 50_000
