@@ -129,3 +129,7 @@ def same_as_sql(spark, folder, monkeypatch, name):
 
 def test_context_budget_writes_no_pairs(spark, tmp_path, monkeypatch):
     assert same_as_sql(spark, tmp_path, monkeypatch, "context_budget") < 50_000
+
+
+def test_filtered_search_writes_no_pairs(spark, tmp_path, monkeypatch):
+    assert same_as_sql(spark, tmp_path, monkeypatch, "filtered_search") < 50_000
