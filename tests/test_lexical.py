@@ -133,3 +133,7 @@ def test_context_budget_writes_no_pairs(spark, tmp_path, monkeypatch):
 
 def test_filtered_search_writes_no_pairs(spark, tmp_path, monkeypatch):
     assert same_as_sql(spark, tmp_path, monkeypatch, "filtered_search") < 50_000
+
+
+def test_retrieval_merge_writes_no_pairs(spark, tmp_path, monkeypatch):
+    assert same_as_sql(spark, tmp_path, monkeypatch, "retrieval_merge") < 50_000
