@@ -137,3 +137,7 @@ def test_filtered_search_writes_no_pairs(spark, tmp_path, monkeypatch):
 
 def test_retrieval_merge_writes_no_pairs(spark, tmp_path, monkeypatch):
     assert same_as_sql(spark, tmp_path, monkeypatch, "retrieval_merge") < 50_000
+
+
+def test_step_confidence_writes_no_pairs(spark, tmp_path, monkeypatch):
+    assert same_as_sql(spark, tmp_path, monkeypatch, "step_confidence") < 50_000
